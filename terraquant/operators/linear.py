@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg
 from ..functions.hashing import below, bits_of, with_seed_draws
 from ..functions.linalg import Moments
-from .moments import collect_moments, column_means, moments
+from .moments import collect_conditioned, column_means, moments
 
 RUN_SCHEMA = (
     "seed int, learner string, alpha double, cv_r2 double, test_r2 double, test_rmse double, "
@@ -94,13 +94,23 @@ def fit(
     learner: str = "ols",
     alpha: float = 0.0,
     scale: bool = True,
-    centres: dict[str, float] | None = None,
 ) -> LinearModel:
     """Fit one model on all rows of ``train``; preprocessing is fitted on the same rows."""
     if learner not in ("ols", "ridge", "lasso"):
         raise ValueError(f"unknown linear learner {learner!r}")
-    centres = column_means(train, [*features, label]) if centres is None else centres
-    m = collect_moments(moments(train, features, label, centres=centres))[()]
+    groups, centres = collect_conditioned(train, features, label)
+    return model_from_moments(groups[()], centres, features, label, learner, alpha, scale)
+
+
+def model_from_moments(
+    m: Moments,
+    centres: dict[str, float],
+    features: Sequence[str],
+    label: str,
+    learner: str = "ols",
+    alpha: float = 0.0,
+    scale: bool = True,
+) -> LinearModel:
     beta, intercept, impute, low, span = solve(m, learner, alpha, scale)
     shift = np.array([centres.get(f, 0.0) for f in features])
     # Back from centred coordinates; unscaled fits keep low = 0 and absorb the shift in the intercept.

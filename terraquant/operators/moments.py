@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linalg import Moments
 
+# Smallest variance, as a share of the mean square, computed without centring.
+CANCELLATION = 1e-4
+
 
 def column_means(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Column means as plain numbers (one small row reaches the driver)."""
@@ -54,6 +58,31 @@ def moments(
     )
 
 
+def collect_conditioned(
+    df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()
+) -> tuple[dict[tuple, Moments], dict[str, float]]:
+    """Moments per group on the driver, and the centres they are relative to.
+
+    One pass over the rows is enough unless a column's spread is tiny beside its
+    mean, where subtracting squares would lose digits; only then a second pass is
+    made around the means the first one found.
+    """
+    columns = [*features, label]
+    groups = collect_moments(moments(df, features, label, by), by)
+    if not groups:
+        raise ValueError("no rows to fit on")
+    n = sum(m.n for m in groups.values())
+    gaps = sum(np.append(np.diag(m.N), 0.0) for m in groups.values())
+    present = np.maximum(n - gaps, 1.0)
+    mean = sum(m.s for m in groups.values()) / present
+    square = sum(np.diag(m.S) for m in groups.values()) / present
+    spread = square - mean**2
+    if np.all((spread > CANCELLATION * square) | (square == 0)):
+        return groups, {}
+    centres = dict(zip(columns, (float(v) for v in mean), strict=True))
+    return collect_moments(moments(df, features, label, by, centres), by), centres
+
+
 def collect_moments(df: DataFrame, by: Sequence[str] = ()) -> dict[tuple, Moments]:
     """Moment rows as matrices on the driver; for a bounded number of groups."""
     return {tuple(r[c] for c in by): Moments.unpack(r["n"], r["sums"], r["lows"], r["highs"]) for r in df.collect()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import linalg
 from .linear import sum_moments
-from .moments import collect_moments, column_means, moments
+from .moments import collect_conditioned
 from .reshape import _stack, normalise_share, rank_desc, t_confidence_interval
 
 FOLD_SCHEMA = "rank bigint, feature string, fold int, r2 double"
@@ -28,8 +28,8 @@ def prefix_fold_scores(df: DataFrame, ranked: Sequence[str], label: str, fold: s
     leading block of the full moments, and a training fold is the total minus the
     held fold. Imputation and scaling are fitted on the whole table first.
     """
-    centres = column_means(df, [*ranked, label])
-    parts = {k[0]: m for k, m in collect_moments(moments(df, ranked, label, [fold], centres), [fold]).items()}
+    groups, _ = collect_conditioned(df, ranked, label, [fold])
+    parts = {k[0]: m for k, m in groups.items()}
     total = sum_moments(list(parts.values()))
     impute = total.feature_means()
     span = total.high - total.low

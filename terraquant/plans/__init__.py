@@ -7,6 +7,8 @@ MODULES = (
     "cleaning",
     "summaries",
     "splits",
+    "models",
+    "scenarios",
 )
 
 
