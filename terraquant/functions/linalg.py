@@ -147,7 +147,7 @@ def r_squared(A: np.ndarray, beta: np.ndarray, intercept: float) -> float:
     error = squared_error(A, beta, intercept)
     if total <= 0:
         return 1.0 if error == 0 else 0.0
-    return 1.0 - error / total
+    return float(1.0 - error / total)
 
 
 def normal_two_sided(statistic: float) -> float:

@@ -9,6 +9,8 @@ MODULES = (
     "splits",
     "models",
     "scenarios",
+    "explanation",
+    "graphs",
 )
 
 
