@@ -11,6 +11,7 @@ MODULES = (
     "scenarios",
     "explanation",
     "graphs",
+    "learners",
 )
 
 
