@@ -1,7 +1,7 @@
 """Exact order statistics without a global sort.
 
-``exact_quantiles`` narrows a bracket around each wanted rank with bounded
-sketches until few enough rows remain to sort. ``hash_order_cutoffs`` finds the
+``exact_quantiles`` brackets each wanted rank with a bounded sketch and settles it
+by counting. ``hash_order_cutoffs`` finds the
 k-th row of a hash order by counting hash prefixes, two tiny histograms and one
 look inside a 1/16.7M slice. Both move only counts between executors.
 """
@@ -10,98 +10,113 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import digest
 
-SKETCH_SPLITS = 256
-SKETCH_ACCURACY = 20_000
+SKETCH_ACCURACY = 4_000
 PREFIX_DIGITS = 3
 
 
+@dataclass
+class _Search:
+    """Where the value at one 0-based rank is known to lie, and the bracket to try next."""
+
+    rank: int
+    low: float
+    high: float
+    below: int
+    inside: int
+    slack: float
+    bracket: tuple[float, float]
+
+    def share(self) -> float:
+        return (self.rank - self.below) / max(self.inside - 1, 1)
+
+    def fits(self, direct_rows: int) -> bool:
+        """Whether the bracket's interior may be fetched: its expected size is the sketched share of the span."""
+        return self.inside * min(1.0, 3 * self.slack) <= direct_rows
+
+
+def _around(share: float, slack: float) -> list[float]:
+    return [max(0.0, share - slack), min(1.0, share + slack)]
+
+
 def exact_quantiles(
-    df: DataFrame, column: str, probs: Sequence[float], direct_rows: int = 1_000_000
+    df: DataFrame, column: str, probs: Sequence[float], direct_rows: int = 500_000
 ) -> tuple[list[float | None], int]:
     """Linear-interpolated quantiles of a column over the whole table, and its non-null count.
 
-    Up to ``direct_rows`` rows one ``percentile`` aggregate answers. Beyond that,
-    each pass replaces a bracket around the wanted ranks by a narrower one (a
-    256-way sketch of the rows inside it) and counts exactly what lies below, so
-    a pass shrinks the candidates by two orders of magnitude whatever the
-    distribution, and heavy duplicates end in a single-valued bracket.
+    A bounded sketch names a narrow bracket around each wanted rank; the next pass
+    counts what lies below it and brings the few values strictly inside. Counts
+    decide, so a sketch that missed only costs another round. A bracket that would
+    hold too many values is sketched again within (three orders of magnitude per
+    round, whatever the distribution); repeated values sit on a bracket's edges and
+    are only counted.
     """
-    y = F.col(column)
-    grid = [i / SKETCH_SPLITS for i in range(SKETCH_SPLITS + 1)]
-    values = df.select(y.cast("double").alias("y")).where(F.col("y").isNotNull())
+    y = F.col("y")
+    values = df.select(F.col(column).cast("double").alias("y")).where(y.isNotNull())
+    base = 2.0 / SKETCH_ACCURACY
     first = values.agg(
         F.count("y").alias("n"),
-        F.percentile_approx("y", grid, SKETCH_ACCURACY).alias("grid"),
-        F.min("y").alias("lo"),
-        F.max("y").alias("hi"),
+        F.min("y").alias("low"),
+        F.max("y").alias("high"),
+        *[F.percentile_approx("y", _around(p, base), SKETCH_ACCURACY).alias(f"p{i}") for i, p in enumerate(probs)],
     ).first()
     n = first["n"]
     if n == 0:
         return [None] * len(probs), 0
-    if n <= direct_rows:
-        row = values.agg(F.percentile("y", F.array(*[F.lit(float(p)) for p in probs])).alias("q")).first()
-        return list(row["q"]), n
-
     positions = [p * (n - 1) for p in probs]
-    ranks = sorted({int(r) for pos in positions for r in (math.floor(pos), math.ceil(pos))})
-    slack = math.ceil(n / SKETCH_ACCURACY) + 1
-    sketch = [first["lo"], *first["grid"][1:-1], first["hi"]]
-    brackets = {r: _bracket(sketch, r, n, slack) for r in ranks}
+    searches = {
+        r: _Search(r, first["low"], first["high"], 0, n, base, tuple(first[f"p{i}"]))
+        for i, pos in enumerate(positions)
+        for r in (math.floor(pos), math.ceil(pos))
+    }
     found: dict[int, float] = {}
-    while True:
-        found.update({r: lo for r, (lo, hi) in brackets.items() if lo == hi})
-        brackets = {r: b for r, b in brackets.items() if r not in found}
-        if not brackets:
-            break
-        spans = sorted(set(brackets.values()))
+    while searches:
+        fetched = {s.bracket for s in searches.values() if s.fits(direct_rows)}
+        brackets = sorted({s.bracket for s in searches.values()})
         aggs: list[Column] = []
-        for i, (lo, hi) in enumerate(spans):
-            inside = F.col("y").between(lo, hi)
+        for i, (low, high) in enumerate(brackets):
+            strictly = (y > low) & (y < high)
             aggs += [
-                F.count_if(F.col("y") < lo).alias(f"below{i}"),
-                F.count_if(inside).alias(f"inside{i}"),
-                F.percentile_approx(F.when(inside, F.col("y")), grid, SKETCH_ACCURACY).alias(f"grid{i}"),
+                F.count_if(y < low).alias(f"below{i}"),
+                F.count_if(y == low).alias(f"low{i}"),
+                F.count_if(strictly).alias(f"mid{i}"),
+                F.count_if((y == high) & (y > low)).alias(f"high{i}"),
             ]
-        counts = values.agg(*aggs).first()
-        small = [i for i in range(len(spans)) if counts[f"inside{i}"] <= direct_rows]
-        if small:
-            sorted_values = values.agg(
-                *[
-                    F.array_sort(F.collect_list(F.when(F.col("y").between(*spans[i]), F.col("y")))).alias(f"v{i}")
-                    for i in small
-                ]
-            ).select(
+            if (low, high) in fetched:
+                aggs.append(F.array_sort(F.collect_list(F.when(strictly, y))).alias(f"values{i}"))
+        row = values.agg(*aggs).first()
+        for s in list(searches.values()):
+            i = brackets.index(s.bracket)
+            low, high = s.bracket
+            edge, middle, top = row[f"low{i}"], row[f"mid{i}"], row[f"high{i}"]
+            offset = s.rank - row[f"below{i}"]
+            if not 0 <= offset < edge + middle + top:
+                s.slack *= 4
+                continue
+            if offset < edge:
+                found[s.rank] = low
+            elif offset >= edge + middle:
+                found[s.rank] = high
+            elif s.bracket in fetched:
+                found[s.rank] = row[f"values{i}"][offset - edge]
+            else:
+                s.low, s.high, s.below, s.inside, s.slack = low, high, row[f"below{i}"], edge + middle + top, base
+        searches = {r: s for r, s in searches.items() if r not in found}
+        if searches:
+            row = values.agg(
                 *[
-                    F.array(
-                        *[
-                            F.element_at(f"v{i}", int(r - counts[f"below{i}"] + 1))
-                            for r, b in brackets.items()
-                            if b == spans[i]
-                        ]
-                    ).alias(f"v{i}")
-                    for i in small
+                    F.percentile_approx(F.when(y.between(s.low, s.high), y), _around(s.share(), s.slack), SKETCH_ACCURACY).alias(f"s{r}")
+                    for r, s in searches.items()
                 ]
-            )
-            picked = sorted_values.first()
-            for i in small:
-                found.update(zip([r for r, b in brackets.items() if b == spans[i]], picked[f"v{i}"], strict=True))
-        narrowed = {}
-        for r, b in brackets.items():
-            i = spans.index(b)
-            if i in small:
-                continue
-            inside = counts[f"inside{i}"]
-            inner = [b[0], *counts[f"grid{i}"][1:-1], b[1]]
-            narrowed[r] = _bracket(inner, r - counts[f"below{i}"], inside, math.ceil(inside / SKETCH_ACCURACY) + 1)
-        brackets = narrowed
-        if not brackets:
-            break
+            ).first()
+            for r, s in searches.items():
+                s.bracket = tuple(row[f"s{r}"])
     out = []
     for pos in positions:
         low, high = found[math.floor(pos)], found[math.ceil(pos)]
@@ -109,14 +124,6 @@ def exact_quantiles(
     return out, n
 
 
-def _bracket(sketch: list[float], rank: int, n: int, slack: int) -> tuple[float, float]:
-    """Sketch values that must enclose the value at ``rank``, given the sketch's rank error."""
-    step = n / SKETCH_SPLITS
-    low = max(0, math.floor((rank - slack) / step) - 1)
-    high = min(SKETCH_SPLITS, math.ceil((rank + slack) / step) + 1)
-    return sketch[low], sketch[high]
-
-
 def order_struct(tag: str, key: str, tiebreak: Sequence[str] = ()) -> Column:
     """The total order used for seeded shuffles: hash, then key, then tie-breaks."""
     return F.struct(digest(tag, key).alias("h"), F.col(key).alias("k"), *[F.col(c) for c in tiebreak])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.order_stats import exact_quantiles, value_order_rank
+from ..session import materialise
 
 SMALL_RANKING = 100_000
 DIRECT_GROUP_ROWS = 2_000_000
@@ -134,11 +135,13 @@ def probability_of(condition: Column) -> Column:
 def rank_desc(df: DataFrame, value: str, label: str, rank: str = "rank", descending: bool = True) -> DataFrame:
     """1..n by value, ties by label.
 
-    A scenario-sized table is ranked in one window. A larger one is range
+    The input is evaluated once, into the shared folder, and counted there. A
+    scenario-sized table is then ranked in one window; a larger one is range
     partitioned and ranked in parallel (``value_order_rank``).
     """
     order = [F.desc(value) if descending else F.asc(value), F.asc(label)]
-    if df.limit(SMALL_RANKING + 1).count() <= SMALL_RANKING:
+    df = materialise(df, "ranking")
+    if df.count() <= SMALL_RANKING:
         return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
     return value_order_rank(df, order, rank)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions import linalg
 from ..functions.expressions import rounded
 from ..operators import bootstrap, linear, metrics, reshape, scenario, split
+from ..operators.moments import collect_moments, moments
+from ..session import materialise
 from ..sources import study
 from ..sources.tables import FEATURES, KEY, LABEL, TIEBREAK
-from .common import SCENARIOS, clipped, scored
+from .common import SCENARIOS, clipped, fitted, scored
 from .oracle import BASE, FITTED, SCORED, is_test, ols, predicted, prep, r, with_
 from .registry import query
 
@@ -39,7 +43,7 @@ PLACES = f"""profiles AS (SELECT place, {', '.join(f'avg({f}) AS {f}' for f in F
 )
 def scenario_ranking(spark, sf_dir):
     """Flagship: clip, split, fit, condense to place profiles, score and rank."""
-    rows, model = _fitted_with(spark, sf_dir, ["place"])
+    rows, model = fitted(spark, sf_dir, ["place"])
     ranked, _ = scenario.scenario_ranking(scenario.profiles(rows, "place", FEATURES), model, "place")
     return ranked.select("rank", "place", rounded("prediction").alias("prediction"))
 
@@ -55,23 +59,21 @@ def scenario_ranking(spark, sf_dir):
     ),
 )
 def scenario_statistics(spark, sf_dir):
-    rows, model = _fitted_with(spark, sf_dir, ["place"])
+    rows, model = fitted(spark, sf_dir, ["place"])
     _, stats = scenario.scenario_ranking(scenario.profiles(rows, "place", FEATURES), model, "place")
     return stats.withColumns({c: rounded(c) for c in ("max_value", "min_value", "mean", "std", "median")})
 
 
-def _fitted_with(spark, sf_dir, extra):
-    from .common import fitted
-
-    return fitted(spark, sf_dir, extra)
-
-
 def two_targets(spark, sf_dir):
-    """Rows with both splits, and one model per target: seed 0 for the first, seed 1 for the second."""
+    """Rows with both splits, and one model per target: seed 0 for the first, seed 1 for the second.
+
+    The prepared rows feed two fits, two residual pools and the profiles, so they are
+    written once as a narrow table instead of repeating the joins.
+    """
     features = [*FEATURES, "x_price"]
     rows = clipped(spark, sf_dir, [KEY, TIEBREAK, "scenario", *features])
     rows = split.split_threshold(rows, 0, KEY, out="test_ch4")
-    rows = split.split_threshold(rows, 1, KEY, out="test_n2o")
+    rows = materialise(split.split_threshold(rows, 1, KEY, out="test_n2o"), "two-targets")
     ch4 = linear.fit(rows.where(~F.col("test_ch4")), FEATURES, LABEL)
     n2o = linear.fit(rows.where(~F.col("test_n2o")), N2O_FEATURES, LABEL)
     return rows, ch4, n2o
@@ -146,17 +148,12 @@ def heldout_residuals(spark, sf_dir):
 )
 def metric_reproduction_check(spark, sf_dir):
     """Metrics recomputed from rows against stored ones (test moments), one of them tampered with."""
-    from ..functions import linalg
-    from ..operators.moments import collect_moments, moments
-
-    rows, model = scored(spark, sf_dir)
+    rows, _ = scored(spark, sf_dir)
     test = rows.where(F.col("is_test"))
-    m = collect_moments(moments(test.withColumn("p", F.col("prediction")), ["p"], LABEL))[()]
+    m = collect_moments(moments(test, ["prediction"], LABEL))[()]
     A = m.second_moments(m.feature_means())
-    import numpy as np
-
-    stored_r2 = linalg.r_squared(A, np.array([1.0]), 0.0)
-    stored_rmse = (linalg.squared_error(A, np.array([1.0]), 0.0) / m.n) ** 0.5
+    stored_r2 = linalg.r_squared(A, np.ones(1), 0.0)
+    stored_rmse = (linalg.squared_error(A, np.ones(1), 0.0) / m.n) ** 0.5
     mae = test.agg(F.avg(F.abs(F.col(LABEL) - F.col("prediction"))).alias("mae")).scalar()
     stored = spark.range(1).select(
         F.lit("test").alias("part"), F.lit(stored_r2).alias("r2"), F.lit(stored_rmse).alias("rmse"), (mae + F.lit(1e-4)).alias("mae")
@@ -304,7 +301,7 @@ def contrast_summary(spark, sf_dir):
 )
 def point_prediction_check(spark, sf_dir):
     """Predictions of the profiles against values stored from an earlier pass, one of them wrong."""
-    rows, model = _fitted_with(spark, sf_dir, ["place"])
+    rows, model = fitted(spark, sf_dir, ["place"])
     predictions = scenario.score(model, scenario.profiles(rows, "place", FEATURES)).select("place", "prediction")
     stored = {p["place"]: p["prediction"] + (1e-3 if p["place"] == "NATION_3" else 0.0) for p in predictions.limit(1000).collect()}
     check = scenario.point_prediction_check(predictions, "place", stored)

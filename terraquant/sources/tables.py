@@ -62,14 +62,17 @@ def observations(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None
     Dimension tables are joined only for the columns asked for; each is keyed by its
     primary key and every line item has its match, so the row set is the same. No
     join is hinted: the optimiser broadcasts a dimension while it is small, and
-    adaptive execution splits a hot key when it is not.
+    adaptive execution splits a hot key when it is not. Rows that carry their key are
+    about to be hashed or expanded, so a scan too small to fill the cores is spread.
     """
     columns = list(columns or _EXPR)
     needed = {t for c in columns for t in _NEEDS.get(c, ())}
     line_columns = {lc for c in columns for lc in _LINE_COLUMNS.get(c, ())} | {_LINE_KEY[t] for t in needed if t in _LINE_KEY}
     line_columns |= {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"} if not line_columns else set()
     ordered = sorted(line_columns)
-    df = spread(table(spark, sf_dir, "lineitem").select(*ordered), *ordered)
+    df = table(spark, sf_dir, "lineitem").select(*ordered)
+    if KEY in columns:
+        df = spread(df, *ordered)
     if "part" in needed:
         df = df.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if "orders" in needed:
