@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +42,12 @@ class _Search:
         return self.inside * min(1.0, 3 * self.slack) <= direct_rows
 
 
+def _interior(ends: list[float], bracket: tuple[float, float]) -> list[int]:
+    """Pieces strictly between a bracket's ends that hold no end themselves."""
+    first, last = ends.index(bracket[0]), ends.index(bracket[1])
+    return [2 * i + 2 for i in range(first, last)]
+
+
 def _around(share: float, slack: float) -> list[float]:
     return [max(0.0, share - slack), min(1.0, share + slack)]
 
@@ -64,49 +71,48 @@ def exact_quantiles(
         F.count("y").alias("n"),
         F.min("y").alias("low"),
         F.max("y").alias("high"),
-        *[F.percentile_approx("y", _around(p, base), SKETCH_ACCURACY).alias(f"p{i}") for i, p in enumerate(probs)],
+        F.percentile_approx("y", [x for p in probs for x in _around(p, base)], SKETCH_ACCURACY).alias("sketch"),
     ).first()
     n = first["n"]
     if n == 0:
         return [None] * len(probs), 0
     positions = [p * (n - 1) for p in probs]
     searches = {
-        r: _Search(r, first["low"], first["high"], 0, n, base, tuple(first[f"p{i}"]))
+        r: _Search(r, first["low"], first["high"], 0, n, base, tuple(first["sketch"][2 * i : 2 * i + 2]))
         for i, pos in enumerate(positions)
         for r in (math.floor(pos), math.ceil(pos))
     }
     found: dict[int, float] = {}
     while searches:
-        fetched = {s.bracket for s in searches.values() if s.fits(direct_rows)}
-        brackets = sorted({s.bracket for s in searches.values()})
-        aggs: list[Column] = []
-        for i, (low, high) in enumerate(brackets):
-            strictly = (y > low) & (y < high)
-            aggs += [
-                F.count_if(y < low).alias(f"below{i}"),
-                F.count_if(y == low).alias(f"low{i}"),
-                F.count_if(strictly).alias(f"mid{i}"),
-                F.count_if((y == high) & (y > low)).alias(f"high{i}"),
-            ]
-            if (low, high) in fetched:
-                aggs.append(F.array_sort(F.collect_list(F.when(strictly, y))).alias(f"values{i}"))
-        row = values.agg(*aggs).first()
+        # The brackets' ends cut the line into pieces: even ones between ends, odd ones an end itself.
+        ends = sorted({e for s in searches.values() for e in s.bracket})
+        piece = sum(((y >= e).cast("int") + (y > e).cast("int") for e in ends), F.lit(0))
+        wanted = {i for s in searches.values() if s.fits(direct_rows) for i in _interior(ends, s.bracket)}
+        kept = F.when(F.col("piece").isin(sorted(wanted)), y) if wanted else F.lit(None).cast("double")
+        rows = (
+            values.select("y", piece.alias("piece"))
+            .groupBy("piece", kept.alias("value"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .collect()
+        )
+        size = [0] * (2 * len(ends) + 1)
+        held: dict[int, list[tuple[float, int]]] = {}
+        for r in sorted(rows, key=lambda r: (r["piece"], r["value"] if r["value"] is not None else 0.0)):
+            size[r["piece"]] += r["n"]
+            held.setdefault(r["piece"], []).append((r["value"], r["n"]))
+        before = list(accumulate(size, initial=0))
         for s in list(searches.values()):
-            i = brackets.index(s.bracket)
-            low, high = s.bracket
-            edge, middle, top = row[f"low{i}"], row[f"mid{i}"], row[f"high{i}"]
-            offset = s.rank - row[f"below{i}"]
-            if not 0 <= offset < edge + middle + top:
-                s.slack *= 4
-                continue
-            if offset < edge:
-                found[s.rank] = low
-            elif offset >= edge + middle:
-                found[s.rank] = high
-            elif s.bracket in fetched:
-                found[s.rank] = row[f"values{i}"][offset - edge]
+            at = next(i for i in range(len(size)) if s.rank < before[i + 1])
+            if at % 2:
+                found[s.rank] = ends[at // 2]
+            elif at in wanted:
+                passed = list(accumulate((c for _, c in held[at]), initial=before[at]))
+                found[s.rank] = next(v for (v, _), upto in zip(held[at], passed[1:], strict=True) if s.rank < upto)
+            elif at in _interior(ends, s.bracket):
+                s.low, s.high, s.slack = ends[at // 2 - 1], ends[at // 2], base
+                s.below, s.inside = before[at - 1], size[at - 1] + size[at] + size[at + 1]
             else:
-                s.low, s.high, s.below, s.inside, s.slack = low, high, row[f"below{i}"], edge + middle + top, base
+                s.slack *= 4
         searches = {r: s for r, s in searches.items() if r not in found}
         if searches:
             row = values.agg(
