@@ -98,10 +98,10 @@ def shap_sampled(
             for j in range(p + 1)
         ]
     )
-    rows = df.select(*key, *features).withColumn("__bg", sampled.scalar())
-    rows = rows.select(*key, *features, "__bg", F.explode(steps).alias("s"))
-    pick = F.pmod(bits_of(hex_draw(digest(F.concat(F.lit(f"{tag}:"), F.col("s.rep").cast("string")), key[0]), 0)), F.size("__bg"))
-    rows = rows.withColumn("__b", F.get("__bg", pick.cast("int"))).select(
+    reference = sampled.scalar()
+    rows = df.select(*key, *features, F.explode(steps).alias("s"))
+    pick = F.pmod(bits_of(hex_draw(digest(F.concat(F.lit(f"{tag}:"), F.col("s.rep").cast("string")), key[0]), 0)), F.size(reference))
+    rows = rows.withColumn("__b", F.get(reference, pick.cast("int"))).select(
         *key,
         F.col("s.step").alias("__step"),
         F.col("s.added").alias("__added"),

@@ -2,60 +2,96 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..functions.hashing import permutation_rows
 from .graph import edge_table, implied_independencies, validate
 from .moments import collect_conditioned
+from .prep import impute_whole_table
+from .trees import fit_tree
 
 TESTS_PER_PASS = 60
+TESTS_PER_TILE = 128
 CONSTANT = "__constant"
 TEST_SCHEMA = "x string, y string, given array<string>, statistic double, p_value double, n bigint"
 
 Test = tuple[str, str, tuple[str, ...]]
 
 
-def _linear_residuals(df: DataFrame, variables: Sequence[str], targets: set[tuple[str, tuple[str, ...]]]) -> dict[tuple[str, tuple[str, ...]], Column]:
-    """Residual of each variable after least squares on a set, as expressions over mean-imputed columns."""
+def _linear_sums(df: DataFrame, variables: Sequence[str], tests: Sequence[Test]) -> dict[int, tuple[float, float, int]]:
+    """Per test: sum and sum of squares of the residual products, and rows, from two passes in all.
+
+    The first pass aggregates moments, from which every regression of a variable on
+    a set follows. In the second each task turns its Arrow batches into residuals by
+    one matrix product and keeps running sums, so all tests share the scan and a
+    task emits one row per test.
+    """
     # Every variable may have gaps, so a constant stands in for the label.
     groups, centres = collect_conditioned(df.withColumn(CONSTANT, F.lit(0.0)), variables, CONSTANT)
     m = groups[()]
-    impute = m.feature_means()
-    A = m.second_moments(impute)
+    fill = m.feature_means()
+    A = m.second_moments(fill)
+    shift = np.array([centres.get(v, 0.0) for v in variables])
     place = {v: i for i, v in enumerate(variables)}
-    shift = {v: centres.get(v, 0.0) for v in variables}
-    filled = {
-        v: F.coalesce(F.col(v), F.lit(float(impute[i] + shift[v]))) - F.lit(shift[v]) for v, i in place.items()
-    }
-    out = {}
-    for target, given in targets:
+    regressions = sorted({(v, given) for x, y, given in tests for v in (x, y)})
+    number = {t: i for i, t in enumerate(regressions)}
+    weights = np.zeros((len(variables), len(regressions)))
+    offsets = np.zeros(len(regressions))
+    for (target, given), i in number.items():
         keep = [0, *[1 + place[g] for g in given], 1 + place[target]]
         beta, intercept = linalg.solve_ridge(A[np.ix_(keep, keep)])
-        expr = filled[target] - F.lit(intercept)
+        weights[place[target], i] += 1.0
         for b, g in zip(beta, given, strict=True):
-            expr = expr - F.lit(float(b)) * filled[g]
-        out[(target, given)] = expr
-    return out
-
-
-def _boosted_residuals(df: DataFrame, variables: Sequence[str], targets: set[tuple[str, tuple[str, ...]]], params: dict) -> DataFrame:
-    """Adds one residual column per (variable, set), each from a boosted-tree fit on the imputed table."""
-    from .trees import fit_tree
-
-    for target, given in sorted(targets):
+            weights[place[g], i] -= b
+        offsets[i] = intercept
+    left = np.array([number[(x, given)] for x, _, given in tests])
+    right = np.array([number[(y, given)] for _, y, given in tests])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, squares, rows = np.zeros(len(left)), np.zeros(len(left)), 0
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - shift
+            x = np.where(np.isnan(x), fill, x)
+            residual = x @ weights - offsets
+            for start in range(0, len(left), TESTS_PER_TILE):
+                tile = slice(start, start + TESTS_PER_TILE)
+                product = residual[:, left[tile]] * residual[:, right[tile]]
+                total[tile] += product.sum(axis=0)
+                squares[tile] += (product * product).sum(axis=0)
+            rows += len(batch)
+        yield pd.DataFrame({"test": np.arange(len(left)), "total": total, "squares": squares, "n": rows})
+
+    per_task = df.select(*variables).mapInPandas(sums, "test long, total double, squares double, n long")
+    merged = per_task.groupBy("test").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
+    return {r["test"]: (r["total"], r["squares"], r["n"]) for r in merged.collect()}
+
+
+def _boosted_sums(df: DataFrame, tests: Sequence[Test], params: dict) -> dict[int, tuple[float, float, int]]:
+    """The same sums with each regression a boosted-tree fit on the imputed table; batches of tests share a scan."""
+    columns = df.columns
+    for target, given in sorted({(v, given) for x, y, given in tests for v in (x, y)}):
         name = _residual_name(target, given)
-        if not given:
+        if given:
+            model = fit_tree(df.select(*columns), list(given), target, "gbt", **params)
+            residual = model.transform(df).withColumn(name, F.col(target) - F.col("prediction"))
+            df = residual.select(*df.columns, name)
+        else:
             df = df.withColumn(name, F.col(target) - df.agg(F.avg(target)).scalar())
-            continue
-        model = fit_tree(df, list(given), target, "gbt", **params)
-        scored = model.transform(df).withColumn(name, F.col(target) - F.col("prediction"))
-        df = scored.select(*df.columns, name)
-    return df
+    sums = {}
+    for start in range(0, len(tests), TESTS_PER_PASS):
+        aggs = []
+        for i, (x, y, given) in enumerate(tests[start : start + TESTS_PER_PASS], start):
+            product = F.col(_residual_name(x, given)) * F.col(_residual_name(y, given))
+            aggs += [F.sum(product).alias(f"t{i}"), F.sum(product * product).alias(f"q{i}")]
+        row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
+        sums |= {i: (row[f"t{i}"], row[f"q{i}"], row["n"]) for i in range(start, min(start + TESTS_PER_PASS, len(tests)))}
+    return sums
 
 
 def _residual_name(target: str, given: tuple[str, ...]) -> str:
@@ -66,34 +102,25 @@ def independence_tests(df: DataFrame, tests: Sequence[Test], learner: str = "lin
     """Generalised covariance measure of each (x, y, given): (x, y, given, statistic, p, n).
 
     x and y are residualised on the given set; under independence the mean product
-    of the residuals, scaled by its standard error, is standard normal. Linear
-    residuals are literal expressions, so all tests of a batch share one aggregate.
+    of the residuals, scaled by its standard error, is standard normal.
     """
-    variables = sorted({v for x, y, given in tests for v in (x, y, *given)})
     if not tests:
         return []
+    variables = sorted({v for x, y, given in tests for v in (x, y, *given)})
     rows = df.select(*[F.col(v).cast("double").alias(v) for v in variables])
-    targets = {(v, given) for x, y, given in tests for v in (x, y)}
     if learner == "linear":
-        residual = _linear_residuals(rows, variables, targets)
-        rows = rows.select(*[e.alias(_residual_name(*k)) for k, e in sorted(residual.items())])
+        sums = _linear_sums(rows, variables, tests)
     elif learner == "gbt":
-        from .prep import impute_whole_table
-
-        rows = _boosted_residuals(impute_whole_table(rows, variables), variables, targets, params)
+        sums = _boosted_sums(impute_whole_table(rows, variables), tests, params)
     else:
         raise ValueError(f"unknown learner {learner!r}")
     out = []
-    for start in range(0, len(tests), TESTS_PER_PASS):
-        batch = tests[start : start + TESTS_PER_PASS]
-        aggs = []
-        for i, (x, y, given) in enumerate(batch):
-            product = F.col(_residual_name(x, given)) * F.col(_residual_name(y, given))
-            aggs += [F.avg(product).alias(f"m{i}"), F.stddev_pop(product).alias(f"s{i}")]
-        row = rows.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-        for i, (x, y, given) in enumerate(batch):
-            t = row["n"] ** 0.5 * row[f"m{i}"] / row[f"s{i}"] if row[f"s{i}"] else 0.0
-            out.append((x, y, list(given), float(t), linalg.normal_two_sided(t), row["n"]))
+    for i, (x, y, given) in enumerate(tests):
+        total, squares, n = sums[i]
+        mean = total / n
+        spread = (squares / n - mean * mean) ** 0.5
+        t = float(n**0.5 * mean / spread) if spread > 0 else 0.0
+        out.append((x, y, list(given), t, linalg.normal_two_sided(t), int(n)))
     return out
 
 

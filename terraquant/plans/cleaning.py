@@ -109,14 +109,14 @@ def unit_convert_fill(spark, sf_dir):
     with_(
         OBS,
         select="""SELECT obs_key, round(power(10.0::double, y) * 24 / coalesce(x_size / 100, 0.2::double) / 1000 * 28 / 1000
-        * 67828164300.0::double / 1000000 , 3) AS t_co2eq FROM obs""",
+        * 67828164300.0::double / 1000000, 0) AS t_co2eq FROM obs""",
     ),
 )
 def flux_to_annual(spark, sf_dir):
     obs = observations(spark, sf_dir, [KEY, "x_size", LABEL])
     hlr = F.coalesce(F.col("x_size") / F.lit(100.0), F.lit(study.DEFAULT_HLR_M3_M2_D))
     annual = X.flux_to_annual(F.col(LABEL), hlr, study.GWP_CH4, study.WATER_VOLUME_M3_PER_YEAR)
-    return obs.select(KEY, rounded(annual, 3).alias("t_co2eq"))
+    return obs.select(KEY, rounded(annual, 0).alias("t_co2eq"))
 
 
 @query(
@@ -187,14 +187,14 @@ def padded_axis_range(spark, sf_dir):
     "attach_by_key",
     with_(
         *SCORED,
-        select=f"""SELECT o.obs_key, o.tiebreak, o.x_qty, {r('o.y')} AS observed, {r('s.prediction')} AS predicted
+        select=f"""SELECT o.obs_key, o.tiebreak, o.x_qty, {r('o.y', 4)} AS observed, {r('s.prediction', 4)} AS predicted
         FROM clipped o JOIN scored s USING (obs_key, tiebreak)""",
     ),
 )
 def attach_by_key(spark, sf_dir):
     rows, model = scored(spark, sf_dir)
-    predictions = rows.select(KEY, TIEBREAK, rounded("prediction").alias("predicted"))
-    observed = rows.select(KEY, TIEBREAK, "x_qty", rounded(LABEL).alias("observed"))
+    predictions = rows.select(KEY, TIEBREAK, rounded("prediction", 4).alias("predicted"))
+    observed = rows.select(KEY, TIEBREAK, "x_qty", rounded(LABEL, 4).alias("observed"))
     return observed.join(predictions, [KEY, TIEBREAK])
 
 

@@ -112,12 +112,12 @@ def selection_curve_table(spark, sf_dir):
 
 @query(
     "shap_linear",
-    with_(*EXPLAINED, LONG, select=f"SELECT obs_key, tiebreak, feature, {r('value')} AS value, {r('shap')} AS shap FROM attributions"),
+    with_(*EXPLAINED, LONG, select=f"SELECT obs_key, tiebreak, feature, {r('value', 4)} AS value, {r('shap', 4)} AS shap FROM attributions"),
 )
 def shap_linear(spark, sf_dir):
     rows, model = fitted(spark, sf_dir)
     long = explain.shap_long(rows, model, [KEY, TIEBREAK])
-    return long.withColumns({c: rounded(c) for c in ("value", "shap")})
+    return long.withColumns({c: rounded(c, 4) for c in ("value", "shap")})
 
 
 def explained(spark, sf_dir, extra=()):
@@ -147,15 +147,15 @@ def shap_dispersion(spark, sf_dir):
     "shap_wide_export",
     with_(
         *EXPLAINED,
-        select=f"SELECT obs_key, tiebreak, {r('y')} AS observed, {r('prediction')} AS prediction, "
-        + ", ".join(f"{r(f'shap_{f}')} AS shap_{f}" for f in FEATURES) + " FROM explained",
+        select=f"SELECT obs_key, tiebreak, {r('y', 4)} AS observed, {r('prediction', 4)} AS prediction, "
+        + ", ".join(f"{r(f'shap_{f}', 4)} AS shap_{f}" for f in FEATURES) + " FROM explained",
     ),
 )
 def shap_wide_export(spark, sf_dir):
     wide, _ = explained(spark, sf_dir)
     return wide.select(
-        KEY, TIEBREAK, rounded(LABEL).alias("observed"), rounded("prediction").alias("prediction"),
-        *[rounded(f"shap_{f}").alias(f"shap_{f}") for f in FEATURES],
+        KEY, TIEBREAK, rounded(LABEL, 4).alias("observed"), rounded("prediction", 4).alias("prediction"),
+        *[rounded(f"shap_{f}", 4).alias(f"shap_{f}") for f in FEATURES],
     )
 
 
@@ -165,14 +165,14 @@ def shap_wide_export(spark, sf_dir):
         *EXPLAINED,
         LONG,
         "top AS (SELECT feature FROM attributions GROUP BY feature ORDER BY avg(abs(shap)) DESC, feature LIMIT 2)",
-        select=f"SELECT obs_key, tiebreak, feature, {r('value')} AS value, {r('shap')} AS shap FROM attributions WHERE feature IN (SELECT feature FROM top)",
+        select=f"SELECT obs_key, tiebreak, feature, {r('value', 4)} AS value, {r('shap', 4)} AS shap FROM attributions WHERE feature IN (SELECT feature FROM top)",
     ),
 )
 def dependence_table(spark, sf_dir):
     wide, model = explained(spark, sf_dir)
     long = explain.shap_long(wide, model, [KEY, TIEBREAK])
     top = explain.dependence_table(long, explain.global_importance(wide, FEATURES), 2)
-    return top.select(KEY, TIEBREAK, "feature", rounded("value").alias("value"), rounded("shap").alias("shap"))
+    return top.select(KEY, TIEBREAK, "feature", rounded("value", 4).alias("value"), rounded("shap", 4).alias("shap"))
 
 
 @query(
@@ -233,7 +233,7 @@ def driver_bar_table(spark, sf_dir):
     with_(
         *SCORED,
         "span AS (SELECT least(min(y), min(prediction)) AS lo, greatest(max(y), max(prediction)) AS hi FROM scored)",
-        select=f"""SELECT obs_key, tiebreak, CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, {r('y')} AS observed, {r('prediction')} AS predicted,
+        select=f"""SELECT obs_key, tiebreak, CASE WHEN is_test THEN 'test' ELSE 'train' END AS part, {r('y', 4)} AS observed, {r('prediction', 4)} AS predicted,
         {r('lo - 0.05 * (hi - lo)')} AS axis_min, {r('hi + 0.05 * (hi - lo)')} AS axis_max FROM scored CROSS JOIN span""",
     ),
 )
@@ -242,4 +242,4 @@ def prediction_scatter_table(spark, sf_dir):
 
     rows, _ = scored(spark, sf_dir)
     scatter = table(rows, [KEY, TIEBREAK], LABEL)
-    return scatter.withColumns({c: rounded(c) for c in ("observed", "predicted", "axis_min", "axis_max")})
+    return scatter.withColumns({"observed": rounded("observed", 4), "predicted": rounded("predicted", 4), "axis_min": rounded("axis_min"), "axis_max": rounded("axis_max")})

@@ -126,7 +126,7 @@ def compare_models(spark, sf_dir):
 
 @query(
     "score",
-    with_(*SCORED, select=f"SELECT obs_key, tiebreak, is_test, {r('prediction')} AS prediction FROM scored"),
+    with_(*SCORED, select=f"SELECT obs_key, tiebreak, is_test, {r('prediction', 4)} AS prediction FROM scored"),
 )
 def score(spark, sf_dir):
     """Saved as a Spark ML stage, loaded back, and applied to every row."""
@@ -138,7 +138,7 @@ def score(spark, sf_dir):
     path = fresh_path(spark, "linear-model")
     model.as_stage().write().overwrite().save(path)
     scored_rows = scenario.score(PipelineModel.load(path), rows, FEATURES)
-    return scored_rows.select(KEY, TIEBREAK, "is_test", rounded("prediction").alias("prediction"))
+    return scored_rows.select(KEY, TIEBREAK, "is_test", rounded("prediction", 4).alias("prediction"))
 
 
 @query(
@@ -147,7 +147,7 @@ def score(spark, sf_dir):
         *SCORED,
         """m AS (SELECT 1 - sum(power(y - prediction, 2)) / (count(*) * var_pop(y)) AS test_r2,
         sqrt(avg(power(y - prediction, 2))) AS test_rmse FROM scored WHERE is_test)""",
-        select=f"""SELECT obs_key, tiebreak, is_test, {r('y')} AS observed, {r('prediction')} AS predicted, {r('test_r2')} AS test_r2,
+        select=f"""SELECT obs_key, tiebreak, is_test, {r('y', 4)} AS observed, {r('prediction', 4)} AS predicted, {r('test_r2')} AS test_r2,
         {r('test_rmse')} AS test_rmse FROM scored CROSS JOIN m""",
     ),
 )
@@ -156,6 +156,6 @@ def train_test_predictions(spark, sf_dir):
     test = metrics.regression_metrics(rows.where(F.col("is_test")), LABEL, "prediction")
     m = test.select(F.struct("r2", "rmse").alias("m")).scalar()
     return rows.select(
-        KEY, TIEBREAK, "is_test", rounded(LABEL).alias("observed"), rounded("prediction").alias("predicted"),
+        KEY, TIEBREAK, "is_test", rounded(LABEL, 4).alias("observed"), rounded("prediction", 4).alias("predicted"),
         rounded(m["r2"]).alias("test_r2"), rounded(m["rmse"]).alias("test_rmse"),
     )

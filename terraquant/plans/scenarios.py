@@ -110,14 +110,14 @@ def annual(log_flux: str, gwp: int) -> str:
     with_(
         *TWO_TARGETS,
         select=f"""SELECT scenario, {r('log_ch4')} AS log_ch4, {r('log_n2o')} AS log_n2o, {r('hlr')} AS hlr,
-        {r(annual('log_ch4', 28), 3)} AS ch4, {r(annual('log_n2o', 273), 3)} AS n2o,
-        {r(f"{annual('log_ch4', 28)} + {annual('log_n2o', 273)}", 3)} AS total FROM points""",
+        {r(annual('log_ch4', 28), 0)} AS ch4, {r(annual('log_n2o', 273), 0)} AS n2o,
+        {r(f"{annual('log_ch4', 28)} + {annual('log_n2o', 273)}", 0)} AS total FROM points""",
     ),
 )
 def scenario_point_totals(spark, sf_dir):
     p = scenario_points(*two_targets(spark, sf_dir))
     return p.select(
-        "scenario", *[rounded(c).alias(c) for c in ("log_ch4", "log_n2o", "hlr")], *[rounded(c, 3).alias(c) for c in ("ch4", "n2o", "total")]
+        "scenario", *[rounded(c).alias(c) for c in ("log_ch4", "log_n2o", "hlr")], *[rounded(c, 0).alias(c) for c in ("ch4", "n2o", "total")]
     )
 
 
@@ -125,14 +125,14 @@ def scenario_point_totals(spark, sf_dir):
     "heldout_residuals",
     with_(
         *SCORED,
-        select=f"""SELECT obs_key, tiebreak, {r('y')} AS observed, {r('prediction')} AS predicted, {r('y - prediction')} AS residual,
+        select=f"""SELECT obs_key, tiebreak, {r('y', 4)} AS observed, {r('prediction', 4)} AS predicted, {r('y - prediction', 4)} AS residual,
         x_qty, x_disc, x_size FROM scored WHERE is_test""",
     ),
 )
 def heldout_residuals(spark, sf_dir):
     rows, _ = scored(spark, sf_dir)
     held = scenario.heldout_residuals(rows, [KEY, TIEBREAK], LABEL, FEATURES)
-    return held.withColumns({c: rounded(c) for c in ("observed", "predicted", "residual")})
+    return held.withColumns({c: rounded(c, 4) for c in ("observed", "predicted", "residual")})
 
 
 @query(
@@ -215,14 +215,14 @@ SIMULATED = [
 def _simulation_sql(analysis: str) -> str:
     return with_(
         *SIMULATED,
-        select=f"""SELECT simulation::int AS simulation, scenario, {r('res_ch4')} AS res_ch4, {r('res_n2o')} AS res_n2o,
-        {r('ch4', 0)} AS ch4, {r('n2o', 0)} AS n2o, {r('total', 0)} AS total FROM simulated WHERE analysis = '{analysis}'""",
+        select=f"""SELECT simulation::int AS simulation, scenario, {r('res_ch4', 4)} AS res_ch4, {r('res_n2o', 4)} AS res_n2o,
+        {r('ch4', -3)} AS ch4, {r('n2o', -3)} AS n2o, {r('total', -3)} AS total FROM simulated WHERE analysis = '{analysis}'""",
     )
 
 
 def _rounded_simulation(df):
     return df.select(
-        "simulation", "scenario", *[rounded(c).alias(c) for c in ("res_ch4", "res_n2o")], *[rounded(c, 0).alias(c) for c in ("ch4", "n2o", "total")]
+        "simulation", "scenario", *[rounded(c, 4).alias(c) for c in ("res_ch4", "res_n2o")], *[rounded(c, -3).alias(c) for c in ("ch4", "n2o", "total")]
     )
 
 
@@ -236,7 +236,7 @@ def bootstrap_independent(spark, sf_dir):
     return _rounded_simulation(simulations(spark, sf_dir, ["independent"]))
 
 
-def _quantiles(columns, digits=3) -> str:
+def _quantiles(columns, digits=0) -> str:
     return ", ".join(
         f"{r(f'quantile_cont({c}, {q})', digits)} AS {c}_{n}" for c in columns for n, q in (("median", 0.5), ("lower", 0.025), ("upper", 0.975))
     )
@@ -248,7 +248,7 @@ def _quantiles(columns, digits=3) -> str:
 )
 def uncertainty_summary(spark, sf_dir):
     s = bootstrap.uncertainty_summary(simulations(spark, sf_dir), DRAWS)
-    return s.select("analysis", "scenario", *[rounded(c, 3).alias(c) for c in s.columns if c not in ("analysis", "scenario")])
+    return s.select("analysis", "scenario", *[rounded(c, 0).alias(c) for c in s.columns if c not in ("analysis", "scenario")])
 
 
 CONTRAST = [
@@ -262,13 +262,13 @@ CONTRAST = [
     "scenario_contrast",
     with_(
         *CONTRAST,
-        select=f"""SELECT analysis, simulation::int AS simulation, {r('a', 0)} AS a, {r('b', 0)} AS b, {r('difference', 0)} AS difference,
-        {r('relative')} AS relative FROM contrast""",
+        select=f"""SELECT analysis, simulation::int AS simulation, {r('a', -3)} AS a, {r('b', -3)} AS b, {r('difference', -3)} AS difference,
+        {r('relative', 4)} AS relative FROM contrast""",
     ),
 )
 def scenario_contrast(spark, sf_dir):
     c = bootstrap.scenario_contrast(simulations(spark, sf_dir), "BUILDING", "FURNITURE")
-    return c.select("analysis", "simulation", *[rounded(x, 0).alias(x) for x in ("a", "b", "difference")], rounded("relative").alias("relative"))
+    return c.select("analysis", "simulation", *[rounded(x, -3).alias(x) for x in ("a", "b", "difference")], rounded("relative", 4).alias("relative"))
 
 
 @query(
@@ -285,7 +285,7 @@ def contrast_summary(spark, sf_dir):
     names = ("median", "lower", "upper")
     return s.select(
         "analysis", rounded("p_higher").alias("p_higher"),
-        *[rounded(f"difference_{n}", 3).alias(f"difference_{n}") for n in names],
+        *[rounded(f"difference_{n}", 0).alias(f"difference_{n}") for n in names],
         *[rounded(f"relative_{n}").alias(f"relative_{n}") for n in names],
     )
 
