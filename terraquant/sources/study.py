@@ -35,9 +35,9 @@ POINT_PREDICTIONS = {
     "Class III": (3.316656351089478, 1.544445423663422),
 }
 
-# Hyper-parameter grids of the comparison and tuning stages. Depth 0 of a
-# grid that asks for unlimited depth is replaced by the deepest tree Spark ML grows (30);
-# cells the learner's library rejects are left out.
+# Hyper-parameter grids of the comparison stage. Unlimited depth is the
+# deepest tree Spark ML grows (30); cells the learner's library rejects, and parameters
+# without a counterpart, are left out.
 GRIDS = {
     "ridge": {"alpha": [0.01, 0.1, 1, 10, 50, 100]},
     "lasso": {"alpha": [0.0001, 0.001, 0.01, 0.1, 1, 10]},
@@ -66,6 +66,18 @@ GRIDS = {
     "catboost": {"maxIter": [500, 1000], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [4, 6, 8]},
 }
 
+# Hyper-parameter grids of the tuning stage.
+TUNING_GRIDS = {
+    "xgboost": {
+        "maxIter": [300, 600, 900], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5, 7],
+        "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"],
+    },
+    "extra_trees": {
+        "numTrees": [300, 600, 900], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2],
+        "featureSubsetStrategy": ["sqrt", "1.0"],
+    },
+}
+
 # Directed graphs and their treatments.
 GRAPHS = {
     "CH4_final": [
