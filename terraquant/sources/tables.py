@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import spread
 
@@ -52,8 +53,15 @@ _LINE_COLUMNS = {
 _LINE_KEY = {"orders": "l_orderkey", "part": "l_partkey", "supplier": "l_suppkey"}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Its schema is inferred once, so later reads start no inference job."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def observations(spark: SparkSession, sf_dir: str, columns: Sequence[str] | None = None) -> DataFrame:
