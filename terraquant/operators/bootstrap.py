@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import flux_to_annual
 from ..functions.order_stats import hash_order_index
+from ..session import materialise
 from ..sources.study import GWP_CH4, GWP_N2O, WATER_VOLUME_M3_PER_YEAR
 from .reshape import interval_summary, pivot_wide, probability_of
 
@@ -112,5 +113,6 @@ def scenario_contrast(simulations: DataFrame, a: str, b: str, label: str = "scen
 
 def contrast_summary(contrast: DataFrame, draws: int, by: Sequence[str] = ("analysis",)) -> DataFrame:
     """Probability that the first scenario exceeds the second, with medians and 95% intervals."""
+    contrast = materialise(contrast, "contrast")
     chance = contrast.groupBy(*by).agg(probability_of(F.col("difference") > 0).alias("p_higher"))
     return chance.join(interval_summary(contrast, by, ("difference", "relative"), group_rows=draws), list(by))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import linalg
 from ..functions.hashing import below, bits_of, with_seed_draws
 from ..functions.linalg import Moments
+from ..session import materialise
 from .moments import collect_conditioned, column_means, moments
 
 RUN_SCHEMA = (
@@ -218,10 +219,13 @@ def with_test_mae(
 ) -> DataFrame:
     """Add the held-out mean absolute error: one more scan, models broadcast by seed.
 
+    The chosen models are written first, because they are both the scoring side and
+    the result, and must not be fitted twice.
     The model side has seeds x learners rows; the hint is used only up to a fixed
     number of them, beyond which the join is left to the optimiser.
     """
     drawn = with_seed_draws(df.select(key, *features, label), seeds, key).where(below(F.col("draw"), test_fraction))
+    best = materialise(best, "chosen-runs")
     models = best.select("seed", "learner", "intercept", "slope", "impute")
     side = F.broadcast(models) if seeds * MAX_LEARNERS <= MAX_BROADCAST_RUNS else models
     scored = F.col("intercept")

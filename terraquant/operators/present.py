@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import flagged
+from ..session import materialise
 from ..sources.study import PROVINCES
 from .clean import name_normalise, padded_axis_range, scale_for_colour
 from .reshape import rank_desc
@@ -16,13 +17,14 @@ from .reshape import rank_desc
 def map_table(df: DataFrame, label: str, value: str) -> DataFrame:
     """(label, value, low, high): English labels with the colour range of the whole map."""
     named = name_normalise(df, label, PROVINCES, out="__english").select(F.col("__english").alias("label"), F.col(value).alias("value"))
+    named = materialise(named, "map-values")
     span = named.agg(F.struct(F.min("value").alias("low"), F.max("value").alias("high")).alias("s")).scalar()
     return named.select("label", "value", span["low"].alias("low"), span["high"].alias("high"))
 
 
 def ranking_bar_table(df: DataFrame, label: str, value: str) -> DataFrame:
     """Bars from shortest to longest with their colour share."""
-    rows = df.select(F.col(label).alias("label"), F.col(value).alias("value"))
+    rows = materialise(df.select(F.col(label).alias("label"), F.col(value).alias("value")), "bar-values")
     return rank_desc(scale_for_colour(rows, "value"), "value", "label", "position", descending=False)
 
 

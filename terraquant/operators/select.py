@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
+from ..session import materialise
 from .linear import sum_moments
 from .moments import collect_conditioned
 from .reshape import _stack, normalise_share, rank_desc, t_confidence_interval
@@ -17,8 +18,12 @@ FOLD_SCHEMA = "rank bigint, feature string, fold int, r2 double"
 
 
 def univariate_importance(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """(feature, importance): share of label variance each feature explains alone, in one pass."""
-    return _stack(df, [F.struct(F.lit(f).alias("feature"), F.regr_r2(label, f).alias("importance")) for f in features])
+    """(feature, importance): share of label variance each feature explains alone, in one pass.
+
+    The few resulting rows are written once, since rankings, shares and curves all read them.
+    """
+    rows = [F.struct(F.lit(f).alias("feature"), F.regr_r2(label, f).alias("importance")) for f in features]
+    return materialise(_stack(df, rows), "importance")
 
 
 def prefix_fold_scores(df: DataFrame, ranked: Sequence[str], label: str, fold: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..functions.expressions import rounded
 from ..operators import clean
+from ..session import materialise
 from ..sources import study
 from ..sources.tables import ALL_FEATURES, FEATURES, KEY, LABEL, TIEBREAK, observations
 from .common import SCENARIOS, clipped, scored
@@ -165,7 +166,7 @@ def highlight_flag(spark, sf_dir):
     ),
 )
 def scale_for_colour(spark, sf_dir):
-    by_place = observations(spark, sf_dir, ["place", LABEL]).groupBy("place").agg(F.avg(LABEL).alias("v"))
+    by_place = materialise(observations(spark, sf_dir, ["place", LABEL]).groupBy("place").agg(F.avg(LABEL).alias("v")), "place-means")
     return clean.scale_for_colour(by_place, "v").select("place", rounded("v").alias("v"), rounded("share").alias("share"))
 
 

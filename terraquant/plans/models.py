@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import rounded
 from ..operators import metrics, runs, scenario
 from ..operators.linear import best_cells, runs as gram_runs
+from ..session import materialise
 from ..sources import study
 from ..sources.tables import FEATURES, KEY, LABEL, TIEBREAK
 from .common import clipped, fitted, scored
@@ -83,7 +84,7 @@ RIDGE_GRID = {"ridge": study.GRIDS["ridge"]["alpha"]}
 )
 def grid_search_cv(spark, sf_dir):
     """All ridge penalties of the comparison grid, three seeds, five folds: one aggregate."""
-    cells = gram_runs(clipped(spark, sf_dir, [KEY, *FEATURES]), FEATURES, LABEL, KEY, 3, RIDGE_GRID)
+    cells = materialise(gram_runs(clipped(spark, sf_dir, [KEY, *FEATURES]), FEATURES, LABEL, KEY, 3, RIDGE_GRID), "cells")
     best = best_cells(cells).select("seed", F.col("cell").alias("best_cell"))
     return cells.join(best, "seed").select(
         "seed", "alpha", rounded("cv_r2", 9).alias("cv_r2"), (F.col("cell") == F.col("best_cell")).alias("best")
