@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, urls
+from . import bpe, chat, exact, urls
 from .shared import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,12 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op1_byte_bpe")
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 
