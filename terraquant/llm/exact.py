@@ -37,6 +37,8 @@ def heavy_winners(rows: DataFrame, tracked: int = TRACKED, heavy: int = HEAVY) -
         rows.select(F.xxhash64("digest").alias("h"), (F.spark_partition_id() % 32).alias("part"))
         .groupBy("part")
         .agg(F.expr(f"approx_top_k_accumulate(h, {tracked})").alias("state"))
+        # Grouped by a constant: an ungrouped merge fails on partitions without rows.
+        .groupBy(F.lit("all"))
         .agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(state, {tracked}), {heavy})").alias("top"))
     )
     candidates = sketches.select(F.explode("top").alias("t")).select(F.col("t.item").alias("h"))
