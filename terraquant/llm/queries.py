@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, urls
+from . import bpe, chat, exact, packing, simhash, urls
 from .shared import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,25 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_components(table(spark, sf_dir, "documents"))
+
+
+def packed_digests(docs: DataFrame) -> DataFrame:
+    """Documents packed by the production tokenizer, with a checksum in place of the ids."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        pieces = packing.pack(docs, f.read(), public_tokenizers.PATTERN)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@_query("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_digests(table(spark, sf_dir, "documents"))
+
+
 def _url_rules_sql(column: str) -> str:
     by_length = sorted(urls.RULES, key=lambda r: (len(r[0]) + len(r[1]), r), reverse=True)
     cases = " ".join(
