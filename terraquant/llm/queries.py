@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, packing, simhash, urls
+from . import bpe, chat, exact, langid, packing, quality, simhash, urls
 from .shared import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@_query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 _LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 
 
@@ -142,3 +147,8 @@ _SOFT_SQL = " + ".join(f"CAST(regexp_matches(url, '(^|{_EDGE}){t}({_EDGE}|$)') A
 )
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op9_quality_knn")
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
