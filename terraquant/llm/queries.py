@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, packing, quality, simhash, urls
+from . import bpe, chat, exact, langid, packing, quality, rules, simhash, urls
 from .shared import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,53 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+# Words as in the contract; a line of the method is normalised by lower case and single blanks.
+_SEP = r"[\x20\x09-\x0D]+"
+
+
+@_query(
+    "op2_quality_rules",
+    rf"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '{_SEP}'), lambda w: w <> '') AS words,
+               list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+        FROM documents
+    ), w AS (
+        SELECT doc_id, text, i, array_to_string(words[i:i + 7], ' ') AS win
+        FROM (SELECT doc_id, text, words, unnest(range(1, len(words) - 6)) AS i FROM d)
+    ), r AS (
+        SELECT doc_id, text, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, text, win) > 1
+    ), rep AS (
+        SELECT doc_id, text, count(DISTINCT i + k) AS n FROM r, range(8) AS t(k) GROUP BY doc_id, text
+    ), l AS (
+        SELECT doc_id, host, text, trim(regexp_replace(lower(x), '{_SEP}', ' ', 'g')) AS line
+        FROM (SELECT doc_id, host, text, unnest(lines) AS x FROM d)
+    ), host AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
+    common AS (
+        SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM l GROUP BY host, line) JOIN host USING (host)
+        WHERE n > {rules.MIN_TEXTS} AND n > {rules.SHARE} * n_texts
+    ), gone AS (
+        SELECT doc_id, text, sum(len(string_split(line, ' '))) AS n FROM l JOIN common USING (host, line) GROUP BY doc_id, text
+    ), f AS (
+        SELECT d.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+               length(d.text) - length(regexp_replace(d.text, '{rules.SYMBOLS}', '', 'g')) AS n_symbols,
+               len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS n_gone
+        FROM d LEFT JOIN rep USING (doc_id, text) LEFT JOIN gone USING (doc_id, text)
+    ), b AS (
+        SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM f
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND n_words - n_gone >= {rules.MIN_WORDS} AND n_words - n_gone >= {rules.MIN_LEFT} * n_words AS kept
+    FROM b
+    """,
+)
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 @_query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
