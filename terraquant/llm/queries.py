@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, packing, quality, rules, simhash, urls
+from . import bpe, chat, exact, langid, licences, packing, quality, rules, simhash, urls
 from .shared import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_quality_knn")
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query("op10_licence_scan")
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan(docs, licences.fit(docs))
+    return found.select("doc_id", "number", "family", F.round("probability", 3).alias("probability"), "overlap", "confirmed")
