@@ -203,3 +203,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, model, id_col, text_col).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that score at least `threshold`, with their own columns; rows stay where they lie."""
+    lower_arrow_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                found = own.scores(np.stack([term_counts(t) for t in batch.column(at).to_pylist()]))
+                yield batch.filter(pa.array(found >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
