@@ -16,6 +16,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .hashing import digest
 
 SKETCH_ACCURACY = 4_000
@@ -204,8 +205,8 @@ def value_order_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank",
 
     The table is range-partitioned on the whole order (so equal leading values are
     split by the tie-breaks), each row's place is read off the sorted partition, and
-    partition offsets come from a small count. The sorted table is checkpointed to
-    the shared folder because the offsets and the ranks must see the same partitions.
+    partition offsets come from a small count. The sorted table is written to the
+    shared folder because the offsets and the ranks must see the same partitions.
     """
     spark = df.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -219,11 +220,7 @@ def value_order_rank(df: DataFrame, order: Sequence[Column], rank: str = "rank",
             F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).alias("__pos"),
         )
     )
-    if spark.sparkContext.getCheckpointDir() is None:
-        from ..session import shared_dir
-
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    placed = placed.checkpoint()
+    placed = materialise(placed, "ranked")
     running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("c"))
     offsets = offsets.select("__part", (F.sum("c").over(running) - F.col("c")).alias("__offset"))

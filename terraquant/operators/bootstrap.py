@@ -21,7 +21,6 @@ from ..sources.study import GWP_CH4, GWP_N2O, WATER_VOLUME_M3_PER_YEAR
 from .reshape import interval_summary, pivot_wide, probability_of
 
 BLOCK = 1000
-MAX_BROADCAST_DRAWS = 2_000_000
 TOTALS = ("ch4", "n2o", "total")
 ANALYSES = ("paired", "independent")
 
@@ -66,7 +65,6 @@ def simulate(
     seed: int,
     analyses: Sequence[str] = ANALYSES,
     label: str = "scenario",
-    n_scenarios: int = 4,
     water_volume: float = WATER_VOLUME_M3_PER_YEAR,
 ) -> DataFrame:
     """Scenario totals under residual draws, all analyses in one plan.
@@ -76,15 +74,13 @@ def simulate(
     in the ``independent`` analysis one per scenario as well. The two targets are
     always drawn independently. Each pool is read once for all analyses.
     """
-    small = draws * n_scenarios * len(analyses) <= MAX_BROADCAST_DRAWS
     rows = scenarios.select("*", F.explode(F.array(*[F.lit(a) for a in analyses])).alias("analysis"))
     rows = expand_draws(rows, draws)
     own = F.when(F.col("analysis") == "independent", F.col(label))
     for target in ("ch4", "n2o"):
         named = rows.withColumn("__idx", draw_index(target, seed, [F.col("simulation"), own], pools[target].size))
-        side = F.broadcast(named) if small else named
         pool = pools[target].rows.select(F.col("idx").alias("__idx"), F.col("residual").alias(f"res_{target}"))
-        rows = pool.join(side, "__idx").drop("__idx")
+        rows = pool.join(named, "__idx").drop("__idx")
     for target, gwp in (("ch4", GWP_CH4), ("n2o", GWP_N2O)):
         log_flux = F.col(f"log_{target}") + F.col(f"res_{target}")
         rows = rows.withColumn(target, flux_to_annual(log_flux, F.col("hlr"), gwp, water_volume))
@@ -94,7 +90,7 @@ def simulate(
 
 
 def uncertainty_summary(simulations: DataFrame, draws: int, label: str = "scenario") -> DataFrame:
-    return interval_summary(simulations, ["analysis", label], TOTALS, group_rows=draws)
+    return interval_summary(simulations, ["analysis", label], TOTALS)
 
 
 def scenario_contrast(simulations: DataFrame, a: str, b: str, label: str = "scenario", by: Sequence[str] = ("analysis",)) -> DataFrame:
@@ -115,4 +111,4 @@ def contrast_summary(contrast: DataFrame, draws: int, by: Sequence[str] = ("anal
     """Probability that the first scenario exceeds the second, with medians and 95% intervals."""
     contrast = materialise(contrast, "contrast")
     chance = contrast.groupBy(*by).agg(probability_of(F.col("difference") > 0).alias("p_higher"))
-    return chance.join(interval_summary(contrast, by, ("difference", "relative"), group_rows=draws), list(by))
+    return chance.join(interval_summary(contrast, by, ("difference", "relative")), list(by))

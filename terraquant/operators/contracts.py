@@ -111,5 +111,6 @@ def require_ok(report: DataFrame, what: str) -> DataFrame:
     """Fail with the broken rows of a contract report; hand the report back when all hold."""
     broken = report.where(~F.col("ok")).limit(20).collect()
     if broken:
-        raise ValueError(f"{what}: {[r.asDict() for r in broken]}")
+        total = report.where(~F.col("ok")).count()
+        raise ValueError(f"{what}: {total} broken rows, the first of them {[r.asDict() for r in broken]}")
     return report

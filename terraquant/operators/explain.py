@@ -11,7 +11,6 @@ from ..functions.hashing import digest, hex_draw, bits_of, permutation_rows
 from .linear import LinearModel
 from .reshape import _stack, top_k_features
 
-MAX_BACKGROUND = 1_000
 
 
 def linear_attributions(model: LinearModel) -> dict[str, Column]:
@@ -77,12 +76,11 @@ def shap_sampled(
     background row. A step's prediction counts for the feature just added and
     against the next one, so the values come from one aggregate per row, without
     ordering the steps. They sum to the prediction minus the mean background
-    prediction. The background is a hash sample of bounded size.
+    prediction. The background is a hash sample of
+    `background_rows` rows, carried as one array.
     """
     features = list(features)
     p = len(features)
-    if background_rows > MAX_BACKGROUND:
-        raise ValueError(f"background is limited to {MAX_BACKGROUND} rows")
     sampled = (
         background.select(digest(tag, key[0]).alias("h"), *key, *features)
         .orderBy("h", *key)

@@ -12,8 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_NODES = 64
-
+from ..session import materialise
 
 def edge_table(spark: SparkSession, graphs: Mapping[str, Sequence[tuple[str, str]]]) -> DataFrame:
     return spark.createDataFrame(
@@ -25,8 +24,6 @@ def validate(graphs: Mapping[str, Sequence[tuple[str, str]]], columns: Sequence[
     """Reject graphs with a node that has no data column, or with a cycle."""
     for name, edges in graphs.items():
         nodes = {n for e in edges for n in e}
-        if len(nodes) > MAX_NODES:
-            raise ValueError(f"graph {name}: more than {MAX_NODES} nodes")
         unknown = sorted(nodes - set(columns))
         if unknown:
             raise ValueError(f"graph {name}: nodes without a data column: {unknown}")
@@ -44,18 +41,20 @@ def node_table(edges: DataFrame) -> DataFrame:
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(graph, node, ancestor): transitive closure by a recursive query."""
-    return edges.sparkSession.sql(
-        """
-        WITH RECURSIVE reach(graph, node, ancestor) AS (
-          SELECT graph, dst, src FROM {edges}
-          UNION ALL
-          SELECT r.graph, r.node, e.src FROM reach r JOIN {edges} e ON e.graph = r.graph AND e.dst = r.ancestor
+    """(graph, node, ancestor): transitive closure over pairs.
+
+    Each round joins the pairs with themselves and keeps every pair once, so paths double in length
+    and the rows never exceed the pairs of nodes, however many paths there are.
+    """
+    reach = materialise(edges.select("graph", F.col("dst").alias("node"), F.col("src").alias("ancestor")).distinct(), "closure")
+    known, before = reach.count(), 0
+    while known != before:
+        further = reach.alias("a").join(
+            reach.alias("b"), (F.col("a.graph") == F.col("b.graph")) & (F.col("a.ancestor") == F.col("b.node"))
         )
-        SELECT DISTINCT graph, node, ancestor FROM reach
-        """,
-        edges=edges,
-    )
+        reach = materialise(reach.unionByName(further.select("a.graph", "a.node", "b.ancestor")).distinct(), "closure")
+        known, before = reach.count(), known
+    return reach
 
 
 def parent_sets(edges: DataFrame) -> DataFrame:

@@ -25,8 +25,6 @@ RUN_SCHEMA = (
     "seed int, learner string, alpha double, cv_r2 double, test_r2 double, test_rmse double, "
     "n_train bigint, n_test bigint, intercept double, slope array<double>, impute array<double>"
 )
-MAX_LEARNERS = 16
-MAX_BROADCAST_RUNS = 20_000
 
 
 @dataclass(frozen=True)
@@ -217,19 +215,18 @@ def best_cells(cells: DataFrame) -> DataFrame:
 def with_test_mae(
     best: DataFrame, df: DataFrame, features: Sequence[str], label: str, key: str, seeds: int, test_fraction: float = 0.3
 ) -> DataFrame:
-    """Add the held-out mean absolute error: one more scan, models broadcast by seed.
+    """Add the held-out mean absolute error: one more scan, joined with the models by seed.
 
     The chosen models are written first, because they are both the scoring side and
     the result, and must not be fitted twice.
-    The model side has seeds x learners rows; the hint is used only up to a fixed
-    number of them, beyond which the join is left to the optimiser.
+    The written model side has seeds x learners rows; the optimiser broadcasts it
+    while its file is small.
     """
     drawn = with_seed_draws(df.select(key, *features, label), seeds, key).where(below(F.col("draw"), test_fraction))
     best = materialise(best, "chosen-runs")
     models = best.select("seed", "learner", "intercept", "slope", "impute")
-    side = F.broadcast(models) if seeds * MAX_LEARNERS <= MAX_BROADCAST_RUNS else models
     scored = F.col("intercept")
     for i, f in enumerate(features):
         scored = scored + F.col("slope")[i] * F.coalesce(F.col(f), F.col("impute")[i])
-    mae = drawn.join(side, "seed").groupBy("seed", "learner").agg(F.avg(F.abs(F.col(label) - scored)).alias("test_mae"))
+    mae = drawn.join(models, "seed").groupBy("seed", "learner").agg(F.avg(F.abs(F.col(label) - scored)).alias("test_mae"))
     return best.join(mae, ["seed", "learner"], "left")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_GROUPS = 20_000
+from ..session import materialise
 
 
 def fit_preprocessing(df: DataFrame, features: Sequence[str], by: Sequence[str] = (), train: Column | None = None) -> DataFrame:
@@ -27,17 +27,15 @@ def fit_preprocessing(df: DataFrame, features: Sequence[str], by: Sequence[str]
 
 def apply_preprocessing(
     df: DataFrame, stats: DataFrame, features: Sequence[str], by: Sequence[str] = (), impute: bool = True, scale: bool = True,
-    groups: int = 1,
 ) -> DataFrame:
     """Impute and scale features in place. Values outside the training range are not clamped.
 
-    Without groups the statistics are scalar subqueries. With groups (``groups`` of
-    them, a number the caller sets, such as seeds) they are joined by equality and
-    broadcast while their number is small.
+    Without groups the statistics are scalar subqueries. With groups they are written
+    and joined by equality.
     """
     if by:
-        side = F.broadcast(stats) if groups <= MAX_BROADCAST_GROUPS else stats
-        joined = df.join(side, list(by))
+        # Written, so that the optimiser knows its size when it chooses the join.
+        joined = df.join(materialise(stats, "group-statistics"), list(by))
         stat = lambda f: F.col(f"__{f}")
     else:
         joined = df
@@ -68,7 +66,7 @@ def minmax_scale(df: DataFrame, features: Sequence[str], train: Column | None =
 def impute_by_seed(df: DataFrame, features: Sequence[str], seeds: int, scale: bool = True, seed: str = "seed", is_test: str = "is_test") -> DataFrame:
     """Per-seed preprocessing of a table replicated over seeds."""
     stats = fit_preprocessing(df, features, by=[seed], train=~F.col(is_test))
-    return apply_preprocessing(df, stats, features, by=[seed], scale=scale, groups=seeds)
+    return apply_preprocessing(df, stats, features, by=[seed], scale=scale)
 
 
 def impute_whole_table(df: DataFrame, features: Sequence[str], scale: bool = False) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.linalg import student_quantile
 from ..functions.order_stats import exact_quantiles, value_order_rank
 from ..session import materialise
 
-SMALL_RANKING = 100_000
-DIRECT_GROUP_ROWS = 2_000_000
-MAX_GROUPS = 1_000
+# Degrees of freedom from which the t quantile is a series.
+EXPANSION_FROM = 50
 
 
 def _stack(df: DataFrame, structs: Sequence[Column]) -> DataFrame:
@@ -77,18 +78,34 @@ def normalise_share(df: DataFrame, value: str, out: str = "share") -> DataFrame:
     return df.withColumn(out, F.try_divide(F.col(value), total))
 
 
-def t_confidence_interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Mean and 95% t interval of a few scores per group (folds of one model)."""
-    from ..functions.linalg import student_quantile
+def _t_critical(freedom: Column) -> Column:
+    """97.5% quantile of Student's t for any degrees of freedom.
+
+    Few degrees are looked up; from 50 on the expansion around the normal quantile is exact to
+    about 1e-9.
+    """
+    known = F.create_map(*[F.lit(x) for n in range(1, EXPANSION_FROM) for x in (n, student_quantile(0.975, n))])
+    z, n = 1.959963984540054, freedom.cast("double")
+    terms = (
+        (z**3 + z) / 4,
+        (5 * z**5 + 16 * z**3 + 3 * z) / 96,
+        (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+        (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
+    )
+    series = F.lit(z)
+    for power, term in enumerate(terms, 1):
+        series = series + term / F.pow(n, F.lit(power))
+    return F.when(freedom < EXPANSION_FROM, F.try_element_at(known, freedom.cast("int"))).otherwise(series)
+
 
-    # Fixed by the number of scores; a map covers every fold count a study would use.
-    critical = F.create_map(*[F.lit(x) for k in range(2, 51) for x in (k, student_quantile(0.975, k - 1))])
+def t_confidence_interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Mean and 95% t interval of the scores of each group; one score has no interval."""
     stats = df.groupBy(*by).agg(
         F.avg(value).alias("mean"),
         (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem"),
         F.count(value).cast("int").alias("k"),
     )
-    half = F.try_element_at(critical, F.col("k")) * F.col("sem")
+    half = _t_critical(F.col("k") - 1) * F.col("sem")
     return stats.select(*by, "mean", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
 
 
@@ -99,33 +116,47 @@ def pivot_wide(df: DataFrame, index: Sequence[str], columns: str, values: str, l
 
 
 def interval_summary(
-    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float] = (0.5, 0.025, 0.975), group_rows: int | None = None
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], probs: Sequence[float] = (0.5, 0.025, 0.975)
 ) -> DataFrame:
-    """Median and 95% interval of several columns per group.
+    """Median and 95% interval of several columns per group, exact for groups of any number and size.
 
-    ``group_rows`` is the group size where the caller knows it (the number of draws).
-    Otherwise groups are counted first; groups too large for one exact quantile
-    state go through the bracketed search, one group at a time.
+    All columns of all groups are ranked together over range partitions. The few ranks that the
+    quantiles need are then met by an equi-join on the rank, so no task holds a group.
     """
     names = ("median", "lower", "upper")
-    if group_rows is None or group_rows > DIRECT_GROUP_ROWS:
-        sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).limit(MAX_GROUPS + 1).collect()
-        if len(sizes) > MAX_GROUPS:
-            raise ValueError(f"interval_summary is for up to {MAX_GROUPS} groups")
-        group_rows = max((r["__n"] for r in sizes), default=0)
-    if group_rows <= DIRECT_GROUP_ROWS:
-        agg = df.groupBy(*by).agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c) for c in columns])
-        return agg.select(*by, *[F.col(c)[i].alias(f"{c}_{n}") for c in columns for i, n in enumerate(names)])
-    out = []
-    for r in sizes:
-        group = df
-        for k in by:
-            group = group.where(F.col(k).eqNullSafe(F.lit(r[k])))
-        out.append([r[k] for k in by] + [q for c in columns for q in exact_quantiles(group, c, probs)[0]])
-    schema = T.StructType(
-        [df.schema[k] for k in by] + [T.StructField(f"{c}_{n}", T.DoubleType()) for c in columns for n in names]
+    by, columns = list(by), list(columns)
+    long = long_format(df.select(*by, *columns), by, columns, "__column", "__value").where(F.col("__value").isNotNull())
+    long = materialise(long, "interval-values")
+    ranked = value_order_rank(long, [F.asc(c) for c in (*by, "__column", "__value")], "__rank")
+    sizes = ranked.groupBy(*by, "__column").agg(F.min("__rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    wanted = F.array(
+        *[
+            F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * F.lit(float(p))).alias("at"))
+            for name, p in zip(names, probs, strict=True)
+        ]
+    )
+    sides = F.array(F.floor("w.at"), F.ceil("w.at"))
+    places = (
+        sizes.select("*", F.explode(wanted).alias("w"))
+        .select(*by, "__column", "w.name", (F.col("w.at") - F.floor("w.at")).alias("share"), "first", F.posexplode(sides).alias("side", "at"))
+        .select(*by, "__column", "name", "share", "side", (F.col("first") + F.col("at")).alias("__rank"))
+    )
+    met = places.join(ranked.select("__rank", "__value"), "__rank")
+    low, high = (F.max(F.when(F.col("side") == i, F.col("__value"))) for i in (0, 1))
+    found = met.groupBy(*by, "__column", "name").agg((low + (high - low) * F.max("share")).alias("q"))
+    wide = found.groupBy(*by).agg(
+        *[
+            F.max(F.when((F.col("__column") == c) & (F.col("name") == n), F.col("q"))).alias(f"{c}_{n}")
+            for c in columns
+            for n in names
+        ]
+    )
+    # Groups without any value keep their row.
+    groups = df.select(*by).distinct()
+    same = [groups[k].eqNullSafe(wide[k]) for k in by]
+    return groups.join(wide, reduce(operator.and_, same), "left").select(
+        *[groups[k] for k in by], *[wide[f"{c}_{n}"] for c in columns for n in names]
     )
-    return df.sparkSession.createDataFrame(out, schema)
 
 
 def probability_of(condition: Column) -> Column:
@@ -133,17 +164,12 @@ def probability_of(condition: Column) -> Column:
 
 
 def rank_desc(df: DataFrame, value: str, label: str, rank: str = "rank", descending: bool = True) -> DataFrame:
-    """1..n by value, ties by label.
+    """1..n by value, ties by label, ranked in parallel over range partitions at every size.
 
-    The input is evaluated once, into the shared folder, and counted there. A
-    scenario-sized table is then ranked in one window; a larger one is range
-    partitioned and ranked in parallel (``value_order_rank``).
+    The input is evaluated once, into the shared folder: range partitioning reads it twice.
     """
     order = [F.desc(value) if descending else F.asc(value), F.asc(label)]
-    df = materialise(df, "ranking")
-    if df.count() <= SMALL_RANKING:
-        return df.withColumn(rank, F.row_number().over(Window.orderBy(*order)).cast("bigint"))
-    return value_order_rank(df, order, rank)
+    return value_order_rank(materialise(df, "ranking"), order, rank)
 
 
 def head_tail_k(df: DataFrame, value: str, label: str, k: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -50,12 +50,12 @@ def point_totals(scenarios: DataFrame, log_ch4: Column, log_n2o: Column, hlr_lit
     return out.withColumn("total", F.col("ch4") + F.col("n2o"))
 
 
-def point_prediction_check(predictions: DataFrame, label: str, expected: Mapping[str, float], tolerance: float = 1e-6) -> DataFrame:
-    """(label, expected, prediction, diff, ok) for stored point predictions."""
-    lookup = F.create_map(*[F.lit(x) for pair in expected.items() for x in pair])
-    rows = predictions.where(F.col(label).isin(list(expected))).select(
-        label, F.try_element_at(lookup, F.col(label)).alias("expected"), "prediction"
-    )
+def point_prediction_check(predictions: DataFrame, label: str, expected: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """(label, expected, prediction, diff, ok) for every row of a table of stored (label, expected).
+
+    A stored point without a prediction is reported as not ok.
+    """
+    rows = expected.select(label, "expected").join(predictions.select(label, "prediction"), label, "left")
     diff = F.abs(F.col("prediction") - F.col("expected"))
     return rows.withColumn("diff", diff).withColumn("ok", F.coalesce(diff < tolerance, F.lit(False)))
 

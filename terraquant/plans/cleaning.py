@@ -204,7 +204,7 @@ def attach_by_key(spark, sf_dir):
     with_(
         OBS,
         "s AS (SELECT scenario, avg(y) AS point FROM obs WHERE scenario <> 'AUTOMOBILE' GROUP BY scenario)",
-        "d AS (SELECT range + 1 AS simulation FROM range(1000))",
+        f"d AS (SELECT range + 1 AS simulation FROM range({study.N_SIMULATIONS}))",
         select=f"SELECT simulation, scenario, {r('point + (simulation % 7) / 10.0::double')} AS shifted FROM d CROSS JOIN s",
     ),
 )
@@ -213,7 +213,7 @@ def broadcast_scenarios(spark, sf_dir):
 
     obs = observations(spark, sf_dir, ["scenario", LABEL]).where(F.col("scenario").isin(SCENARIOS))
     points = obs.groupBy("scenario").agg(F.avg(LABEL).alias("point"))
-    draws = expand_draws(points, 1000)
+    draws = expand_draws(points, study.N_SIMULATIONS)
     return draws.select("simulation", "scenario", rounded(F.col("point") + F.col("simulation") % 7 / F.lit(10.0)).alias("shifted"))
 
 

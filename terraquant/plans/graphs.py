@@ -162,7 +162,7 @@ def backdoor_effect_scaled(spark, sf_dir):
     return e.select("treatment", "n", *[rounded(c, 9).alias(c) for c in EFFECT_COLUMNS], rounded("t_stat", 4).alias("t_stat"))
 
 
-REPS = 8
+REPS = 100
 NOISE_SQL = f"""noisy AS (SELECT filled.*, rep, {draw('rep')} / 4294967296.0::double - 0.5::double AS noise, {draw('rep')} / 4294967296.0::double < 0.8::double AS kept
     FROM filled CROSS JOIN (SELECT range AS rep FROM range({REPS})) reps)"""
 

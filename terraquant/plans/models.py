@@ -73,18 +73,21 @@ def fit_lasso(spark, sf_dir):
 RIDGE_GRID = {"ridge": study.GRIDS["ridge"]["alpha"]}
 
 
+GRID_SEEDS = 50
+
+
 @query(
     "grid_search_cv",
     with_(
         *BASE[:3],
-        *runs_sql(3, RIDGE_GRID),
+        *runs_sql(GRID_SEEDS, RIDGE_GRID),
         select=f"""SELECT c.seed::int AS seed, c.alpha, {r('c.cv_r2', 9)} AS cv_r2, chosen.cell IS NOT NULL AS best
         FROM cv c LEFT JOIN chosen ON chosen.seed = c.seed AND chosen.cell = c.cell""",
     ),
 )
 def grid_search_cv(spark, sf_dir):
-    """All ridge penalties of the comparison grid, three seeds, five folds: one aggregate."""
-    cells = materialise(gram_runs(clipped(spark, sf_dir, [KEY, *FEATURES]), FEATURES, LABEL, KEY, 3, RIDGE_GRID), "cells")
+    """All ridge penalties of the comparison grid, fifty seeds, five folds: one aggregate."""
+    cells = materialise(gram_runs(clipped(spark, sf_dir, [KEY, *FEATURES]), FEATURES, LABEL, KEY, GRID_SEEDS, RIDGE_GRID), "cells")
     best = best_cells(cells).select("seed", F.col("cell").alias("best_cell"))
     return cells.join(best, "seed").select(
         "seed", "alpha", rounded("cv_r2", 9).alias("cv_r2"), (F.col("cell") == F.col("best_cell")).alias("best")
@@ -106,7 +109,7 @@ def regression_metrics(spark, sf_dir):
 
 
 BOARD_GRID = {"ols": [0.0], "ridge": study.GRIDS["ridge"]["alpha"]}
-BOARD_SEEDS = 5
+BOARD_SEEDS = 50
 
 
 @query(

@@ -303,6 +303,7 @@ def point_prediction_check(spark, sf_dir):
     """Predictions of the profiles against values stored from an earlier pass, one of them wrong."""
     rows, model = fitted(spark, sf_dir, ["place"])
     predictions = scenario.score(model, scenario.profiles(rows, "place", FEATURES)).select("place", "prediction")
-    stored = {p["place"]: p["prediction"] + (1e-3 if p["place"] == "NATION_3" else 0.0) for p in predictions.limit(1000).collect()}
+    wrong = F.when(F.col("place") == "NATION_3", 1e-3).otherwise(0.0)
+    stored = materialise(predictions.select("place", (F.col("prediction") + wrong).alias("expected")), "stored-points")
     check = scenario.point_prediction_check(predictions, "place", stored)
     return check.withColumns({c: rounded(c) for c in ("expected", "prediction", "diff")})

@@ -13,7 +13,7 @@ from .common import clipped, scored
 from .oracle import BASE, OBS, SCORED, draw, is_test, predicted, prep, r, sweep, coefficients, gram, with_
 from .registry import query
 
-RUN_SEEDS = 10
+RUN_SEEDS = 50
 
 
 @query(
