@@ -13,7 +13,7 @@ from .oracle import BASE, FITTED, OBS, SCORED, bits, prep, r, with_
 from .registry import query
 from .summaries import r2_rows
 
-SELECTION = list(FEATURES)
+SELECTION = list(ALL_FEATURES)
 SHAP = ", ".join(f"b{i} * (z{i} - (m_{f} - lo_{f}) / (hi_{f} - lo_{f})) AS shap_{f}" for i, f in enumerate(FEATURES, 1))
 EXPLAINED = [*SCORED, f"explained AS (SELECT scored.*, {SHAP} FROM scored CROSS JOIN coef CROSS JOIN prepped_stats)"]
 LONG = "attributions AS (" + " UNION ALL ".join(
