@@ -129,3 +129,34 @@ def predicted(p: int = len(FEATURES), prefix: str = "z") -> str:
 BASE = [OBS, BOUNDS, CLIPPED, SPLIT]
 FITTED = [*BASE, prep(), ols()]
 SCORED = [*FITTED, f"scored AS (SELECT prepped.*, {predicted()} AS prediction FROM prepped CROSS JOIN coef)"]
+
+
+def tree(rows: str, target: str, depth: int, features: Sequence[str] = FEATURES, name: str = "tree", keep: str = "*") -> list[str]:
+    """A regression tree grown level by level on the rows that are no test rows; ``{name}`` adds the column of its name.
+
+    Every midpoint of neighbouring training values is a candidate, and the least squared error wins.
+    """
+    zs = [f"z{i}" for i in range(1, len(features) + 1)]
+    long = lambda src, cols: " UNION ALL ".join(f"SELECT {cols}, {i} AS f, {z} AS v FROM {src} WHERE NOT is_test" for i, z in enumerate(zs, 1))
+    value = "CASE b.f " + " ".join(f"WHEN {i} THEN {z}" for i, z in enumerate(zs, 1)) + " END"
+    out = [
+        f"{name}_values AS (SELECT f, v, lead(v) OVER (PARTITION BY f ORDER BY v) AS next FROM (SELECT DISTINCT f, v FROM ({long(rows, '0 AS node')})))",
+        f"{name}_0 AS (SELECT *, 1 AS {name}_node FROM {rows})",
+    ]
+    for d in range(depth):
+        src = f"{name}_{d}"
+        out += [
+            f"{src}_sums AS (SELECT node, f, v, count(*) AS n, sum(t) AS s FROM ({long(src, f'{name}_node AS node, {target} AS t')}) GROUP BY node, f, v)",
+            f"""{src}_cuts AS (SELECT node, f, v, sum(n) OVER upto AS nl, sum(s) OVER upto AS sl, sum(n) OVER whole AS nt, sum(s) OVER whole AS st
+                FROM {src}_sums WINDOW upto AS (PARTITION BY node, f ORDER BY v), whole AS (PARTITION BY node, f))""",
+            f"""{src}_best AS (SELECT node, f, (v + next) / 2 AS cut FROM {src}_cuts JOIN {name}_values USING (f, v) WHERE nl < nt
+                QUALIFY row_number() OVER (PARTITION BY node ORDER BY sl * sl / nl + (st - sl) * (st - sl) / (nt - nl) DESC, f, v) = 1)""",
+            f"""{name}_{d + 1} AS (SELECT r.* REPLACE (2 * {name}_node + CASE WHEN {value} > b.cut THEN 1 ELSE 0 END AS {name}_node)
+                FROM {src} r LEFT JOIN {src}_best b ON b.node = r.{name}_node)""",
+        ]
+    last = f"{name}_{depth}"
+    out += [
+        f"{name}_leaves AS (SELECT {name}_node, avg({target}) AS {name}_value FROM {last} WHERE NOT is_test GROUP BY {name}_node)",
+        f"{name} AS (SELECT {keep} EXCLUDE ({name}_node) FROM {last} JOIN {name}_leaves USING ({name}_node))",
+    ]
+    return out
