@@ -134,23 +134,27 @@ def refutations(
     return df.sparkSession.createDataFrame(rows, REFUTER_SCHEMA)
 
 
-def refuter_summary(refuted: DataFrame) -> DataFrame:
-    return refuted.groupBy("treatment", "refuter").agg(F.avg("effect").alias("mean_effect"), F.stddev_samp("effect").alias("std_effect"))
+# What each refuter's effects are held against: the estimate, or no effect for a placebo.
+REFUTERS = {"random_common_cause": True, "placebo_treatment": False, "data_subset": True}
 
 
 def effect_report(effects: DataFrame, refuted: DataFrame) -> DataFrame:
-    """One row per treatment: effect with interval, and the mean effect under each refuter."""
-    wide = (
-        refuter_summary(refuted)
-        .groupBy("treatment")
-        .pivot("refuter", ["random_common_cause", "placebo_treatment", "data_subset"])
-        .agg(F.first("mean_effect"))
-    )
-    return effects.join(wide, "treatment")
-
+    """One row per treatment: effect with interval, and per refuter the mean effect, its spread and a p-value.
 
-def effects_table(effects: DataFrame) -> DataFrame:
-    """The four-column form the study publishes."""
-    return effects.select(
-        "treatment", F.col("effect").alias("effect_value"), "p_value", F.array("ci_low", "ci_high").alias("confidence_intervals")
+    The p-value is two-sided and from ranks: how far out the reference lies among the refuter's
+    repetitions. A small one speaks against the estimate.
+    """
+    joined = refuted.join(effects.select("treatment", F.col("effect").alias("estimate")), "treatment")
+    reference = F.when(F.col("refuter").isin([k for k, own in REFUTERS.items() if own]), F.col("estimate")).otherwise(0.0)
+    below_, above = (F.avg(side.cast("double")) for side in (F.col("effect") <= reference, F.col("effect") >= reference))
+    told = joined.groupBy("treatment", "refuter").agg(
+        F.avg("effect").alias("mean"), F.stddev_samp("effect").alias("std"), F.least(2 * below_, 2 * above, F.lit(1.0)).alias("p")
+    )
+    wide = told.groupBy("treatment").agg(
+        *[
+            F.max(F.when(F.col("refuter") == k, F.col(c))).alias(name)
+            for k in REFUTERS
+            for c, name in (("mean", k), ("std", f"{k}_std"), ("p", f"{k}_p"))
+        ]
     )
+    return effects.join(wide, "treatment")

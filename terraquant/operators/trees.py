@@ -25,7 +25,6 @@ KINDS = {
     "decision_tree": "decision_tree", "random_forest": "random_forest", "extra_trees": "extra_trees", "gbt": "gbt",
     "gradient_boosting": "gbt", "xgboost": "gbt", "lightgbm": "gbt", "catboost": "gbt",
 }
-MAX_DEPTH = 30
 
 
 def _regressor(kind: str, label: str, seed: int, params: Mapping):

@@ -202,7 +202,8 @@ _register_refuter("refute_random_cause", "random_common_cause")
 _register_refuter("refute_placebo", "placebo_treatment")
 _register_refuter("refute_subset", "data_subset")
 
-KINDS = ("random_common_cause", "placebo_treatment", "data_subset")
+KINDS = tuple(effects.REFUTERS)
+REFUTER_COLUMNS = [f"{k}{end}" for k in KINDS for end in ("", "_std", "_p")]
 
 
 @query(
@@ -211,9 +212,15 @@ KINDS = ("random_common_cause", "placebo_treatment", "data_subset")
         *_effect_sql(CH4_EDGES, CH4_TREATMENTS),
         NOISE_SQL,
         *[c for k in KINDS for c in _refuter_sql(k)],
-        *[f"mean_{k} AS (SELECT treatment, avg(effect) AS {k} FROM {k} GROUP BY treatment)" for k in KINDS],
+        *[
+            f"""mean_{k} AS (SELECT treatment, avg({k}.effect) AS {k}, stddev_samp({k}.effect) AS {k}_std,
+            least(1.0::double, 2 * avg(CASE WHEN {k}.effect <= {ref} THEN 1.0::double ELSE 0 END), 2 * avg(CASE WHEN {k}.effect >= {ref} THEN 1.0::double ELSE 0 END)) AS {k}_p
+            FROM {k} JOIN report USING (treatment) GROUP BY treatment)"""
+            for k, own in effects.REFUTERS.items()
+            for ref in ("report.effect" if own else "0",)
+        ],
         select=_effect_select(
-            "report " + " ".join(f"JOIN mean_{k} USING (treatment)" for k in KINDS), "".join(f", {r(k, 9)} AS {k}" for k in KINDS)
+            "report " + " ".join(f"JOIN mean_{k} USING (treatment)" for k in KINDS), "".join(f", {r(c, 9)} AS {c}" for c in REFUTER_COLUMNS)
         ),
     ),
 )
@@ -222,7 +229,7 @@ def effect_report(spark, sf_dir):
     report = effects.effect_report(effects.backdoor_effects(obs, CH4_EDGES, CH4_TREATMENTS, LABEL), refuted)
     return report.select(
         "treatment", "n", *[rounded(c, 9).alias(c) for c in EFFECT_COLUMNS], rounded("t_stat", 4).alias("t_stat"),
-        *[rounded(k, 9).alias(k) for k in KINDS],
+        *[rounded(c, 9).alias(c) for c in REFUTER_COLUMNS],
     )
 
 
