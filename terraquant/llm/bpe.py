@@ -32,30 +32,50 @@ BASE = 0x100
 BYTES_AT_ONCE = 1_000_000
 IDS_AT_ONCE = 1_000_000
 
-CONTRACT = """
-WITH RECURSIVE state(word, tokens) USING KEY (word) AS (
-    SELECT word, tokens FROM words
-    UNION
+# A word up to this many bytes keeps its earlier states until the query ends, which is cheaper.
+SHORT = 128
+
+# `key` holds the rank above 32 bits of position and one bit that forbids contraction in bulk.
+_STEP = """
     SELECT word,
-           CASE WHEN best.bulk THEN replace(tokens, best.pair, best.merged)
-                ELSE left(tokens, best.pos - 1) || best.merged || substr(tokens, best.pos + 2) END
+           CASE WHEN best & 1 = 0 THEN replace(tokens, substr(tokens, pos, 2), chr(rank + {base}))
+                ELSE left(tokens, pos - 1) || chr(rank + {base}) || substr(tokens, pos + 2) END AS tokens
     FROM (
-        SELECT word, any_value(tokens) AS tokens,
-               arg_min({'pair': pair, 'merged': merged, 'bulk': bulk, 'pos': pos}, rank * 4294967296 + pos) AS best
+        SELECT word, tokens, best, CAST(best >> 32 AS INT) AS rank, (best & 4294967295) >> 1 AS pos
         FROM (
-            SELECT word, tokens, pos, token || next_token AS pair FROM (
-                SELECT word, tokens, unnest(cut) AS token, unnest(cut[2:]) AS next_token, unnest(range(1, len(cut) + 1)) AS pos
-                FROM (SELECT word, tokens, string_split(tokens, '') AS cut FROM state)
-            ) WHERE next_token IS NOT NULL
-        ) JOIN merges USING (pair)
-        GROUP BY word
+            SELECT word, any_value(tokens) AS tokens, min(key + 2 * pos) AS best
+            FROM ({pairs}) JOIN merges USING (pair) GROUP BY word
+        )
     )
+"""
+
+CONTRACT_SHORT = f"""
+WITH RECURSIVE state(word, tokens) AS (
+    SELECT word, tokens FROM words
+    UNION ALL
+    {_STEP.format(base=BASE, pairs="""
+        SELECT word, tokens, pos, substr(tokens, pos, 2) AS pair
+        FROM (SELECT word, tokens, unnest(range(1, length(tokens))) AS pos FROM state)""")}
+)
+SELECT word, arg_min(tokens, length(tokens)) AS tokens FROM state GROUP BY word ORDER BY word
+"""
+
+CONTRACT_LONG = f"""
+WITH RECURSIVE state(word, tokens) USING KEY (word) AS (
+    SELECT word, tokens FROM words
+    UNION
+    {_STEP.format(base=BASE, pairs="""
+        SELECT word, tokens, pos, token || next_token AS pair
+        FROM (
+            SELECT word, tokens, unnest(cut) AS token, unnest(cut[2:]) AS next_token, unnest(range(1, len(cut) + 1)) AS pos
+            FROM (SELECT word, tokens, string_split(tokens, '') AS cut FROM state)
+        ) WHERE next_token IS NOT NULL""")}
 )
 SELECT word, tokens FROM state ORDER BY word
 """
 
 DECODE = """
-SELECT doc, string_agg(piece, '' ORDER BY pos) AS piece
+SELECT doc, array_to_string(list(piece ORDER BY pos), '') AS piece
 FROM ids JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
 """
 
@@ -71,7 +91,7 @@ def _parse(ranks: bytes) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """Every pair of tokens whose bytes make a token: pair, rank, merged, bulk."""
+    """Every pair of tokens whose bytes make a token, with its key."""
     pairs = [
         (ranks[token[:i]], ranks[token[i:]], rank)
         for token, rank in ranks.items()
@@ -91,9 +111,7 @@ def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     return pa.table(
         {
             "pair": pa.array([chr(BASE + a) + chr(BASE + b) for a, b, _ in pairs], pa.string()),
-            "rank": pa.array([rank for *_, rank in pairs], pa.int64()),
-            "merged": pa.array([chr(BASE + rank) for *_, rank in pairs], pa.string()),
-            "bulk": pa.array(bulk, pa.bool_()),
+            "key": pa.array([(rank << 32) + (not b) for (*_, rank), b in zip(pairs, bulk, strict=True)], pa.int64()),
         }
     )
 
@@ -120,9 +138,9 @@ class BytePairs:
         table = _parse(ranks)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._keep("merges", merge_table(table))
-        vocabulary = {"id": pa.array(list(table.values()), pa.int64()), "piece": [t.decode("latin-1") for t in table]}
+        vocabulary = {"id": pa.array(list(table.values()), pa.int32()), "piece": [t.decode("latin-1") for t in table]}
         self._keep("vocabulary", pa.table(vocabulary))
-        self.byte = {i: chr(BASE + table[bytes([i])]) for i in range(256)}
+        self.byte = np.array([BASE + table[bytes([i])] for i in range(256)], "<u4")
         self.pieces = PieceIds(pattern, self.encode_words)
 
     def _keep(self, name: str, rows: pa.Table) -> None:
@@ -139,17 +157,30 @@ class BytePairs:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word (a match of the pattern), as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for part in _blocks([w.encode("utf-8").decode("latin-1").translate(self.byte) for w in words], BYTES_AT_ONCE):
-            rows = pa.table({"word": pa.array(range(len(part)), pa.int64()), "tokens": pa.array(part, pa.string())})
-            final = self._ask(CONTRACT, "words", rows)["tokens"].to_pylist()
-            # Four bytes a character: UTF-32 code units are the ids plus the offset.
-            flat = np.frombuffer("".join(final).encode("utf-32-le"), "<u4") - np.uint32(BASE)
-            raw = flat.astype("<u4").tobytes()
-            ends = np.cumsum([0] + [4 * len(t) for t in final])
-            out += [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        raw = [w.encode("utf-8") for w in words]
+        flat = self.byte[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        sizes = np.array([len(x) for x in raw], np.int64)
+        ends = np.cumsum(sizes).tolist()
+        tokens = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if not (sizes > SHORT).any():
+            return self._contract(CONTRACT_SHORT, tokens)
+        out = [b""] * len(tokens)
+        for sql, at in ((CONTRACT_SHORT, np.flatnonzero(sizes <= SHORT)), (CONTRACT_LONG, np.flatnonzero(sizes > SHORT))):
+            for i, ids in zip(at.tolist(), self._contract(sql, [tokens[i] for i in at.tolist()]), strict=True):
+                out[i] = ids
         return out
 
+    def _contract(self, sql: str, tokens: list[str]) -> list[bytes]:
+        return [ids for block in _blocks(tokens, BYTES_AT_ONCE) for ids in self._contract_block(sql, block)]
+
+    def _contract_block(self, sql: str, tokens: list[str]) -> list[bytes]:
+        rows = pa.table({"word": pa.array(range(len(tokens)), pa.int32()), "tokens": pa.array(tokens, pa.string())})
+        final = self._ask(sql, "words", rows)["tokens"].to_pylist()
+        # Four bytes a character: UTF-32 code units are the ids plus the offset.
+        flat = np.frombuffer("".join(final).encode("utf-32-le"), "<u4") - np.uint32(BASE)
+        raw, ends = flat.astype("<u4").tobytes(), np.cumsum([0] + [4 * len(t) for t in final])
+        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes of each id sequence."""
         # Decoding is by id, so a long sequence may be cut anywhere.
@@ -162,9 +193,9 @@ class BytePairs:
         return out
 
     def _decode(self, ids: list[bytes]) -> list[bytes]:
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-        doc = np.repeat(np.arange(len(ids), dtype=np.int64), [len(x) // 4 for x in ids])
-        rows = pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int64), "id": flat})
+        flat = np.frombuffer(b"".join(ids), "<i4")
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), [len(x) // 4 for x in ids])
+        rows = pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int32), "id": flat})
         found = self._ask(DECODE, "ids", rows)
         out = [b""] * len(ids)
         for k, piece in zip(found["doc"].to_pylist(), found["piece"].to_pylist(), strict=True):

@@ -8,13 +8,15 @@ texts with such runs are cut by the pattern itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
 
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 # Entries a worker keeps between batches; a memory bound, results do not depend on it.
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 1_200_000
 # Characters of text handled at once.
 BATCH_CHARS = 8_000_000
 
@@ -42,34 +44,42 @@ class PieceIds:
         self.bare: dict[str, bytes] = {}
         self.after_blank: dict[str, bytes] = {}
 
-    def _fill(self, bare: set[str], after_blank: set[str]) -> None:
-        if len(self.bare) + len(self.after_blank) > CACHE_ENTRIES:
-            self.bare.clear()
-            self.after_blank.clear()
-        bare, after_blank = bare.difference(self.bare), after_blank.difference(self.after_blank)
+    def _fill(self, known: dict[str, bytes], wanted: set[str], lead: str) -> None:
         by_match, _ = compiled(self.pattern)
-        for known, wanted, lead in ((self.bare, bare, ""), (self.after_blank, after_blank, " ")):
-            split = {piece: by_match.findall(lead + piece) for piece in wanted}
-            words = list({w for ws in split.values() for w in ws})
-            ids = dict(zip(words, self.encode(words), strict=True))
-            known.update((piece, b"".join([ids[w] for w in ws])) for piece, ws in split.items())
+        # Latin letters, with or without a blank before them and marks behind them, need no search:
+        # the letters are one match and the marks another.
+        split = {p: (lead + m[1], m[2]) if (m := _PLAIN.fullmatch(p)) else by_match.findall(lead + p) for p in wanted}
+        words = list({w for ws in split.values() for w in ws})
+        ids = dict(zip(words, self.encode(words), strict=True))
+        known.update((p, ids[ws[0]] + ids[ws[1]] if len(ws) == 2 else b"".join([ids[w] for w in ws])) for p, ws in split.items())
 
     def encode_texts(self, texts: Sequence[str]) -> list[bytes]:
-        cut = [pieces(t, self.pattern) for t in texts]
-        bare: set[str] = set()
-        after_blank: set[str] = set()
-        for parts, flagged in cut:
-            if flagged:
-                bare.add(parts[0])
-                after_blank.update(parts[1:])
+        if len(self.bare) + len(self.after_blank) > CACHE_ENTRIES:
+            self.bare.clear()
+            self.after_blank.clear()
+        rows = []
+        new_bare: set[str] = set()
+        new_after: set[str] = set()
+        for text in texts:
+            parts, flagged = pieces(text, self.pattern)
+            first = parts[:1] if flagged else parts
+            rest = parts[1:] if flagged else []
+            found = [*map(self.bare.get, first), *map(self.after_blank.get, rest)]
+            if None in found:
+                missing = [i for i, x in enumerate(found) if x is None]
+                new_bare.update([parts[i] for i in missing if i < len(first)])
+                new_after.update([parts[i] for i in missing if i >= len(first)])
+                rows.append((found, missing, parts, len(first)))
             else:
-                bare.update(parts)
-        self._fill(bare, after_blank)
-        one, more = self.bare, self.after_blank
-        return [
-            b"".join([one[parts[0]], *[more[p] for p in parts[1:]]]) if flagged else b"".join([one[p] for p in parts])
-            for parts, flagged in cut
-        ]
+                rows.append((found, (), parts, len(first)))
+        self._fill(self.bare, new_bare, "")
+        self._fill(self.after_blank, new_after, " ")
+        out = []
+        for found, missing, parts, n_first in rows:
+            for i in missing:
+                found[i] = (self.bare if i < n_first else self.after_blank)[parts[i]]
+            out.append(b"".join(found))
+        return out
 
 
 def text_batches(batches: Iterable[pa.RecordBatch], column: int, chars: int = BATCH_CHARS) -> Iterator[tuple[pa.Table, list[str]]]:
