@@ -41,12 +41,15 @@ class FileEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(definition.decode("utf-8")).model
-        self.alphabet = byte_characters()
+        self.byte = np.array([ord(c) for _, c in sorted(byte_characters().items())], "<u4")
         self.pieces = PieceIds(pattern, self.encode_words)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        tokenize, alphabet = self.model.tokenize, self.alphabet
-        tokens = [tokenize(w.encode("utf-8").decode("latin-1").translate(alphabet)) for w in words]
+        tokenize = self.model.tokenize
+        raw = [w.encode("utf-8") for w in words]
+        mapped = self.byte[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
+        cuts = np.cumsum([len(x) for x in raw], dtype=np.int64).tolist()
+        tokens = [tokenize(mapped[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
         flat = np.fromiter((t.id for ts in tokens for t in ts), np.dtype("<u4"))
         raw, ends = flat.tobytes(), np.cumsum([0] + [4 * len(ts) for ts in tokens])
         return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
