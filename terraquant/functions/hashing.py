@@ -84,3 +84,11 @@ def permutation_rows(items: list[str], count: int, tag: str) -> list[list[str]]:
         return hashlib.md5(f"{tag}:{i}:{item}".encode()).hexdigest()
 
     return [sorted(items, key=lambda item: order(i, item)) for i in range(count)]
+
+
+def seed_draws(df: DataFrame, seeds: int, key: str, column: str = "draws") -> DataFrame:
+    """Add an array with the draw (hex text) of every seed, the draws of ``with_seed_draws`` without its rows."""
+    blocks = -(-seeds // DRAWS_PER_DIGEST)
+    hashed = df.select("*", F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: digest(b, key)).alias("__digests"))
+    drawn = F.flatten(F.transform("__digests", lambda d: F.array(*[hex_draw(d, lane) for lane in range(DRAWS_PER_DIGEST)])))
+    return hashed.select(*df.columns, F.slice(drawn, 1, seeds).alias(column))

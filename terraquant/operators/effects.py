@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from ..functions.hashing import SPACE, below, bits_of, with_seed_draws
+from ..functions.hashing import SPACE, below, bits_of, seed_draws
 from ..functions.linalg import Moments
 from .linear import sum_moments
-from .moments import collect_conditioned
+from .moments import collect_conditioned, conditioned, replicated_moments
 
 EFFECT_SCHEMA = "treatment string, effect double, std_error double, t_stat double, p_value double, ci_low double, ci_high double, n bigint"
 REFUTER_SCHEMA = "treatment string, refuter string, rep int, effect double"
@@ -44,6 +44,11 @@ def _block(A: np.ndarray, features: Sequence[str], chosen: Sequence[str]) -> np.
     return A[np.ix_(keep, keep)]
 
 
+def effect(A: np.ndarray, features: Sequence[str], treatment: str, given: Sequence[str]) -> float:
+    """Slope of the treatment alone."""
+    return float(linalg.solve_ridge(_block(A, features, [treatment, *given]))[0][0])
+
+
 def slope(A: np.ndarray, features: Sequence[str], treatment: str, given: Sequence[str]) -> dict[str, float]:
     """Slope of the treatment with its error, from a second-moment matrix of (1, features, label)."""
     B = _block(A, features, [treatment, *given])
@@ -104,21 +109,23 @@ def refutations(
 ) -> DataFrame:
     """(treatment, refuter, rep, effect) for the three refuters, from one replicated aggregate.
 
-    Each replicate gives every row one keyed uniform draw. As an extra covariate it
+    Each replicate gives every row one keyed uniform draw; no row is copied. As an extra covariate it
     is the random common cause; in the treatment's place it is the placebo; below
     the subset fraction it selects the subset. Imputation stays as fitted on all rows.
     """
     check_treatments(edges, treatments, outcome)
     features = graph_features(edges, outcome)
-    drawn = with_seed_draws(df.select(key, *features, outcome), reps, key, seed="rep").select(
-        "rep",
-        below(F.col("draw"), subset_fraction).alias("kept"),
-        (bits_of(F.col("draw")) / float(SPACE) - 0.5).alias(NOISE),
-        *features,
-        outcome,
-    )
+    drawn = seed_draws(df.select(key, *features, outcome), reps, key)
+    kept = F.transform("draws", lambda d: below(d, subset_fraction).cast("int"))
+    noise = F.transform("draws", lambda d: bits_of(d) / float(SPACE) - 0.5)
     columns = [*features, NOISE]
-    groups, _ = collect_conditioned(drawn, columns, outcome, ["rep", "kept"])
+
+    def collect(centres: dict[str, float]) -> dict[tuple, Moments]:
+        own = {**centres, "__extra": centres.get(NOISE, 0.0)}
+        rows = replicated_moments(drawn, features, outcome, kept, (0, 1), noise, own).collect()
+        return {(r["rep"], bool(r["code"])): Moments.unpack(r["n"], r["sums"], r["lows"], r["highs"]) for r in rows}
+
+    groups, _ = conditioned(collect, [*columns, outcome])
     rows = []
     for rep in range(reps):
         parts = {kept: groups[(rep, kept)] for kept in (True, False) if (rep, kept) in groups}
@@ -126,11 +133,11 @@ def refutations(
         full = encode(whole, whole, scale)
         for t in treatments:
             given = adjustment(edges, t)
-            rows.append((t, "random_common_cause", rep, slope(full, columns, t, [*given, NOISE])["effect"]))
-            rows.append((t, "placebo_treatment", rep, slope(full, columns, NOISE, given)["effect"]))
+            rows.append((t, "random_common_cause", rep, effect(full, columns, t, [*given, NOISE])))
+            rows.append((t, "placebo_treatment", rep, effect(full, columns, NOISE, given)))
             if True in parts:
                 subset = encode(parts[True], whole, scale)
-                rows.append((t, "data_subset", rep, slope(subset, columns, t, given)["effect"]))
+                rows.append((t, "data_subset", rep, effect(subset, columns, t, given)))
     return df.sparkSession.createDataFrame(rows, REFUTER_SCHEMA)
 
 

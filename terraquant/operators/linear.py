@@ -16,10 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from ..functions.hashing import below, bits_of, with_seed_draws
+from ..functions.hashing import below, bits_of, seed_draws, with_seed_draws
 from ..functions.linalg import Moments
 from ..session import materialise
-from .moments import collect_conditioned, column_means, moments
+from .moments import collect_conditioned, column_means, replicated_moments
 
 RUN_SCHEMA = (
     "seed int, learner string, alpha double, cv_r2 double, test_r2 double, test_rmse double, "
@@ -141,18 +141,17 @@ def runs(
 ) -> DataFrame:
     """Every seed x learner x alpha, cross-validated and refitted, from one aggregate.
 
-    ``grid`` maps a learner to its alphas. All seeds and folds share one scan: rows
-    carry their seed as a column, the moments of a training fold are the training
+    ``grid`` maps a learner to its alphas. All seeds and folds share one scan: a task
+    multiplies each batch with the parts of all seeds, the moments of a training fold are the training
     total minus that fold's, and test error follows from the test part's moments.
     ``scope="train"`` fits imputation and scaling on the whole training part before
     cross-validation; ``scope="fold"`` refits them inside each fold.
     Returns all grid cells with columns ``cell`` (grid order) and RUN_SCHEMA.
     """
     centres = column_means(df, [*features, label]) if centres is None else centres
-    drawn = with_seed_draws(df.select(key, *features, label), seeds, key)
-    parts = drawn.withColumn(
-        "part",
-        F.when(below(F.col("draw"), test_fraction), F.lit(-1)).otherwise(F.pmod(bits_of(F.col("draw")), F.lit(folds))).cast("int"),
+    drawn = seed_draws(df.select(key, *features, label), seeds, key)
+    parts = F.transform(
+        "draws", lambda d: F.when(below(d, test_fraction), F.lit(-1)).otherwise(F.pmod(bits_of(d), F.lit(folds))).cast("int")
     )
     cells = [(learner, float(a)) for learner, alphas in grid.items() for a in alphas]
     shift = np.array([centres.get(f, 0.0) for f in features])
@@ -194,7 +193,8 @@ def runs(
             )
         return pd.DataFrame(out, columns=["cell", *[c.split()[0] for c in RUN_SCHEMA.split(", ")]])
 
-    gram = moments(parts, features, label, by=("seed", "part"), centres=centres)
+    gram = replicated_moments(drawn, features, label, parts, range(-1, folds), centres=centres)
+    gram = gram.withColumnsRenamed({"rep": "seed", "code": "part"})
     return gram.groupBy("seed").applyInPandas(one_seed, f"cell int, {RUN_SCHEMA}")
 
 

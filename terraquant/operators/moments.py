@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -58,17 +58,98 @@ def moments(
     )
 
 
+def replicated_moments(
+    df: DataFrame,
+    features: Sequence[str],
+    label: str,
+    codes: Column,
+    groups: Sequence[int],
+    extra: Column | None = None,
+    centres: dict[str, float] | None = None,
+) -> DataFrame:
+    """(rep, code, n, sums, lows, highs): the moments of every replicate and group from one scan.
+
+    ``codes`` gives a row an array with its group in each replicate. A task builds the products of
+    a batch of rows once and multiplies them with the group indicators of all replicates as a
+    matrix, so rows are not copied per replicate. ``extra`` may give a row an array with the value of one more,
+    always present, feature in each replicate; it comes after the others. A task sends one row per
+    replicate and group.
+    """
+    centres = centres or {}
+    has_extra = extra is not None
+    groups, p, n_features = list(groups), len(features) + has_extra, len(features)
+    shift = np.array([centres.get(c, 0.0) for c in [*features, *(["__extra"] if has_extra else []), label]])
+    # Columns of the products: 0 is one, then the features and the label, then their gaps.
+    z = [1 + i for i in range(p + 1)]
+    gap = [2 + p + i for i in range(p)]
+    pairs = [(0, 0)] + [(0, i) for i in z]
+    pairs += [(z[i], z[j]) for i in range(p + 1) for j in range(i, p + 1)]
+    pairs += [(gap[j], z[i]) for j in range(p) for i in range(p + 1) if i != j]
+    pairs += [(gap[i], gap[j]) for i in range(p) for j in range(i, p)]
+    left, right = (np.array(x) for x in zip(*pairs, strict=True))
+    columns = [*[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate([*features, label])], codes.alias("__codes")]
+    rows = df.select(*columns, *([extra.alias("__extra")] if has_extra else []))
+
+    def products(values: np.ndarray) -> np.ndarray:
+        missing = np.isnan(values)
+        base = np.hstack([np.ones((len(values), 1)), np.where(missing, 0.0, values), missing[:, :p].astype(float)])
+        return base[:, left] * base[:, right]
+
+    def run(batches):
+        import pandas as pd
+
+        total: dict[tuple[int, int], list] = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            code = np.stack(pdf["__codes"].to_numpy())
+            values = pdf[[f"__x{i}" for i in range(n_features + 1)]].to_numpy(dtype=float)
+            added = np.stack(pdf["__extra"].to_numpy()) if has_extra else None
+            whole = products(values - shift) if added is None else None
+            for rep in range(code.shape[1]):
+                own = values if added is None else np.column_stack([values[:, :-1], added[:, rep], values[:, -1]])
+                own = own - shift
+                member = np.stack([code[:, rep] == g for g in groups])
+                sums = member.astype(float) @ (products(own) if whole is None else whole)
+                for g, inside, row in zip(groups, member, sums, strict=True):
+                    if not row[0]:
+                        continue
+                    part = own[inside, :p]
+                    low, high = np.fmin.reduce(part, axis=0), np.fmax.reduce(part, axis=0)
+                    held = total.get((rep, g))
+                    if held is None:
+                        total[rep, g] = [row, low, high]
+                    else:
+                        held[0] = held[0] + row
+                        held[1], held[2] = np.fmin(held[1], low), np.fmax(held[2], high)
+        none = lambda x: [None if np.isnan(v) else float(v) for v in x]
+        out = [(rep, g, int(v[0][0]), v[0][1:].tolist(), none(v[1]), none(v[2])) for (rep, g), v in total.items()]
+        yield pd.DataFrame(out, columns=["rep", "code", "n", "sums", "lows", "highs"])
+
+    parts = rows.mapInPandas(run, "rep int, code int, n bigint, sums array<double>, lows array<double>, highs array<double>")
+    each = lambda fn, c, k: F.array(*[fn(F.col(c)[i]) for i in range(k)]).alias(c)
+    return parts.groupBy("rep", "code").agg(
+        F.sum("n").alias("n"), each(F.sum, "sums", len(pairs) - 1), each(F.min, "lows", p), each(F.max, "highs", p)
+    )
+
+
 def collect_conditioned(
     df: DataFrame, features: Sequence[str], label: str, by: Sequence[str] = ()
 ) -> tuple[dict[tuple, Moments], dict[str, float]]:
-    """Moments per group on the driver, and the centres they are relative to.
+    """Moments per group on the driver, and the centres they are relative to."""
+    return conditioned(lambda centres: collect_moments(moments(df, features, label, by, centres), by), [*features, label])
+
+
+def conditioned(
+    collect: Callable[[dict[str, float]], dict[tuple, Moments]], columns: Sequence[str]
+) -> tuple[dict[tuple, Moments], dict[str, float]]:
+    """What ``collect`` gives relative to centres, and the centres.
 
     One pass over the rows is enough unless a column's spread is tiny beside its
     mean, where subtracting squares would lose digits; only then a second pass is
     made around the means the first one found.
     """
-    columns = [*features, label]
-    groups = collect_moments(moments(df, features, label, by), by)
+    groups = collect({})
     if not groups:
         raise ValueError("no rows to fit on")
     n = sum(m.n for m in groups.values())
@@ -80,7 +161,7 @@ def collect_conditioned(
     if np.all((spread > CANCELLATION * square) | (square == 0)):
         return groups, {}
     centres = dict(zip(columns, (float(v) for v in mean), strict=True))
-    return collect_moments(moments(df, features, label, by, centres), by), centres
+    return collect(centres), centres
 
 
 def collect_moments(df: DataFrame, by: Sequence[str] = ()) -> dict[tuple, Moments]:
