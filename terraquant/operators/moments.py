@@ -86,14 +86,21 @@ def replicated_moments(
     pairs += [(z[i], z[j]) for i in range(p + 1) for j in range(i, p + 1)]
     pairs += [(gap[j], z[i]) for j in range(p) for i in range(p + 1) if i != j]
     pairs += [(gap[i], gap[j]) for i in range(p) for j in range(i, p)]
-    left, right = (np.array(x) for x in zip(*pairs, strict=True))
     columns = [*[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate([*features, label])], codes.alias("__codes")]
     rows = df.select(*columns, *([extra.alias("__extra")] if has_extra else []))
 
-    def products(values: np.ndarray) -> np.ndarray:
-        missing = np.isnan(values)
-        base = np.hstack([np.ones((len(values), 1)), np.where(missing, 0.0, values), missing[:, :p].astype(float)])
-        return base[:, left] * base[:, right]
+    # The extra feature is the last one; it has no gaps, and only its own products differ by replicate.
+    extra_at, no_gap = (p, gap[-1]) if has_extra else (-1, -1)
+    kept = [c for c in range(2 + 2 * p) if c not in (extra_at, no_gap)]
+    place = {c: i for i, c in enumerate(kept)}
+    plain = [k for k, pair in enumerate(pairs) if not {extra_at, no_gap} & set(pair)]
+    mixed = [(k, place[x if y == extra_at else y]) for k, (x, y) in enumerate(pairs) if (x == extra_at) != (y == extra_at) and no_gap not in (x, y)]
+    square = [k for k, pair in enumerate(pairs) if pair == (extra_at, extra_at)]
+    left, right = (np.array([place[pairs[k][side]] for k in plain]) for side in (0, 1))
+    at_mixed, of_mixed = (np.array(x, dtype=int) for x in (zip(*mixed, strict=True) if mixed else ([], [])))
+    shifts = np.append(shift[:n_features], shift[-1])
+    extra_shift = shift[n_features] if has_extra else 0.0
+    n_pairs = len(pairs)
 
     def run(batches):
         import pandas as pd
@@ -103,24 +110,32 @@ def replicated_moments(
             if not len(pdf):
                 continue
             code = np.stack(pdf["__codes"].to_numpy())
-            values = pdf[[f"__x{i}" for i in range(n_features + 1)]].to_numpy(dtype=float)
-            added = np.stack(pdf["__extra"].to_numpy()) if has_extra else None
-            whole = products(values - shift) if added is None else None
-            for rep in range(code.shape[1]):
-                own = values if added is None else np.column_stack([values[:, :-1], added[:, rep], values[:, -1]])
-                own = own - shift
-                member = np.stack([code[:, rep] == g for g in groups])
-                sums = member.astype(float) @ (products(own) if whole is None else whole)
-                for g, inside, row in zip(groups, member, sums, strict=True):
-                    if not row[0]:
-                        continue
-                    part = own[inside, :p]
+            values = pdf[[f"__x{i}" for i in range(n_features + 1)]].to_numpy(dtype=float) - shifts
+            added = np.stack(pdf["__extra"].to_numpy()) - extra_shift if has_extra else None
+            missing = np.isnan(values)
+            base = np.hstack([np.ones((len(values), 1)), np.where(missing, 0.0, values), missing[:, :n_features].astype(float)])
+            whole = base[:, left] * base[:, right]
+            for g in groups:
+                inside = code == g
+                weight = inside.T.astype(float)
+                sums = np.zeros((code.shape[1], n_pairs))
+                sums[:, plain] = weight @ whole
+                if has_extra:
+                    weighted = weight * added.T
+                    sums[:, at_mixed] = (weighted @ base)[:, of_mixed]
+                    sums[:, square] = (weighted * added.T).sum(axis=1, keepdims=True)
+                for rep in np.flatnonzero(sums[:, 0]):
+                    own = inside[:, rep]
+                    part = values[own, :n_features]
                     low, high = np.fmin.reduce(part, axis=0), np.fmax.reduce(part, axis=0)
-                    held = total.get((rep, g))
+                    if has_extra:
+                        drawn = added[own, rep]
+                        low, high = np.append(low, drawn.min()), np.append(high, drawn.max())
+                    held = total.get((int(rep), g))
                     if held is None:
-                        total[rep, g] = [row, low, high]
+                        total[int(rep), g] = [sums[rep], low, high]
                     else:
-                        held[0] = held[0] + row
+                        held[0] = held[0] + sums[rep]
                         held[1], held[2] = np.fmin(held[1], low), np.fmax(held[2], high)
         none = lambda x: [None if np.isnan(v) else float(v) for v in x]
         out = [(rep, g, int(v[0][0]), v[0][1:].tolist(), none(v[1]), none(v[2])) for (rep, g), v in total.items()]
