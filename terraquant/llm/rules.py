@@ -21,6 +21,8 @@ MAX_REPEAT_PERCENT = 30
 # A line is boilerplate in more texts of a host than both of these.
 MIN_TEXTS = 10
 SHARE = 0.10
+# Without the share, and so at any size of the host, for lines of so many words (None: never).
+LONG_LINE = None
 # A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.5
 SYMBOLS = "[#*$%&|<>]"
@@ -103,15 +105,29 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     )
 
 
-def boilerplate(rows: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE) -> DataFrame:
+def boilerplate(
+    rows: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, long_line: int | None = LONG_LINE
+) -> DataFrame:
     """(host, hash) of lines in more different texts of the host than `min_texts` and `share` of its texts.
 
-    Exact copies of a text count once, so copies alone never make their lines boilerplate.
+    Of lines with `long_line` words or more, `min_texts` alone decides: the limit does not grow with the
+    host, and short natural lines stay protected by the share. The words of a line are the fewest that
+    all its occurrences in one text have. Exact copies of a text count once, so copies alone never make their lines boilerplate.
     """
     texts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
-    carried = rows.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
-    common = carried.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_texts)
-    return common.join(texts, "host").where(F.col("n") > share * F.col("n_texts")).select("host", "hash")
+    number = F.count(F.lit(1)).alias("n")
+    if long_line is None:
+        carried = rows.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
+        counted = carried.groupBy("host", "hash").agg(number)
+    else:
+        lines = rows.select("host", "text_hash", F.explode("lines").alias("line"))
+        carried = lines.select("host", "text_hash", "line.hash", "line.words").distinct()
+        counted = carried.groupBy("host", "hash").agg(number, F.min("words").alias("words"))
+    common = counted.where(F.col("n") > min_texts).join(texts, "host")
+    frequent = F.col("n") > share * F.col("n_texts")
+    if long_line is not None:
+        frequent = frequent | (F.col("words") >= long_line)
+    return common.where(frequent).select("host", "hash")
 
 
 def judge(
@@ -122,6 +138,7 @@ def judge(
     min_texts: int = MIN_TEXTS,
     share: float = SHARE,
     min_left: float = MIN_LEFT,
+    long_line: int | None = LONG_LINE,
 ) -> DataFrame:
     """One row per input row: doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     removed_words, removed (hashes of its boilerplate lines), base_failed, kept.
@@ -131,7 +148,7 @@ def judge(
     Only the three named columns are read.
     """
     rows = materialise(profiles(docs, id_col, text_col, host_col), "rule-profiles")
-    common = materialise(boilerplate(rows, min_texts, share), "rule-boilerplate")
+    common = materialise(boilerplate(rows, min_texts, share, long_line), "rule-boilerplate")
     lines = rows.select("doc_id", "host", "text_hash", F.explode("lines").alias("line")).select(
         "doc_id", "host", "text_hash", "line.hash", "line.words"
     )
