@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, scratch
 
 
-def _star(edges: DataFrame, larger: bool) -> DataFrame:
+def _star(edges: DataFrame, larger: bool, keep: bool = False) -> DataFrame:
     """`edges` are (u, v) with u > v. Link the larger (or all smaller) neighbours of a node to its smallest one."""
     ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else edges
     least = materialise(ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("least")), "component-least")
@@ -21,7 +21,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
         linked = joined.where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
     else:
         linked = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("least").alias("v"))
-    return materialise(linked.where("u <> v").distinct(), "component-edges")
+    return materialise(linked.where("u <> v").distinct(), "component-edges", keep)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -39,9 +39,11 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
         .distinct()
     )
+    spark = edges.sparkSession
     edges = materialise(edges, "component-edges")
     state, last = _state(edges), None
     while state != last:
-        edges = _star(_star(edges, True), False)
+        with scratch(spark):
+            edges = _star(_star(edges, True), False, keep=True)
         state, last = _state(edges), state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, licences, packing, quality, rules, simhash, urls
+from . import bpe, chat, exact, jaccard, langid, licences, packing, quality, rules, simhash, urls
 from .shared import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,3 +206,28 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = licences.scan(docs, licences.fit(docs))
     return found.select("doc_id", "number", "family", F.round("probability", 3).alias("probability"), "overlap", "confirmed")
+
+
+_WORDS_SQL = rf"list_filter(regexp_split_to_array({_LOWERED}, '{_SEP}'), lambda w: w <> '')"
+
+
+@_query(
+    "op12_ngram_jaccard",
+    rf"""
+    WITH RECURSIVE d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+    s AS (
+        SELECT doc_id, unnest(list_distinct(CASE
+            WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g
+        FROM d
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+    ), ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT b, r FROM reach JOIN ways ON a = doc_id)
+    SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+    """,
+)
+def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 # What separates words in every contract of this folder: blank, tab and the line and form controls.
@@ -36,3 +41,39 @@ def lower_arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def fresh_names(columns: Sequence[str], *names: str) -> list[str]:
+    """The given names, lengthened until no column has them (Spark does not tell upper from lower case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def keep_rows(docs: DataFrame, key: Sequence[Column], verdicts: DataFrame) -> DataFrame:
+    """The rows of `docs` whose verdict is to stay, once each, with their own columns.
+
+    `verdicts` has the key of every row, in order, and then `kept`. The rows to go are usually few and
+    narrow, so the table of whole texts is filtered against them (the optimiser broadcasts them where
+    their written size allows it) and moves in one exchange at most.
+    """
+    parts = verdicts.columns[:-1]
+    counted = verdicts.groupBy(*parts).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    names = fresh_names(docs.columns, *[f"own_{p}" for p in parts])
+    marked = docs.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
+
+    def with_key(table: DataFrame, how: str) -> DataFrame:
+        other = table.select(*[F.col(p).alias(f"its_{n}") for p, n in zip(parts, names, strict=True)])
+        same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"its_{n}")) for n in names])
+        return marked.join(other, same, how)
+
+    special = materialise(counted.where(~F.col("kept") | (F.col("copies") > 1)), "special-rows")
+    once = with_key(special, "left_anti")
+    repeated = special.where("kept")
+    if not repeated.isEmpty():
+        once = once.unionByName(with_key(repeated, "left_semi").dropDuplicates(names))
+    return once.drop(*names)
