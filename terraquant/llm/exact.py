@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .shared import ascii_lower
+from ..session import materialise, scratch
+from .shared import ascii_lower, keep_rows
 
 TRACKED = 4096
 HEAVY = 1024
@@ -72,13 +72,8 @@ def flag_copies(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs` that stay, with their own columns; a repeated row is returned once."""
-    kept = flag_copies(docs, id_col, text_col, **options).where("kept").select(
-        F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_digest")
-    )
     text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    marked = docs.withColumn("own_digest_", F.unhex(F.sha2(text, 256)))
-    return (
-        marked.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")) & (F.col("own_digest_") == F.col("kept_digest")), "left_semi")
-        .dropDuplicates([id_col, "own_digest_"])
-        .drop("own_digest_")
-    )
+    with scratch(docs.sparkSession):
+        flags = flag_copies(docs, id_col, text_col, **options)
+        verdicts = flags.select("doc_id", F.unhex("text_sha256").alias("digest"), "kept")
+        return keep_rows(docs, [F.col(id_col), F.unhex(F.sha2(text, 256))], verdicts)

@@ -8,7 +8,8 @@ suffix filter (sizes of the parts that fixed pivots cut both sets into) before i
 once. Equal sets are one node.
 
 Only components are wanted, so a list of sets that share a token is not paired all with all. Every
-list is first compared with its smallest member; pairs that this connects need no further comparison.
+list is first compared with one center, the member with the fewest rarer tokens (of near copies the
+least changed one); pairs that this connects need no further comparison.
 What remains are pairs of one list in different components, and these are joined under the filters.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch
 from .components import smallest_reachable
-from .shared import keep_rows, lower_arrow_batches
+from .shared import filter_bits, in_filter, keep_rows, lower_arrow_batches
 
 NGRAM = 4
 # Least similarity as a fraction of whole numbers.
@@ -176,19 +177,22 @@ def _postings(docs: DataFrame, text_col: str, ngram: int, similar: tuple[int, in
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "token long, node long, n long, at int")
 
 
-def _set_table(rows: DataFrame, ngram: int) -> DataFrame:
-    """(k1, k2, tokens) of every row."""
+def _set_table(rows: DataFrame, ngram: int, bits: np.ndarray) -> DataFrame:
+    """(k1, k2, tokens) of the sets of a task whose text may be wanted, each once."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
+        known, seen = _Hashes(), set()
         for batch in batches:
-            sets = token_sets(batch.column(0).to_pylist(), ngram, known)
-            keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)
-            offsets = np.cumsum([0, *map(len, sets)])
-            tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([NONE, *sets]).view(np.int64)))
+            texts = batch.column(0).filter(pa.array(in_filter(shared.value, batch.column(1).to_numpy())))
+            own = {k: s for s in token_sets(texts.to_pylist(), ngram, known) if (k := _key(s)) not in seen}
+            seen.update(own)
+            keys = np.array(list(own), np.int64).reshape(-1, 2)
+            offsets = pa.array(np.cumsum([0, *map(len, own.values())]), pa.int32())
+            tokens = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([NONE, *own.values()]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), tokens], ["k1", "k2", "tokens"])
 
-    return rows.select("text").mapInArrow(run, "k1 long, k2 long, tokens array<long>")
+    return rows.select("text", "t1").mapInArrow(run, "k1 long, k2 long, tokens array<long>")
 
 
 def _admissible(similar: tuple[int, int]) -> Column:
@@ -199,9 +203,7 @@ def _admissible(similar: tuple[int, int]) -> Column:
     return (s * F.greatest("n", "m") <= t * F.least("n", "m")) & ((s + t) * left >= s * (F.col("n") + F.col("m")))
 
 
-def _verified(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, ngram: int, similar: tuple[int, int]
-) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar: the suffix filter on narrow rows, then one look at both whole sets."""
     s, t = similar
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}")) for x in "ab")
@@ -212,10 +214,9 @@ def _verified(
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = materialise(nodes.join(ends, "node", "left_semi").drop("parts"), "jaccard-wanted")
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), *text_identity(text), text.alias("text"))
-    chosen = wanted.select(*[F.col(c).alias(f"its_{c}") for c in ("id", "t1", "t2")])
-    same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in ("id", "t1", "t2")]
-    found = _set_table(rows.join(chosen, same, "left_semi"), ngram).join(wanted.select("k1", "k2", "node"), ["k1", "k2"])
+    rows = docs.select(text_identity(text)[0], text.alias("text"))
+    # Only the sets of wanted texts leave their tasks; copies of a text give the same set, so any will do.
+    found = _set_table(rows, ngram, filter_bits(wanted.select("t1"))).join(wanted.select("k1", "k2", "node"), ["k1", "k2"])
     sets = materialise(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -224,32 +225,37 @@ def _verified(
 
 
 def _nodes(rows: DataFrame) -> tuple[DataFrame, list[int]]:
-    """One row per different set: node, k1, k2, n, parts, and id and text hashes of one of its rows; and the k1 that two sets share."""
-    first = F.min(F.struct("id", "t1", "t2")).alias("row")
+    """One row per different set: node, k1, k2, n, parts, and a text hash of one of its rows; and the k1 that two sets share."""
+    first = F.min("t1").alias("t1")
     sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.max("n").alias("n"), F.max("parts").alias("parts"), first)
     sets = materialise(sets, "jaccard-node-sets")
     # Two unlike sets with equal k1: expected not once in 10^9 sets. Their nodes are named by k2.
     collided = [r["k1"] for r in sets.groupBy("k1").count().where("count > 1").collect()]
     node = F.when(F.col("k1").isin(collided), F.col("k2")).otherwise(F.col("k1")) if collided else F.col("k1")
-    return sets.select(node.alias("node"), "k1", "k2", "n", "parts", "row.id", "row.t1", "row.t2"), collided
+    return sets.select(node.alias("node"), "k1", "k2", "n", "parts", "t1"), collided
+
+
+def _center_order() -> Column:
+    """Orders the members of a list: fewest rarer tokens first, as in the text that near copies were made from."""
+    return F.col("at").cast("long") * (1 << 40) + F.shiftrightunsigned("node", 24)
 
 
 def _lists(postings: DataFrame) -> DataFrame:
-    """Members (token, node, n, at, center) of the lists with two or more different sets; center is the smallest node."""
-    stats = postings.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("last")).where("center < last")
-    return materialise(postings.join(stats.select("token", "center"), "token"), "jaccard-lists")
+    """Members (token, node, n, at, is_center) of the lists with two or more different sets."""
+    told = postings.select("token", "node", _center_order().alias("o"))
+    stats = told.groupBy("token").agg(F.min("o").alias("least"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    members = postings.join(stats.select("token", "least"), "token")
+    return materialise(members.select("token", "node", "n", "at", (_center_order() == F.col("least")).alias("is_center")), "jaccard-lists")
 
 
-def links(
-    docs: DataFrame, nodes: DataFrame, postings: DataFrame, id_col: str, text_col: str, ngram: int, similar: tuple[int, int]
-) -> DataFrame:
+def links(docs: DataFrame, nodes: DataFrame, postings: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
     """Verified links (a, b) that connect every pair of similar sets."""
     members = _lists(postings)
-    centers = members.where("node = center").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("by")).distinct()
-    stars = members.where("node <> center").join(centers, "token").where(_admissible(similar))
-    first = _verified(stars.select("a", F.col("node").alias("b")).distinct(), nodes, docs, id_col, text_col, ngram, similar)
+    centers = members.where("is_center").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("by")).distinct()
+    stars = members.where("not is_center").join(centers, "token").where(_admissible(similar))
+    first = _verified(stars.select("a", F.col("node").alias("b")).distinct(), nodes, docs, text_col, ngram, similar)
     roots = materialise(smallest_reachable(first), "jaccard-roots")
-    rest = members.where("node <> center").join(roots, "node", "left").select(
+    rest = members.where("not is_center").join(roots, "node", "left").select(
         "token", "node", "n", "at", F.coalesce("root", "node").alias("root")
     )
     open_lists = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
@@ -259,7 +265,7 @@ def links(
     pairs = materialise(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "jaccard-open")
     if pairs.isEmpty():
         return first
-    return first.unionByName(_verified(pairs, nodes, docs, id_col, text_col, ngram, similar))
+    return first.unionByName(_verified(pairs, nodes, docs, text_col, ngram, similar))
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
@@ -269,7 +275,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, ngram: int, similar: tu
         rows = written.where("chunk is null").drop("chunk", "counts")
         nodes, collided = _nodes(rows)
         postings = materialise(_postings(docs, text_col, ngram, similar, _frequency_classes(written), collided), "jaccard-postings")
-        roots = smallest_reachable(links(docs, nodes, postings, id_col, text_col, ngram, similar))
+        roots = smallest_reachable(links(docs, nodes, postings, text_col, ngram, similar))
         component = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component"))
         return materialise(rows.drop("parts").join(component, ["k1", "k2"], "left"), "jaccard-placed", keep=True)
 

@@ -9,7 +9,10 @@ is shuffled; a task that is run again gives the same windows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceIds, text_batches
+from .pretokens import compiled, pieces, text_batches
 from .shared import lower_arrow_batches
 
 CAPACITY = 2048
 END_ID = 1
+# Words and pieces of texts that a worker remembers in each generation; memory bounds.
+WORDS, PIECES, FIRST = 150_000, 250_000, 20_000
 # Sequence numbers of one task; the task's number stands above them.
 TASK_SHIFT = 40
 
@@ -34,25 +39,76 @@ def byte_characters() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
+class Remembered(dict):
+    """What `make` gives for each key, in two generations: the young one becomes the old one when full.
+
+    Keys that recur move on to the young generation, the others are forgotten; results do not depend on it.
+    """
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class FileEncoder:
-    """Ids of a byte-level tokenizer file, without special tokens, each different piece of text encoded once."""
+    """Ids of a byte-level tokenizer file, as little-endian unsigned 32-bit integers, without special tokens around a text.
+
+    Added tokens of the file that a text holds are one id each, as for the library; what lies between
+    them is cut by the pattern.
+    """
 
     def __init__(self, definition: bytes, pattern: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(definition.decode("utf-8")).model
-        self.byte = np.array([ord(c) for _, c in sorted(byte_characters().items())], "<u4")
-        self.pieces = PieceIds(pattern, self.encode_words)
-
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        tokenize = self.model.tokenize
-        raw = [w.encode("utf-8") for w in words]
-        mapped = self.byte[np.frombuffer(b"".join(raw), np.uint8)].tobytes().decode("utf-32-le")
-        cuts = np.cumsum([len(x) for x in raw], dtype=np.int64).tolist()
-        tokens = [tokenize(mapped[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
-        flat = np.fromiter((t.id for ts in tokens for t in ts), np.dtype("<u4"))
-        raw, ends = flat.tobytes(), np.cumsum([0] + [4 * len(ts) for ts in tokens])
-        return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        self.pattern = pattern
+        self.by_match, _ = compiled(pattern)
+        self.tokenize = Tokenizer.from_str(definition.decode("utf-8")).model.tokenize
+        self.characters = {b: c for b, c in byte_characters().items() if chr(b) != c}
+        self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in json.loads(definition).get("added_tokens", ())}
+        by_length = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, by_length)) + ")")
+        self.words = Remembered(self._word, WORDS)
+        self.first = Remembered(lambda p: self._piece("", p), FIRST)
+        self.after_blank = Remembered(lambda p: self._piece(" ", p), PIECES)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of one match of the pattern."""
+        rest = word[1:]
+        if rest.isascii() and rest.isprintable() and " " not in rest and (word[0] == " " or "!" <= word[0] <= "~"):
+            # Printable characters stand for themselves.
+            mapped = self.characters[0x20] + rest if word[0] == " " else word
+        else:
+            mapped = word.encode("utf-8").decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+
+    def _piece(self, lead: str, piece: str) -> bytes:
+        letters = piece.rstrip(".,;:!?")
+        if letters.isascii() and letters.isalpha():
+            # The letters, with the blank before them, are one match and the marks another.
+            marks = piece[len(letters) :]
+            return self.words[lead + letters] + self.words[marks] if marks else self.words[lead + letters]
+        return b"".join([self.words[w] for w in self.by_match.findall(lead + piece)])
+
+    def _plain(self, text: str) -> bytes:
+        parts, flagged = pieces(text, self.pattern)
+        if not flagged:
+            return b"".join(map(self.first.__getitem__, parts))
+        return self.first[parts[0]] + b"".join(map(self.after_blank.__getitem__, parts[1:]))
+
+    def encode(self, text: str) -> bytes:
+        if not any(token in text for token in self.added):
+            return self._plain(text)
+        return b"".join([self.added[p] if p in self.added else self._plain(p) for p in self.cut.split(text)])
 
 
 @lru_cache(maxsize=1)
@@ -187,8 +243,8 @@ def pack(
         for table, texts in text_batches(batches, 1):
             id_type = table.schema.field(0).type
             windows = []
-            for doc_id, ids in zip(table.column(0).to_pylist(), encoder.pieces.encode_texts(texts), strict=True):
-                ids += end
+            for doc_id, text in zip(table.column(0).to_pylist(), texts, strict=True):
+                ids = encoder.encode(text) + end
                 known[n_docs] = (doc_id, len(ids) // 4)
                 windows += packer.add(n_docs, ids)
                 n_docs += 1

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, jaccard, langid, licences, packing, quality, rules, simhash, urls
+from . import bpe, chat, collocations, exact, importance, jaccard, langid, licences, packing, quality, rules, simhash, urls
 from .shared import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,9 +54,10 @@ _SEP = r"[\x20\x09-\x0D]+"
         SELECT doc_id, host, text, trim(regexp_replace(lower(x), '{_SEP}', ' ', 'g')) AS line
         FROM (SELECT doc_id, host, text, unnest(lines) AS x FROM d)
     ), host AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
+    t AS (SELECT DISTINCT host, text, line, count(*) OVER (PARTITION BY doc_id, host, text, line) * len(string_split(line, ' ')) AS words FROM l),
     common AS (
-        SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n FROM l GROUP BY host, line) JOIN host USING (host)
-        WHERE n > {rules.MIN_TEXTS} AND n > {rules.SHARE} * n_texts
+        SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS n, min(words) AS words FROM t GROUP BY host, line) JOIN host USING (host)
+        WHERE n > {rules.MIN_TEXTS} AND (words >= {rules.LONG_LINE} OR n > {rules.SHARE} * n_texts)
     ), gone AS (
         SELECT doc_id, text, sum(len(string_split(line, ' '))) AS n FROM l JOIN common USING (host, line) GROUP BY doc_id, text
     ), f AS (
@@ -208,6 +209,11 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "number", "family", F.round("probability", 3).alias("probability"), "overlap", "confirmed")
 
 
+@_query("op11_importance_resampling")
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _WORDS_SQL = rf"list_filter(regexp_split_to_array({_LOWERED}, '{_SEP}'), lambda w: w <> '')"
 
 
@@ -231,3 +237,33 @@ _WORDS_SQL = rf"list_filter(regexp_split_to_array({_LOWERED}, '{_SEP}'), lambda
 )
 def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
+@_query(
+    "op13_collocations",
+    rf"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+    g AS (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+        FROM w CROSS JOIN (VALUES (1), (2), (3)) t(k)
+    ), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+    c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= {collocations.MIN_COUNT}),
+    longer AS (
+        SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE k = 3)
+        GROUP BY ALL
+    ), cuts AS (
+        SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+        FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+        JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:k], ' ')
+    ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < {collocations.SUBSUMED_PERCENT} * a)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN n USING (lang) QUALIFY rank <= {collocations.TOP}
+    """,
+)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

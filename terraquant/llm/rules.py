@@ -3,8 +3,7 @@
 One pass over the texts writes a short row per document: the base counts, and its different lines as
 hashes with their word counts. How many different texts of a host carry a line is then counted from
 those rows alone: the pairs are first made distinct (spread by line and text, so no host or line is
-hot), then summed with map-side combine. Lines above the limit are few by construction (a host has at
-most lines-per-text / `share` of them); their join with the lines splits where a line or host is hot.
+hot), then summed with map-side combine. Their join with the lines splits where a line or host is hot.
 """
 
 from __future__ import annotations
@@ -12,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .shared import SEPARATORS, words
+from ..session import materialise, scratch
+from .shared import SEPARATORS, filter_table, fresh_names, split_by_filter, words
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-# A line is boilerplate in more texts of a host than both of these.
+# A line of `LONG_LINE` words or more is boilerplate in more than `MIN_TEXTS` texts of a host, whatever
+# its size; a shorter one, which people write by chance, only in more than `SHARE` of the host's texts too.
 MIN_TEXTS = 10
 SHARE = 0.10
-# Without the share, and so at any size of the host, for lines of so many words (None: never).
-LONG_LINE = None
+LONG_LINE = 8
 # A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.5
 SYMBOLS = "[#*$%&|<>]"
@@ -106,28 +105,19 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def boilerplate(
-    rows: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, long_line: int | None = LONG_LINE
+    rows: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, long_line: int = LONG_LINE
 ) -> DataFrame:
-    """(host, hash) of lines in more different texts of the host than `min_texts` and `share` of its texts.
+    """(host, hash) of lines in more different texts of the host than `min_texts` and, if short, than `share` of its texts.
 
-    Of lines with `long_line` words or more, `min_texts` alone decides: the limit does not grow with the
-    host, and short natural lines stay protected by the share. The words of a line are the fewest that
-    all its occurrences in one text have. Exact copies of a text count once, so copies alone never make their lines boilerplate.
+    The words of a line are the fewest that all its occurrences in one text have. Exact copies of a
+    text count once, so copies alone never make their lines boilerplate.
     """
     texts = rows.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_texts"))
-    number = F.count(F.lit(1)).alias("n")
-    if long_line is None:
-        carried = rows.select("host", "text_hash", F.explode("lines.hash").alias("hash")).distinct()
-        counted = carried.groupBy("host", "hash").agg(number)
-    else:
-        lines = rows.select("host", "text_hash", F.explode("lines").alias("line"))
-        carried = lines.select("host", "text_hash", "line.hash", "line.words").distinct()
-        counted = carried.groupBy("host", "hash").agg(number, F.min("words").alias("words"))
+    lines = rows.select("host", "text_hash", F.explode("lines").alias("line"))
+    carried = lines.select("host", "text_hash", "line.hash", "line.words").distinct()
+    counted = carried.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"), F.min("words").alias("words"))
     common = counted.where(F.col("n") > min_texts).join(texts, "host")
-    frequent = F.col("n") > share * F.col("n_texts")
-    if long_line is not None:
-        frequent = frequent | (F.col("words") >= long_line)
-    return common.where(frequent).select("host", "hash")
+    return common.where((F.col("words") >= long_line) | (F.col("n") > share * F.col("n_texts"))).select("host", "hash")
 
 
 def judge(
@@ -138,7 +128,7 @@ def judge(
     min_texts: int = MIN_TEXTS,
     share: float = SHARE,
     min_left: float = MIN_LEFT,
-    long_line: int | None = LONG_LINE,
+    long_line: int = LONG_LINE,
 ) -> DataFrame:
     """One row per input row: doc_id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     removed_words, removed (hashes of its boilerplate lines), base_failed, kept.
@@ -179,20 +169,26 @@ def judge(
 def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
     """The documents that stay, with their own columns, without their boilerplate lines.
 
-    A repeated row is returned as often as it was given.
+    A repeated row is returned as often as it was given. Most rows stay as they are: whole texts are
+    moved only for rows whose id may be that of a row that goes or loses lines, in one exchange at most.
+    Rows are told apart by id, host and a hash of the text; the hash decides only among rows of one id.
     """
-    verdicts = judge(docs, id_col, text_col, host_col, **options).where("kept")
-    verdicts = verdicts.select(
-        F.col("doc_id").alias("v_id"), F.col("host").alias("v_host"), F.col("text_hash").alias("v_hash"), F.col("removed").alias("v_removed")
-    ).distinct()
+    with scratch(docs.sparkSession):
+        verdicts = judge(docs, id_col, text_col, host_col, **options)
+        touched = verdicts.where(~F.col("kept") | F.col("removed").isNotNull())
+        touched = materialise(touched.select("doc_id", "host", "text_hash", "kept", "removed").distinct(), "rule-touched", keep=True)
+        table = materialise(filter_table(touched.select(F.xxhash64("doc_id"))), "rule-filter", keep=True)
+    calm, suspect = split_by_filter(docs, F.xxhash64(docs[id_col]), table)
+    names = fresh_names(docs.columns, "own_id", "own_host", "own_hash", "own_kept", "own_removed")
+    touched = touched.toDF(*names)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     same = (
-        F.col(id_col).eqNullSafe(F.col("v_id"))
-        & (F.xxhash64(text) == F.col("v_hash"))
-        & (F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col("v_host"))
+        F.col(id_col).eqNullSafe(F.col(names[0]))
+        & (F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(names[1]))
+        & (F.xxhash64(text) == F.col(names[2]))
     )
-    joined = docs.join(verdicts, same)
-    cleaned = F.array_join(
-        F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains("v_removed", F.xxhash64(normalised(x)))), "\n"
-    )
-    return joined.withColumn(text_col, F.when(F.col("v_removed").isNotNull(), cleaned).otherwise(F.col(text_col))).select(*docs.columns)
+    kept, removed = F.col(names[3]), F.col(names[4])
+    joined = suspect.join(touched, same, "left").where(F.coalesce(kept, F.lit(True)))
+    cleaned = F.array_join(F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(removed, F.xxhash64(normalised(x)))), "\n")
+    joined = joined.withColumn(text_col, F.when(removed.isNotNull(), cleaned).otherwise(F.col(text_col))).select(*docs.columns)
+    return calm.unionByName(joined)

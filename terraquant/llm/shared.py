@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,26 +55,72 @@ def fresh_names(columns: Sequence[str], *names: str) -> list[str]:
     return out
 
 
+# Bits of a filter over hashes: 2 MB, whatever the input. A full filter costs time, never rows.
+FILTER_BITS = 1 << 24
+_CHUNK_BITS = 1 << 15
+
+
+def filter_bits(hashes: DataFrame) -> np.ndarray:
+    """A filter over the hashes (a column of longs or smaller) as `FILTER_BITS` bits: false hits, no false misses."""
+    bit = F.pmod(F.col(hashes.columns[0]), F.lit(FILTER_BITS)).cast("long")
+    chunks = hashes.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / _CHUNK_BITS).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.col("bit") % _CHUNK_BITS).alias("bits")
+    )
+    out = np.zeros((FILTER_BITS // _CHUNK_BITS, _CHUNK_BITS // 8), np.uint8)
+    for r in chunks.collect():
+        out[r["chunk"]] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out.reshape(-1)
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes % FILTER_BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def filter_table(hashes: DataFrame) -> DataFrame:
+    """The same filter as a table (chunk, bits) of 512 longs a row and at most 512 rows."""
+    bit = F.pmod(F.col(hashes.columns[0]), F.lit(FILTER_BITS)).cast("long")
+    words = hashes.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits"))
+    held = words.groupBy(F.floor(F.col("word") / 512).alias("chunk")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word") % 512, "bits"))).alias("m"))
+    return held.select("chunk", F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("bits"))
+
+
+def split_by_filter(docs: DataFrame, hashed: Column, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose hash cannot be among those of the filter table, rows whose hash may be), each row in one of them.
+
+    The table is a broadcast of 2 MB at most; no row of `docs` moves.
+    """
+    bit, chunk, bits = fresh_names(docs.columns, "filter_bit", "filter_chunk", "filter_bits")
+    at = F.col(bit)
+    marked = docs.withColumn(bit, F.pmod(hashed, F.lit(FILTER_BITS)).cast("long"))
+    met = marked.join(F.broadcast(table.toDF(chunk, bits)), F.floor(at / (64 * 512)) == F.col(chunk), "left")
+    word = F.get(F.col(bits), (F.floor(at / 64) % 512).cast("int"))
+    hit = F.coalesce(F.call_function("shiftrightunsigned", word, (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    return met.where(~hit).select(docs.columns), met.where(hit).select(docs.columns)
+
+
 def keep_rows(docs: DataFrame, key: Sequence[Column], verdicts: DataFrame) -> DataFrame:
     """The rows of `docs` whose verdict is to stay, once each, with their own columns.
 
-    `verdicts` has the key of every row, in order, and then `kept`. The rows to go are usually few and
-    narrow, so the table of whole texts is filtered against them (the optimiser broadcasts them where
-    their written size allows it) and moves in one exchange at most.
+    `verdicts` has the key of every row, the id first, and then `kept`. Whole texts are moved only for
+    rows whose id may be that of a row that goes or repeats; a filter of fixed size decides that where
+    they lie.
     """
     parts = verdicts.columns[:-1]
     counted = verdicts.groupBy(*parts).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("copies"))
+    special = materialise(counted.where(~F.col("kept") | (F.col("copies") > 1)), "special-rows", keep=True)
+    table = materialise(filter_table(special.select(F.xxhash64(parts[0]))), "special-filter", keep=True)
     names = fresh_names(docs.columns, *[f"own_{p}" for p in parts])
-    marked = docs.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    calm, suspect = split_by_filter(docs, F.xxhash64(key[0]), table)
+    marked = suspect.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
 
     def with_key(table: DataFrame, how: str) -> DataFrame:
         other = table.select(*[F.col(p).alias(f"its_{n}") for p, n in zip(parts, names, strict=True)])
         same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"its_{n}")) for n in names])
         return marked.join(other, same, how)
 
-    special = materialise(counted.where(~F.col("kept") | (F.col("copies") > 1)), "special-rows")
-    once = with_key(special, "left_anti")
+    out = calm.unionByName(with_key(special, "left_anti").drop(*names))
     repeated = special.where("kept")
     if not repeated.isEmpty():
-        once = once.unionByName(with_key(repeated, "left_semi").dropDuplicates(names))
-    return once.drop(*names)
+        out = out.unionByName(with_key(repeated, "left_semi").dropDuplicates(names).drop(*names))
+    return out

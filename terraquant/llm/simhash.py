@@ -164,13 +164,3 @@ def near_components(
     return rows.join(placed, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, one id of each component (the smallest), with their own columns.
-
-    Rows with a null id are in no component and stay.
-    """
-    found = near_components(docs, id_col, text_col, **options).where("doc_id <> component_id")
-    dropped = materialise(found.select(F.col("doc_id").alias("dropped_id")).distinct(), "near-copies")
-    return docs.join(dropped, F.col(id_col).cast("long") == F.col("dropped_id"), "left_anti")

@@ -294,3 +294,34 @@ def test_quality_without_labels_and_with_conflicts(spark, docs):
     none = quality.classify(docs, labels.limit(0)).collect()
     assert {r["score"] for r in none} == {0.5}
     assert quality.keep_good(docs, quality.fit(docs, labels.limit(0), F.lit(True))).count() == len(ROWS)
+
+
+def test_stage_operators_keep_columns_with_their_own_names(spark):
+    """Columns named like those that the operators add come back untouched."""
+    from terraquant.llm import jaccard
+
+    body = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, body, "a"), (2, body.upper(), "a"), (3, body + " end", "a"), (None, body, None), (None, None, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    names = ["own_id", "OWN_HOST", "own_hash", "own_kept", "own_removed", "own_digest", "its_own_id", "own_doc_id", "kept_id", "v_id", "dropped_id", "removed"]
+    for name in names:
+        df = df.withColumn(name, F.lit(name))
+    ids = {}
+    for fn in (rules.apply_rules, exact.drop_copies, jaccard.drop_near_copies):
+        out = fn(df)
+        assert out.columns == df.columns
+        got = out.collect()
+        assert all(r[n] == n for r in got for n in names)
+        ids[fn.__name__] = sorted(str(r["doc_id"]) for r in got)
+    assert ids == {"apply_rules": ["1", "2", "3", "None"], "drop_copies": ["2", "3", "None"], "drop_near_copies": ["1", "None"]}
+
+
+def test_packing_knows_added_tokens(definition):
+    from tokenizers import Tokenizer
+
+    own = packing.FileEncoder(definition, public_tokenizers.PATTERN)
+    known = Tokenizer.from_str(definition.decode())
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x \n", " <|endoftext", "é <|endoftext|>, 漢字!? don't", "x" * 5000 + "<|endoftext|> ,;"):
+        ids = np.frombuffer(own.encode(text), "<u4").tolist()
+        assert ids == known.encode(text, add_special_tokens=False).ids
+        assert ("<|endoftext|>" in text) == (50256 in ids)
