@@ -258,7 +258,7 @@ def op12_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT c.lang, c.phrase, a, cut, x.f AS l, y.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
         FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
         JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:cut], ' ')
-        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:k], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[cut + 1:c.k], ' ')
     ), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
     kept AS (SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < {collocations.SUBSUMED_PERCENT} * a)
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
