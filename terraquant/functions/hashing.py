@@ -92,3 +92,10 @@ def seed_draws(df: DataFrame, seeds: int, key: str, column: str = "draws") -> Da
     hashed = df.select("*", F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: digest(b, key)).alias("__digests"))
     drawn = F.flatten(F.transform("__digests", lambda d: F.array(*[hex_draw(d, lane) for lane in range(DRAWS_PER_DIGEST)])))
     return hashed.select(*df.columns, F.slice(drawn, 1, seeds).alias(column))
+
+
+def numbered_draws(key: str, count: int, tag: str) -> Column:
+    """An array with draws number 0 to count - 1 of a tag: lane i % 4 of the digest of (tag, i // 4)."""
+    blocks = -(-count // DRAWS_PER_DIGEST)
+    digests = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: digest(F.concat(F.lit(tag), b.cast("string")), key))
+    return F.slice(F.flatten(F.transform(digests, lambda d: F.array(*[bits_of(hex_draw(d, lane)) for lane in range(DRAWS_PER_DIGEST)]))), 1, count)

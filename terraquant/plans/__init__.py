@@ -12,6 +12,7 @@ MODULES = (
     "explanation",
     "graphs",
     "learners",
+    "forests",
 )
 
 
