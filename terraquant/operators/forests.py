@@ -88,3 +88,22 @@ def cell_table(rows: Rows, models: Sequence[Model]) -> DataFrame:
         F.count_if("first").alias("chosen"),
         F.coalesce(F.avg(F.when(F.col("first"), F.col("r2"))), F.lit(0.0)).alias("test_r2"),
     )
+
+
+def prefix_scores(rows: Rows, grown: Growth, rounds: int, rate: float) -> DataFrame:
+    """(rank, feature, fold, r2) of a boosted learner on every prefix of the rows' features; one growth for all prefixes and folds."""
+    models = [(0, h, tuple(range(k))) for k in range(1, len(rows.features) + 1) for h in range(rows.folds)]
+    made = growth.boost(rows, models, grown, rounds, rate)
+    names = [(i, len(own), rows.features[len(own) - 1], h) for i, (_, h, own) in enumerate(models)]
+    named = rows.spark.createDataFrame(names, "model long, rank long, feature string, fold int")
+    return growth.evaluate(rows, made).join(named, "model").select("rank", "feature", "fold", "r2")
+
+
+def gain_shares(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(rep, held, cell, feature, share): the share of a model's gain that each feature has, 0 for those it does not use."""
+    by = ["rep", "held", "cell"]
+    known = growth.split_counts(nodes, by)
+    every = nodes.select(*by).distinct().select(*by, F.explode(F.array(*map(F.lit, features))).alias("feature"))
+    told = every.join(known, [*by, "feature"], "left").withColumn("gain", F.coalesce("gain", F.lit(0.0)))
+    whole = F.sum("gain").over(Window.partitionBy(*by))
+    return told.select(*by, "feature", F.when(whole > 0, F.col("gain") / whole).otherwise(F.lit(0.0)).alias("share"))

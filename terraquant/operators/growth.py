@@ -13,6 +13,7 @@ as a value of its own between the bins beside it.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -26,6 +27,8 @@ from .splits import Growth, choose
 
 # Bytes of sums that a task may hold for the trees of one scan.
 SCAN_BYTES = 96 << 20
+# Bytes of sums of all tasks together below which they are added up on the driver.
+DIRECT_BYTES = 8 << 20
 # Rounds of boosting after which the margins so far are written beside the rows.
 REFRESH = 10
 POISSON = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1, k + 1)) for k in range(12)])
@@ -114,6 +117,7 @@ class Rows:
     means: np.ndarray
     folds: int
     sums: np.ndarray
+    splits: int = 1
 
     @property
     def spark(self) -> SparkSession:
@@ -163,21 +167,25 @@ class Rows:
 
 def feature_bins(df: DataFrame, features: Sequence[str], bins: int) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
     """Cuts of each feature, and its values where no more than `bins` differ: then every value has a bin."""
+    shares = [i / bins for i in range(1, bins)]
+    x = [F.col(f).cast("double") for f in features]
+    told = df.agg(*[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(x)], *[F.percentile_approx(c, shares, 100 * bins).alias(f"q{i}") for i, c in enumerate(x)]).first()
     cuts, values = [], []
-    for f in features:
-        seen = [r[0] for r in df.where(F.col(f).isNotNull()).select(F.col(f).cast("double")).distinct().limit(bins + 1).collect()]
-        if len(seen) <= bins:
+    for i, c in enumerate(x):
+        seen = None
+        if told[f"n{i}"] <= 1.2 * bins:
+            seen = [r[0] for r in df.where(c.isNotNull()).select(c.alias("x")).distinct().limit(bins + 1).collect()]
+        if seen is not None and len(seen) <= bins:
             own = np.sort(np.array(seen or [0.0]))
             values.append(own)
             cuts.append((own[:-1] + own[1:]) / 2)
         else:
-            shares = [i / bins for i in range(1, bins)]
             values.append(None)
-            cuts.append(np.unique(df.agg(F.percentile_approx(F.col(f).cast("double"), shares, 100 * bins)).first()[0]))
+            cuts.append(np.unique(told[f"q{i}"]))
     return cuts, values
 
 
-def _code(value: Column, cuts: np.ndarray) -> Column:
+def bin_code(value: Column, cuts: np.ndarray) -> Column:
     """The number of cuts below a value, -1 for a missing one."""
     below = F.lit(0)
     if len(cuts):
@@ -195,18 +203,19 @@ def prepare(
     must be gone; an empty table is an error.
     """
     features = tuple(features)
-    cuts, values = feature_bins(df, features, bins)
-    number = [_code(F.col(f).cast("double"), c) for f, c in zip(features, cuts, strict=True)]
-    table = materialise(
+    x = [f"x{i}" for i in range(len(features))]
+    given = materialise(
         df.select(
             parts.cast("array<int>").alias("parts"),
-            F.array(*number).cast("array<int>").alias("codes"),
             F.col(label).cast("double").alias("y"),
             (draws if draws is not None else F.array().cast("array<long>")).alias("draws"),
-            F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
+            *[F.col(f).cast("double").alias(n) for f, n in zip(features, x, strict=True)],
         ),
-        "growth-rows",
+        "growth-input",
     )
+    cuts, values = feature_bins(given, x, bins)
+    codes = F.array(*[bin_code(F.col(n), c) for n, c in zip(x, cuts, strict=True)]).cast("array<int>")
+    table = materialise(given.select("parts", codes.alias("codes"), "y", "draws"), "growth-rows")
     width, n_features = folds + 1, len(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +223,8 @@ def prepare(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = _matrix(batch.column(0))
-            x = np.array([[np.nan if v is None else v for v in row] for row in batch.column(2).to_pylist()]).reshape(batch.num_rows, n_features)
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            part, y = list_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1)
             known = ~np.isnan(x)
             base = np.hstack([np.ones((len(y), 1)), y[:, None], np.where(known, x, 0.0), known])
             if total is None:
@@ -226,7 +234,7 @@ def prepare(
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.shape[0]]), pa.array([total.tobytes()], pa.binary())], ["reps", "sums"])
 
-    found = table.select("parts", "y", "x").mapInArrow(run, "reps long, sums binary").collect()
+    found = given.select("parts", "y", *x).mapInArrow(run, "reps long, sums binary").collect()
     if not found:
         raise ValueError("no rows to grow trees on")
     shape = (found[0]["reps"], width, 2 + 2 * n_features)
@@ -234,10 +242,10 @@ def prepare(
     train = sums[:, :folds].sum(axis=1)
     counts = train[:, 2 + n_features :]
     means = train[:, 2 : 2 + n_features] / np.where(counts > 0, counts, 1)
-    return Rows(table.drop("x"), features, cuts, values, means, folds, sums)
+    return Rows(table, features, cuts, values, means, folds, sums, table.rdd.getNumPartitions())
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def list_matrix(column: pa.Array) -> np.ndarray:
     """A column of lists of equal length as rows x length."""
     return np.asarray(column.flatten()).reshape(len(column), -1)
 
@@ -288,9 +296,9 @@ def _scan(rows: Rows, trees: list[Tree], frontier: list[list[int]], margins: Mar
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, codes = _matrix(batch.column(0)), _matrix(batch.column(1)).T
-            y, draws = batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(3))
-            written = _matrix(batch.column(4)) if margins and margins.written else None
+            part, codes = list_matrix(batch.column(0)), list_matrix(batch.column(1)).T
+            y, draws = batch.column(2).to_numpy(zero_copy_only=False), list_matrix(batch.column(3))
+            written = list_matrix(batch.column(4)) if margins and margins.written else None
             placed = {r: layout.placed(r, codes) for r in {spec.rep for _, spec, _, _, _ in work}}
             for i, spec, arrays, place, nodes in work:
                 weight = _weights(spec, part, draws)
@@ -312,33 +320,44 @@ def _scan(rows: Rows, trees: list[Tree], frontier: list[list[int]], margins: Mar
 
 
 def _chosen(rows: Rows, trees: list[Tree], frontier: list[list[int]], margins: Margins | None) -> dict[int, list]:
-    """Per tree, what `choose` takes from the sums of its frontier; summed and chosen in the task that gets the tree."""
+    """Per tree, what `choose` takes from the sums of its frontier.
+
+    A tree's sums meet in one task, which sends its splits. Where the sums of all tasks together are
+    small, they are added up without that second stage.
+    """
     slots, n_features = rows.slots, len(rows.features)
     told = {
         i: (t.spec, [(t.path[n], t.depth(n)) for n in nodes], [rows.slot_values(t.spec.rep, f) for f in range(n_features)])
         for i, (t, nodes) in enumerate(zip(trees, frontier, strict=True))
         if nodes
     }
+
+    def split(i: int, flat: np.ndarray, told: dict) -> list:
+        spec, nodes, values = told[i]
+        sums = flat.reshape(2, n_features, len(nodes), slots).transpose(2, 0, 1, 3)
+        return choose(spec.growth, (spec.rep, spec.held, spec.number), spec.features, nodes, sums, values)
+
+    made = _scan(rows, trees, frontier, margins)
+    if 16 * slots * n_features * sum(map(len, frontier)) * rows.splits <= DIRECT_BYTES:
+        added: dict[int, np.ndarray] = {}
+        for r in made.collect():
+            own = np.frombuffer(bytes(r["sums"]))
+            added[r["tree"]] = added[r["tree"]] + own if r["tree"] in added else own
+        return {i: split(i, flat, told) for i, flat in added.items()}
     shared = rows.spark.sparkContext.broadcast(told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 own = np.frombuffer(raw.as_buffer())
                 total[i] = total[i] + own if i in total else own
         for i, flat in total.items():
-            spec, nodes, values = shared.value[i]
-            sums = flat.reshape(2, n_features, len(nodes), slots).transpose(2, 0, 1, 3)
-            found = choose(spec.growth, (spec.rep, spec.held, spec.number), spec.features, nodes, sums, values)
+            found = split(i, flat, shared.value)
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pickle.dumps(found)], pa.binary())], ["tree", "found"])
 
-    import pickle
-
-    dealt = _scan(rows, trees, frontier, margins).repartition("tree")
-    return {r["tree"]: pickle.loads(r["found"]) for r in dealt.mapInArrow(run, "tree long, found binary").collect()}
+    dealt = made.repartition("tree").mapInArrow(run, "tree long, found binary")
+    return {r["tree"]: pickle.loads(r["found"]) for r in dealt.collect()}
 
 
 def _grow_wave(rows: Rows, specs: Sequence[Spec], margins: Margins | None = None) -> list[Tree]:
@@ -450,8 +469,8 @@ def _with_margins(rows: Rows, margins: Margins) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            codes = _matrix(batch.column(1)).T
-            held = _matrix(batch.column(4)) if margins.written else None
+            codes = list_matrix(batch.column(1)).T
+            held = list_matrix(batch.column(4)) if margins.written else None
             placed = {t.spec.rep: None for round_ in margins.trees for t in round_}
             placed = {r: layout.placed(r, codes) for r in placed}
             made = np.stack([margins.of(m, placed, held, batch.num_rows) for m in range(len(margins.start))], axis=1)
@@ -475,7 +494,7 @@ def evaluate(rows: Rows, models: Sequence[Model]) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, codes = _matrix(batch.column(0)), _matrix(batch.column(1)).T
+            part, codes = list_matrix(batch.column(0)), list_matrix(batch.column(1)).T
             y = batch.column(2).to_numpy(zero_copy_only=False)
             placed = {r: layout.placed(r, codes) for r in {m.rep for m in models}}
             for i, m in enumerate(models):

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import functions as F
 
 from ..functions.expressions import rounded
-from ..operators import forests, growth
+from ..operators import attribution, forests, growth, reshape, runs, search, select
 from ..operators.splits import Growth
+from ..sources import study
 from ..sources.tables import ALL_FEATURES, FEATURES, KEY, LABEL
 from .common import clipped
 from .oracle import BOUNDS, CLIPPED, OBS, draw, is_test, prep, r, with_
@@ -217,3 +218,88 @@ def fit_leafwise_boosting(spark, sf_dir):
 def fit_symmetric_boosting(spark, sf_dir):
     """Trees with one split for all nodes of a level, with a penalty on leaf values."""
     return _boosted(spark, sf_dir, Growth(max_depth=3, symmetric=True, l2=L2))
+
+
+IMPORTANCE_ROUNDS = 100
+
+
+def _all_features(spark, sf_dir, seeds: int = 1, draws: int = 0):
+    return forests.replicated_rows(clipped(spark, sf_dir, [KEY, *ALL_FEATURES]), ALL_FEATURES, LABEL, KEY, seeds, FOLDS, draws)
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    """How often 100 boosted trees of the training rows split on each of all eight features, ranked; unused ones have 0."""
+    models = growth.boost(_all_features(spark, sf_dir), [(0, -1, None)], Growth(max_depth=2), IMPORTANCE_ROUNDS, 0.1)
+    counts = growth.split_counts(growth.node_table(spark, models, ALL_FEATURES))
+    every = spark.createDataFrame([(f,) for f in ALL_FEATURES], "feature string").join(counts, "feature", "left")
+    splits = every.select("feature", F.coalesce("splits", F.lit(0).cast("long")).alias("importance"), rounded(F.coalesce("gain", F.lit(0.0)), 4).alias("gain"))
+    return reshape.rank_desc(splits, "importance", "feature")
+
+
+@query("forward_prefix_boosted")
+def forward_prefix_boosted(spark, sf_dir):
+    """Forward selection with a boosted learner: every prefix of the ranking and every fold grow in the same scans."""
+    clip = clipped(spark, sf_dir, [KEY, *ALL_FEATURES])
+    importance = select.univariate_importance(clip, ALL_FEATURES, LABEL)
+    order = [r["feature"] for r in importance.orderBy(F.desc("importance"), "feature").collect()]
+    rows = forests.replicated_rows(clip, order, LABEL, KEY, 1, FOLDS)
+    scores = forests.prefix_scores(rows, Growth(max_depth=3), rounds=10, rate=0.3)
+    curve = select.selection_curve(importance, scores)
+    return curve.select("rank", "feature", *[rounded(c).alias(c) for c in ("share", "mean_r2", "ci_low", "ci_high")])
+
+
+FOREST = {"trees": [5, 10], "max_depth": [4]}
+
+
+@query("mean_importance")
+def mean_importance(spark, sf_dir):
+    """Mean share of the gain by feature of 50 bootstrap forests, one a seed, on all eight features."""
+    rows = _all_features(spark, sf_dir, SEEDS, 10)
+    models = forests.grid_models(rows, range(SEEDS), {"trees": [10]}, Growth(4, bootstrap=True, features_per_node=3), held=[-1])
+    shares = forests.gain_shares(growth.node_table(spark, models, ALL_FEATURES), ALL_FEATURES)
+    table = shares.groupBy(F.lit("random_forest").alias("model"), F.col("rep").alias("seed")).agg(
+        F.map_from_entries(F.collect_list(F.struct("feature", "share"))).alias("importance")
+    )
+    return runs.mean_importance(table).withColumn("mean_importance", rounded("mean_importance", 4))
+
+
+@query("compare_all_models")
+def compare_all_models(spark, sf_dir):
+    """Leaderboard over 50 seeds and 5 folds of the linear learners, trees, both forests and boosting; neighbours on one seed and two folds."""
+    clip = clipped(spark, sf_dir, [KEY, *FEATURES])
+    linear = {"ols": [0.0], "ridge": study.GRIDS["ridge"]["alpha"], "lasso": study.GRIDS["lasso"]["alpha"]}
+    union = search.linear_run_table(clip, FEATURES, LABEL, KEY, SEEDS, linear)
+    rows = forests.replicated_rows(clip, FEATURES, LABEL, KEY, SEEDS, FOLDS, 10)
+    grids = {
+        "decision_tree": ({"max_depth": [4, 6], "min_leaf": [1, 5]}, Growth()),
+        "random_forest": (FOREST, Growth(bootstrap=True, features_per_node=2)),
+        "extra_trees": (FOREST, Growth(drawn=True, features_per_node=2)),
+    }
+    tables = [
+        forests.run_table(rows, forests.grid_models(rows, range(SEEDS), grid, base), name, growth.grid_cells(grid)) for name, (grid, base) in grids.items()
+    ]
+    boosted = growth.boost(rows, [(s, h, None) for s in range(SEEDS) for h in range(-1, FOLDS)], Growth(max_depth=3), 5, 0.3)
+    tables.append(forests.run_table(rows, boosted, "gbt", [{"rounds": 5, "rate": 0.3, "max_depth": 3}]))
+    tables.append(search.knn_run_table(clip, FEATURES, LABEL, KEY, [0], {"k": [5, 9], "weights": ["distance"], "p": [2]}, folds=2))
+    for t in tables:
+        union = union.drop("importance").unionByName(t.drop("importance"))
+    board = runs.compare_models(union)
+    return board.withColumns({c: rounded(c, 4) for c in ("mean_r2", "std_r2", "mean_mae", "mean_rmse")})
+
+
+@query("shap_trees")
+def shap_trees(spark, sf_dir):
+    """Exact attribution of every clipped row under a bootstrap forest: sums checked, mean absolute value by feature."""
+    clip = clipped(spark, sf_dir, [KEY, *FEATURES])
+    rows = forests.replicated_rows(clip, FEATURES, LABEL, KEY, 1, FOLDS, 10)
+    grown = Growth(4, bootstrap=True, features_per_node=2)
+    model = growth.Model(0, -1, 0, growth.grow(rows, [growth.Spec(0, -1, k, grown) for k in range(10)]))
+    values = attribution.attribute(rows, model, KEY, clip)
+    total = sum((F.col(f"shap_{f}") for f in FEATURES), F.col("base"))
+    return values.agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.max(F.abs(F.col("prediction") - total)) < 1e-9).alias("efficient"),
+        rounded(F.avg("prediction"), 4).alias("mean_prediction"),
+        *[rounded(F.avg(F.abs(F.col(f"shap_{f}"))), 4).alias(f"mean_abs_{f}") for f in FEATURES],
+    )
