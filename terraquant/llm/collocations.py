@@ -1,10 +1,10 @@
 """Phrase collocations by stripes: each prefix keys an associative counter of the words that follow it.
 
-A stripe is (lang, prefix, part, followers, counts): prefixes of no, one and two words give the words,
-pairs and triples of a language as their extensions. A task counts its own stripes as arrays of word
-numbers; stripes of one prefix meet in a shuffle, sorted, and are merged elementwise one prefix after
-the other, so a task holds a batch and one stripe. A prefix that many words follow is dealt over
-`PARTS` parts of its followers, by their hash.
+A stripe is a prefix and the words that follow it, with counts: prefixes of no, one and two words give
+the words, pairs and triples of a language as their extensions. A task counts its own stripes as arrays
+of word numbers and packs them into blocks, one for each bucket of prefixes; the blocks of a bucket
+meet in a shuffle and are merged elementwise, one bucket after the other. A prefix that many words
+follow is dealt over the buckets by its followers.
 
 A phrase that occurs `min_count` times has parts that occur as often, so the stripes of longer prefixes
 leave out what a filter of fixed size over the frequent shorter phrases excludes. The filter has false
@@ -31,14 +31,15 @@ LONGEST = 3
 TOP = 2000
 SUBSUMED_PERCENT = 50
 SCALE = 1_000_000
-PARTS = 64
-# A prefix is dealt over parts from this share of all words on, so at most as many prefixes are.
+# Buckets of prefixes for each partition of a shuffle.
+BUCKETS = 8
+# A prefix is dealt by its followers from this share of all words on, so at most as many prefixes are.
 HOT_SHARE = 1 / 1000
 # Words a task counts before it hands its stripes on.
 FLUSH = 4_000_000
 # What ends a piece, as one mark; the mark is no word, since it separates words.
 _MARKS = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-STRIPES = "lang string, prefix binary, part int, followers binary, counts binary"
+BLOCKS = "lang string, bucket int, prefixes binary, sizes binary, followers binary, counts binary"
 
 
 def piece_words(text: str) -> list[bytes]:
@@ -60,45 +61,51 @@ class _Filter:
 
 
 def _encoded(
-    prefixes: list[bytes], lang: str, prefix_of: np.ndarray, follower: np.ndarray, counts: np.ndarray, words: list[bytes], hot: frozenset | None
+    prefixes: list[bytes], lang: str, prefix_of: np.ndarray, follower: np.ndarray, counts: np.ndarray, words: list[bytes], hot: frozenset | None, buckets: int
 ):
-    """Stripes of sorted (prefix, follower) numbers: one a prefix, or one a prefix and part for hot prefixes (None: all are)."""
-    part = np.zeros(len(prefix_of), np.int64)
-    is_hot = np.array([hot is None or (lang, p) in hot for p in prefixes], bool)
-    if is_hot.any():
-        at = np.flatnonzero(is_hot[prefix_of])
-        part[at] = [crc32(words[w]) % PARTS for w in follower[at]]
-        order = np.lexsort((part, prefix_of))
-        prefix_of, follower, counts, part = prefix_of[order], follower[order], counts[order], part[order]
-    starts = np.flatnonzero(np.r_[True, (prefix_of[1:] != prefix_of[:-1]) | (part[1:] != part[:-1])]) if len(prefix_of) else np.zeros(0, np.int64)
-    names = [words[w] for w in follower]
-    ends = np.r_[starts[1:], len(names)].astype(np.int64)
-    for at in range(0, len(starts), 10_000):
-        lo, hi = starts[at : at + 10_000].tolist(), ends[at : at + 10_000].tolist()
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([lang] * len(lo)),
-                pa.array([prefixes[prefix_of[a]] for a in lo], pa.binary()),
-                pa.array(part[lo], pa.int32()),
-                pa.array([b" ".join(names[a:b]) for a, b in zip(lo, hi, strict=True)], pa.binary()),
-                pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(lo, hi, strict=True)], pa.binary()),
-            ],
-            ["lang", "prefix", "part", "followers", "counts"],
-        )
-
+    """Blocks of stripes, one a bucket, from sorted (prefix, follower) numbers.
 
-def _own_stripes(lang: str, tokens: np.ndarray, words: list[bytes], length: int, may: _Filter, hot: frozenset | None):
+    A stripe lies in the bucket of its prefix; one of a hot prefix (None: all are) is dealt by its followers.
+    """
+    if not len(prefix_of):
+        return
+    used = np.unique(prefix_of)
+    start = np.zeros(len(prefixes), np.int64)
+    start[used] = [crc32(prefixes[p]) for p in used.tolist()]
+    is_hot = np.zeros(len(prefixes), bool)
+    is_hot[used] = [hot is None or (lang, prefixes[p]) in hot for p in used.tolist()]
+    bucket = start[prefix_of] % buckets
+    dealt = np.flatnonzero(is_hot[prefix_of])
+    bucket[dealt] = [crc32(words[w], s) % buckets for w, s in zip(follower[dealt].tolist(), start[prefix_of[dealt]].tolist(), strict=True)]
+    order = np.argsort(bucket, kind="stable")
+    bucket, prefix_of, counts = bucket[order], prefix_of[order], counts[order].astype("<u4")
+    names = [words[w] for w in follower[order].tolist()]
+    edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    rows = []
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(names)], strict=True):
+        own = prefix_of[a:b]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        sizes = np.diff(np.r_[starts, b - a]).astype("<u4")
+        rows.append((int(bucket[a]), b"\n".join([prefixes[p] for p in own[starts].tolist()]), sizes.tobytes(), b" ".join(names[a:b]), counts[a:b].tobytes()))
+    columns = list(zip(*rows, strict=True))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(rows)), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
+        ["lang", "bucket", "prefixes", "sizes", "followers", "counts"],
+    )
+
+
+def _own_stripes(lang: str, tokens: np.ndarray, words: list[bytes], length: int, may: _Filter, hot: frozenset | None, buckets: int):
     """The stripes of one task and language for prefixes of `length` words; token -1 ends a piece."""
     if length == 0:
         follower, counts = np.unique(tokens[tokens >= 0], return_counts=True)
-        yield from _encoded([b""], lang, np.zeros(len(follower), np.int64), follower, counts, words, hot)
+        yield from _encoded([b""], lang, np.zeros(len(follower), np.int64), follower, counts, words, hot, buckets)
         return
     if length == 1:
         known = may.passes(lang, words)
         fine = np.r_[known, False][tokens]
         at = np.flatnonzero(fine[:-1] & fine[1:])
         codes, counts = np.unique(tokens[at] << 32 | tokens[at + 1], return_counts=True)
-        yield from _encoded(words, lang, codes >> 32, codes & 0xFFFFFFFF, counts, words, hot)
+        yield from _encoded(words, lang, codes >> 32, codes & 0xFFFFFFFF, counts, words, hot, buckets)
         return
     at = np.flatnonzero((tokens[:-1] >= 0) & (tokens[1:] >= 0))
     pairs, pair_of = np.unique(tokens[at] << 32 | tokens[at + 1], return_inverse=True)
@@ -107,12 +114,13 @@ def _own_stripes(lang: str, tokens: np.ndarray, words: list[bytes], length: int,
     here[at] = np.where(may.passes(lang, names)[pair_of], pair_of, -1) if len(at) else -1
     at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
     codes, counts = np.unique(here[at] << 32 | tokens[at + 2], return_counts=True)
-    yield from _encoded(names, lang, codes >> 32, codes & 0xFFFFFFFF, counts, words, hot)
+    yield from _encoded(names, lang, codes >> 32, codes & 0xFFFFFFFF, counts, words, hot, buckets)
 
 
 def partial_stripes(docs: DataFrame, length: int, bits: np.ndarray | None, hot: frozenset | None, lang_col: str, text_col: str) -> DataFrame:
-    """Stripes as the tasks count them, several for a prefix."""
+    """Blocks of stripes as the tasks count them, several for a prefix."""
     lower_arrow_batches(docs.sparkSession)
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.sparkSession.sparkContext.broadcast((bits, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +132,7 @@ def partial_stripes(docs: DataFrame, length: int, bits: np.ndarray | None, hot:
             words = [w for w in number if w != b"."]
             for lang, arrays in held.items():
                 tokens = np.concatenate(arrays)
-                yield from _own_stripes(lang, tokens, words, length, may, hot)
+                yield from _own_stripes(lang, tokens, words, length, may, hot, buckets)
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -139,61 +147,52 @@ def partial_stripes(docs: DataFrame, length: int, bits: np.ndarray | None, hot:
         yield from flush()
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
-    return docs.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, STRIPES)
+    return docs.select(lang.alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, BLOCKS)
 
 
-def _merge(keys: np.ndarray, followers: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Elementwise sum of the stripes with the same key number; sorted by key."""
-    coded = pa.array(followers, pa.binary()).dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    both, where = np.unique(keys * max(len(names), 1) + coded.indices.to_numpy(), return_inverse=True)
-    total = np.zeros(len(both), np.int64)
-    np.add.at(total, where, counts)
-    return both // max(len(names), 1), [names[i] for i in both % max(len(names), 1)], total
+def _merged(blocks: list[tuple], min_count: int) -> tuple[list[bytes], list[bytes], np.ndarray, int]:
+    """Elementwise sum of the stripes of one bucket: (prefix, follower, n) seen `min_count` times, and the total of the empty prefix."""
+    prefix = pa.array([p for b in blocks for p in b[0].split(b"\n")], pa.binary()).dictionary_encode()
+    follower = pa.array([w for b in blocks for w in b[2].split(b" ")], pa.binary()).dictionary_encode()
+    sizes, counts = (np.frombuffer(b"".join([b[k] for b in blocks]), "<u4").astype(np.int64) for k in (1, 3))
+    of = np.repeat(prefix.indices.to_numpy().astype(np.int64), sizes)
+    names = len(follower.dictionary)
+    both, where = np.unique(of * names + follower.indices.to_numpy(), return_inverse=True)
+    sums = np.bincount(where, weights=counts).astype(np.int64)  # exact below 2^53
+    keep = np.flatnonzero(sums >= min_count)
+    taken = [side.dictionary.take(pa.array(at)).to_pylist() for side, at in ((prefix, both[keep] // names), (follower, both[keep] % names))]
+    empty = [i for i, p in enumerate(prefix.dictionary.to_pylist()) if not p]
+    return *taken, sums[keep], int(counts[np.isin(of, empty)].sum())
 
 
-def merged_stripes(parts: DataFrame, min_count: int) -> DataFrame:
-    """(lang, prefix, follower, n): followers seen `min_count` times after a prefix; the empty prefix also has its total.
+def merged_stripes(blocks: DataFrame, min_count: int) -> DataFrame:
+    """(lang, prefix, follower, n): followers seen `min_count` times after a prefix; the empty prefix also has totals, without follower.
 
-    That total has no follower, and one row for each part over which the empty prefix is dealt.
+    A task merges the blocks of one bucket after the other. Buckets grow in number with the shuffle's
+    partitions, and a prefix with many followers lies in many of them.
     """
-    keys = ["lang", "prefix", "part"]
-
-    def told(stripes: list[tuple], of: np.ndarray, names: list[bytes], sums: np.ndarray) -> pa.RecordBatch:
-        keep = np.flatnonzero(sums >= min_count)
-        all_of = np.bincount(of, weights=sums, minlength=len(stripes)).astype(np.int64)
-        bare = [i for i, s in enumerate(stripes) if not s[1]]
-        at = [*of[keep].tolist(), *bare]
-        columns = [
-            pa.array([stripes[i][0] for i in at], pa.string()),
-            pa.array([stripes[i][1] for i in at], pa.binary()),
-            pa.array([names[i] for i in keep] + [None] * len(bare), pa.binary()),
-            pa.array(np.r_[sums[keep], all_of[bare]].astype(np.int64)),
-        ]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "prefix", "follower", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, names, sums = None, [], np.zeros(0, np.int64)  # the stripe that the next batch may go on with
+        def told(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+            prefixes, followers, sums, total = _merged(held, min_count)
+            columns = [[key[0]] * (len(sums) + 1), [*prefixes, b""], [*followers, None], [*sums.tolist(), total]]
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "prefix", "follower", "n"])
+
+        last, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = [f.split(b" ") for f in batch.column(3).to_pylist()]
-            stripes, of_row = ([] if last is None else [last]), []
-            for row in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                if not stripes or stripes[-1] != row:
-                    stripes.append(row)
-                of_row.append(len(stripes) - 1)
-            of = np.r_[np.zeros(len(names), np.int64), np.repeat(np.array(of_row, np.int64), [len(x) for x in lists])]
-            counts = np.r_[sums, np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u4").astype(np.int64)]
-            of, merged, sums = _merge(of, names + [w for x in lists for w in x], counts)
-            cut = int(np.searchsorted(of, len(stripes) - 1))
-            if len(stripes) > 1:
-                yield told(stripes[:-1], of[:cut], merged[:cut], sums[:cut])
-            last, names, sums = stripes[-1], merged[cut:], sums[cut:]
-        if last is not None:
-            yield told([last], np.zeros(len(names), np.int64), names, sums)
-
-    dealt = parts.repartition(*keys).sortWithinPartitions(*keys)
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for key, *block in zip(keys, *[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
+                if held and key != last:
+                    yield told(last, held)
+                    held = []
+                last = key
+                held.append(tuple(block))
+        if held:
+            yield told(last, held)
+
+    keys = ["lang", "bucket"]
+    dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "lang string, prefix binary, follower binary, n long")
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch
 from .components import smallest_reachable
-from .shared import filter_bits, in_filter, keep_rows, lower_arrow_batches
+from .shared import filter_bits, filter_table, in_filter, keep_rows, lower_arrow_batches, split_by_filter
 
 NGRAM = 4
 # Least similarity as a fraction of whole numbers.
@@ -195,6 +195,12 @@ def _set_table(rows: DataFrame, ngram: int, bits: np.ndarray) -> DataFrame:
     return rows.select("text", "t1").mapInArrow(run, "k1 long, k2 long, tokens array<long>")
 
 
+def _among(df: DataFrame, name: str, keys: DataFrame) -> DataFrame:
+    """The rows of `df` whose `name` may be among the keys, found where they lie; a join settles the false hits."""
+    table = materialise(filter_table(keys.select(F.xxhash64(name))), "jaccard-filter")
+    return split_by_filter(df, F.xxhash64(name), table)[1]
+
+
 def _admissible(similar: tuple[int, int]) -> Column:
     """Length and positional filters of two members (n, at) and (m, by) of one list."""
     s, t = similar
@@ -206,18 +212,22 @@ def _admissible(similar: tuple[int, int]) -> Column:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar: the suffix filter on narrow rows, then one look at both whole sets."""
     s, t = similar
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}")) for x in "ab")
+    pairs = materialise(pairs, "jaccard-candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    told = _among(nodes, "node", ends)
+    a, b = (told.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}")) for x in "ab")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
     # Similar sets differ in at most n + m - 2 s / (s + t) (n + m) tokens.
     near = (s + t) * apart <= (t - s) * (F.col("na") + F.col("nb"))
     pairs = materialise(pairs.join(a, "a").join(b, "b").where(near).select("a", "b", "na", "nb"), "jaccard-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(nodes.join(ends, "node", "left_semi").drop("parts"), "jaccard-wanted")
+    wanted = materialise(told.drop("parts").join(ends, "node", "left_semi"), "jaccard-wanted")
     text = F.col(text_col).cast("string")
     rows = docs.select(text_identity(text)[0], text.alias("text"))
     # Only the sets of wanted texts leave their tasks; copies of a text give the same set, so any will do.
     found = _set_table(rows, ngram, filter_bits(wanted.select("t1"))).join(wanted.select("k1", "k2", "node"), ["k1", "k2"])
-    sets = materialise(found.groupBy("node").agg(F.first("tokens").alias("tokens")), "jaccard-sets")
+    sets = found.groupBy("k1", "k2").agg(F.first("node").alias("node"), F.first("tokens").alias("tokens"))
+    sets = materialise(sets.select("node", "tokens"), "jaccard-sets")
     left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     kept = pairs.join(left, "a").join(right, "b").where(both * (s + t) >= s * (F.col("na") + F.col("nb")))
@@ -244,7 +254,8 @@ def _lists(postings: DataFrame) -> DataFrame:
     """Members (token, node, n, at, is_center) of the lists with two or more different sets."""
     told = postings.select("token", "node", _center_order().alias("o"))
     stats = told.groupBy("token").agg(F.min("o").alias("least"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    members = postings.join(stats.select("token", "least"), "token")
+    stats = materialise(stats.select("token", "least"), "jaccard-shared")
+    members = _among(postings, "token", stats).join(stats, "token")
     return materialise(members.select("token", "node", "n", "at", (_center_order() == F.col("least")).alias("is_center")), "jaccard-lists")
 
 
@@ -259,12 +270,11 @@ def links(docs: DataFrame, nodes: DataFrame, postings: DataFrame, text_col: str,
         "token", "node", "n", "at", F.coalesce("root", "node").alias("root")
     )
     open_lists = rest.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    rest = materialise(rest.join(open_lists.select("token"), "token").distinct(), "jaccard-rest")
+    open_lists = materialise(open_lists.select("token"), "jaccard-open-lists")
+    rest = materialise(_among(rest, "token", open_lists).join(open_lists, "token").distinct(), "jaccard-rest")
     other = rest.select("token", F.col("node").alias("other"), F.col("n").alias("m"), F.col("at").alias("by"), F.col("root").alias("its_root"))
     pairs = rest.join(other, "token").where((F.col("root") < F.col("its_root")) & _admissible(similar))
-    pairs = materialise(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct(), "jaccard-open")
-    if pairs.isEmpty():
-        return first
+    pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
     return first.unionByName(_verified(pairs, nodes, docs, text_col, ngram, similar))
 
 
