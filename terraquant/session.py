@@ -78,7 +78,8 @@ def recorded() -> Iterator[list[str]]:
     try:
         yield made
     finally:
-        _SCOPES.remove(made)
+        # By identity: lists without a path yet are equal to each other.
+        del _SCOPES[next(i for i, s in enumerate(_SCOPES) if s is made)]
 
 
 @contextmanager
