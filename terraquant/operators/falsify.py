@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import linalg
 from ..functions.hashing import permutation_rows
-from .graph import edge_table, implied_independencies, validate
+from . import growth
+from .graph import edge_table, implied_independencies, isolated_nodes, validate
 from .moments import collect_conditioned
 from .prep import impute_whole_table
-from .trees import fit_tree
+from .splits import Growth
 
-TESTS_PER_PASS = 60
 TESTS_PER_TILE = 128
+ROWS_PER_TILE = 2000
 CONSTANT = "__constant"
 TEST_SCHEMA = "x string, y string, given array<string>, statistic double, p_value double, n bigint"
 
@@ -72,30 +75,50 @@ def _linear_sums(df: DataFrame, variables: Sequence[str], tests: Sequence[Test])
     return {r["test"]: (r["total"], r["squares"], r["n"]) for r in merged.collect()}
 
 
-def _boosted_sums(df: DataFrame, tests: Sequence[Test], params: dict) -> dict[int, tuple[float, float, int]]:
-    """The same sums with each regression a boosted-tree fit on the imputed table; batches of tests share a scan."""
-    columns = df.columns
-    for target, given in sorted({(v, given) for x, y, given in tests for v in (x, y)}):
-        name = _residual_name(target, given)
-        if given:
-            model = fit_tree(df.select(*columns), list(given), target, "gbt", **params)
-            residual = model.transform(df).withColumn(name, F.col(target) - F.col("prediction"))
-            df = residual.select(*df.columns, name)
-        else:
-            df = df.withColumn(name, F.col(target) - df.agg(F.avg(target)).scalar())
-    sums = {}
-    for start in range(0, len(tests), TESTS_PER_PASS):
-        aggs = []
-        for i, (x, y, given) in enumerate(tests[start : start + TESTS_PER_PASS], start):
-            product = F.col(_residual_name(x, given)) * F.col(_residual_name(y, given))
-            aggs += [F.sum(product).alias(f"t{i}"), F.sum(product * product).alias(f"q{i}")]
-        row = df.agg(F.count(F.lit(1)).alias("n"), *aggs).first()
-        sums |= {i: (row[f"t{i}"], row[f"q{i}"], row["n"]) for i in range(start, min(start + TESTS_PER_PASS, len(tests)))}
-    return sums
-
-
-def _residual_name(target: str, given: tuple[str, ...]) -> str:
-    return "__r_" + "__".join([target, *given])
+def _boosted_sums(
+    df: DataFrame, variables: Sequence[str], tests: Sequence[Test], rounds: int = 20, rate: float = 0.1, max_depth: int = 3, bins: int = 32, together: int = 128
+) -> dict[int, tuple[float, float, int]]:
+    """The same sums with boosted trees for every regression on the imputed table.
+
+    The regressions grow side by side, `together` of them in the same scans; one more scan scores all of
+    them from their node arrays and sums the residual products of all tests.
+    """
+    place = {v: i for i, v in enumerate(variables)}
+    regressions = sorted({(v, given) for x, y, given in tests for v in (x, y)})
+    number = {t: i for i, t in enumerate(regressions)}
+    rows = growth.prepare(df, variables, variables, F.array(F.lit(0)), 1, bins)
+    wanted = [(0, -1, tuple(place[g] for g in given), place[target]) for target, given in regressions if given]
+    models: list[growth.Model] = []
+    for at in range(0, len(wanted), together):
+        models += growth.boost(rows, wanted[at : at + together], Growth(max_depth=max_depth), rounds, rate)
+    fitted = iter(models)
+    n = rows.sums[0, 0, 0]
+    # Without a given set the regression is the mean.
+    made = [next(fitted) if given else float(rows.sums[0, 0, 1 + place[target]] / n) for target, given in regressions]
+    left = np.array([number[(x, given)] for x, _, given in tests])
+    right = np.array([number[(y, given)] for _, y, given in tests])
+    targets = [place[t] for t, _ in regressions]
+    shared, layout = rows.spark.sparkContext.broadcast(made), replace(rows, table=None)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = shared.value
+        total, squares, count = np.zeros(len(left)), np.zeros(len(left)), 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_PER_TILE):
+                part = batch.slice(start, ROWS_PER_TILE)
+                placed, y = layout.placed(0, growth.list_matrix(part.column(0)).T), growth.list_matrix(part.column(1))
+                residual = np.stack([y[:, t] - (m if isinstance(m, float) else m.predict(placed)) for t, m in zip(targets, made, strict=True)], axis=1)
+                for at in range(0, len(left), TESTS_PER_TILE):
+                    tile = slice(at, at + TESTS_PER_TILE)
+                    product = residual[:, left[tile]] * residual[:, right[tile]]
+                    total[tile] += product.sum(axis=0)
+                    squares[tile] += (product * product).sum(axis=0)
+                count += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(left))), pa.array(total), pa.array(squares), pa.array([count] * len(left))], ["test", "total", "squares", "n"])
+
+    per_task = rows.table.select("codes", "y").mapInArrow(sums, "test long, total double, squares double, n long")
+    merged = per_task.groupBy("test").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
+    return {r["test"]: (r["total"], r["squares"], r["n"]) for r in merged.collect()}
 
 
 def independence_tests(df: DataFrame, tests: Sequence[Test], learner: str = "linear", **params) -> list[tuple]:
@@ -111,7 +134,7 @@ def independence_tests(df: DataFrame, tests: Sequence[Test], learner: str = "lin
     if learner == "linear":
         sums = _linear_sums(rows, variables, tests)
     elif learner == "gbt":
-        sums = _boosted_sums(impute_whole_table(rows, variables), tests, params)
+        sums = _boosted_sums(impute_whole_table(rows, variables), variables, tests, **params)
     else:
         raise ValueError(f"unknown learner {learner!r}")
     out = []
@@ -128,9 +151,12 @@ def test_table(df: DataFrame, tests: Sequence[Test], learner: str = "linear", **
     return df.sparkSession.createDataFrame(independence_tests(df, tests, learner, **params), TEST_SCHEMA)
 
 
-def graph_conditions(spark: SparkSession, graphs: Mapping[str, Sequence[tuple[str, str]]]) -> dict[str, list[Test]]:
+def graph_conditions(
+    spark: SparkSession, graphs: Mapping[str, Sequence[tuple[str, str]]], isolated: Mapping[str, Sequence[str]] | None = None
+) -> dict[str, list[Test]]:
     """Distinct conditions of each graph, with x before y (a few dozen per graph at most)."""
-    rows = implied_independencies(edge_table(spark, graphs)).collect()
+    alone = isolated_nodes(spark, isolated) if isolated else None
+    rows = implied_independencies(edge_table(spark, graphs), alone).collect()
     out: dict[str, set[Test]] = {g: set() for g in graphs}
     for r in rows:
         x, y = sorted((r["x"], r["y"]))
@@ -139,17 +165,18 @@ def graph_conditions(spark: SparkSession, graphs: Mapping[str, Sequence[tuple[st
 
 
 def permuted_conditions(
-    spark: SparkSession, graphs: Mapping[str, Sequence[tuple[str, str]]], permutations: int, tag: str
+    spark: SparkSession, graphs: Mapping[str, Sequence[tuple[str, str]]], permutations: int, tag: str, isolated: Mapping[str, Sequence[str]] | None = None
 ) -> DataFrame:
     """(graph, perm, x, y, given) of every graph (perm -1) and its node permutations.
 
     Renaming a graph's nodes renames its conditions, so the closure is worked out
     once per graph and the permutations are rows with a renaming map.
     """
-    conditions = graph_conditions(spark, graphs)
+    isolated = {g: own for g, own in (isolated or {}).items() if g in graphs}
+    conditions = graph_conditions(spark, graphs, isolated)
     renamings = []
     for g, edges in graphs.items():
-        nodes = sorted({n for e in edges for n in e})
+        nodes = sorted({n for e in edges for n in e} | set(isolated.get(g, ())))
         renamings.append((g, -1, dict(zip(nodes, nodes, strict=True))))
         for i, order in enumerate(permutation_rows(nodes, permutations, tag)):
             renamings.append((g, i, dict(zip(nodes, order, strict=True))))
@@ -175,18 +202,19 @@ def falsify_graphs(
     learner: str = "linear",
     tag: str = "perm",
     tester: Callable[[DataFrame, Sequence[Test]], list[tuple]] | None = None,
+    isolated: Mapping[str, Sequence[str]] | None = None,
     **params,
 ) -> DataFrame:
     """Violated independencies of graphs against node-permuted graphs, one row per graph.
 
     ``p_violations`` is the share of permuted graphs with no more violations (small =
     the graph explains the data better than chance), ``p_equivalent`` the share with
-    the very same conditions. Only the distinct conditions of all graphs, a bounded
+    the very same conditions. `isolated` names nodes without edges, by graph. Only the distinct conditions of all graphs, a bounded
     set, are tested on the data; verdicts are joined back to the permutations.
     """
     spark = df.sparkSession
     validate(graphs, df.columns)
-    conditions = permuted_conditions(spark, graphs, permutations, tag)
+    conditions = permuted_conditions(spark, graphs, permutations, tag, isolated)
     distinct = sorted((r["x"], r["y"], tuple(r["given"])) for r in conditions.select("x", "y", "given").distinct().collect())
     run = tester or (lambda d, t: independence_tests(d, t, learner, **params))
     verdicts = spark.createDataFrame(run(df, distinct), TEST_SCHEMA).select(

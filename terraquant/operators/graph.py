@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import materialise, scratch
+
 
 def edge_table(spark: SparkSession, graphs: Mapping[str, Sequence[tuple[str, str]]]) -> DataFrame:
     return spark.createDataFrame(
@@ -36,8 +37,14 @@ def validate(graphs: Mapping[str, Sequence[tuple[str, str]]], columns: Sequence[
             waiting -= free
 
 
-def node_table(edges: DataFrame) -> DataFrame:
-    return edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct()
+def node_table(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
+    """(graph, node) of every node; `isolated` names those without an edge."""
+    ends = edges.select("graph", F.explode(F.array("src", "dst")).alias("node"))
+    return (ends if isolated is None else ends.unionByName(isolated.select("graph", "node"))).distinct()
+
+
+def isolated_nodes(spark: SparkSession, isolated: Mapping[str, Sequence[str]]) -> DataFrame:
+    return spark.createDataFrame([(g, n) for g, own in isolated.items() for n in own], "graph string, node string")
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -57,10 +64,10 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return reach
 
 
-def parent_sets(edges: DataFrame) -> DataFrame:
+def parent_sets(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """(graph, node, parents) for every node; an empty list for roots."""
     listed = edges.groupBy("graph", F.col("dst").alias("node")).agg(F.array_sort(F.collect_set("src")).alias("parents"))
-    return node_table(edges).join(listed, ["graph", "node"], "left").withColumn(
+    return node_table(edges, isolated).join(listed, ["graph", "node"], "left").withColumn(
         "parents", F.coalesce("parents", F.array().cast("array<string>"))
     )
 
@@ -72,13 +79,13 @@ def adjustment_sets(edges: DataFrame, treatments: DataFrame) -> DataFrame:
     )
 
 
-def implied_independencies(edges: DataFrame) -> DataFrame:
+def implied_independencies(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """(graph, x, y, given): each node is independent of its other non-descendants given its parents."""
-    nodes = node_table(edges)
+    nodes = node_table(edges, isolated)
     pairs = nodes.withColumnRenamed("node", "x").join(nodes.withColumnRenamed("node", "y"), "graph").where("x <> y")
     descendants = ancestors(edges).select("graph", F.col("ancestor").alias("x"), F.col("node").alias("y"))
     direct = edges.select("graph", F.col("dst").alias("x"), F.col("src").alias("y"))
-    parents = parent_sets(edges).select("graph", F.col("node").alias("x"), F.col("parents").alias("given"))
+    parents = parent_sets(edges, isolated).select("graph", F.col("node").alias("x"), F.col("parents").alias("given"))
     return (
         pairs.join(descendants, ["graph", "x", "y"], "left_anti")
         .join(direct, ["graph", "x", "y"], "left_anti")
@@ -87,6 +94,65 @@ def implied_independencies(edges: DataFrame) -> DataFrame:
     )
 
 
+def d_separated(edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """`queries` (graph, x, y, given) with `separated`: whether no path from x to y is open given the set.
+
+    All queries walk together over states (node, came from a child or a parent): a node outside the set
+    passes a walk on to its children, and to its parents if the walk came from a child; a node with the
+    set among itself and its descendants passes a walk from a parent back to its parents. A round joins
+    the states found last with the edges; there are at most two states a node and query.
+    """
+    spark = edges.sparkSession
+    keys = ["graph", "x", "y", "given"]
+    with scratch(spark):
+        asked = materialise(queries.select(*keys).distinct(), "separation-queries")
+        own = asked.select(*keys, F.explode("given").alias("node"))
+        above = own.join(ancestors(edges), ["graph", "node"]).select(*keys, F.col("ancestor").alias("node"))
+        # Per query the nodes of the set and their ancestors: where a collider is open.
+        opened = materialise(own.unionByName(above).distinct().withColumn("opened", F.lit(True)), "separation-opened")
+        state = [*keys, "node", "up"]
+        found = last = materialise(asked.select(*keys, F.col("x").alias("node"), F.lit(True).alias("up")), "separation-states")
+        while not last.isEmpty():
+            walk = last.join(opened, [*keys, "node"], "left").withColumn("inside", F.array_contains("given", F.col("node")))
+            on = walk.where("not inside")
+            back = walk.where("(up and not inside) or (not up and opened)")
+            down = on.join(edges, (on["graph"] == edges["graph"]) & (on["node"] == edges["src"])).select(*[on[k] for k in keys], edges["dst"].alias("node"), F.lit(False).alias("up"))
+            up = back.join(edges, (back["graph"] == edges["graph"]) & (back["node"] == edges["dst"])).select(*[back[k] for k in keys], edges["src"].alias("node"), F.lit(True).alias("up"))
+            last = materialise(down.unionByName(up).distinct().join(found, state, "left_anti"), "separation-states")
+            found = found.unionByName(last)
+        reached = found.where("node = y").select(*keys).distinct().withColumn("reached", F.lit(True))
+        return materialise(asked.join(reached, keys, "left").select(*keys, F.col("reached").isNull().alias("separated")), "separated", keep=True)
+
+
+def minimal_adjustment_sets(edges: DataFrame, treatments: DataFrame, outcome: str, isolated: DataFrame | None = None) -> DataFrame:
+    """(graph, treatment, adjustment): a smallest backdoor set, the first in order of its names among those.
+
+    Candidates are all sets of non-descendants of the treatment, so graphs should be small: a set closes
+    the backdoor if it separates treatment and outcome where the treatment's own edges are cut. Every
+    treatment has its own cut graph, and all sets of all graphs are decided in one walk.
+    """
+    spark = edges.sparkSession
+    with scratch(spark):
+        pairs = treatments.select("graph", "treatment").distinct()
+        cut_name = F.concat_ws("|", "graph", "treatment")
+        cut = pairs.join(edges, "graph").where("src <> treatment").select(cut_name.alias("graph"), "src", "dst")
+        below = ancestors(edges).select("graph", F.col("ancestor").alias("treatment"), "node")
+        free = pairs.join(node_table(edges, isolated), "graph").where((F.col("node") != F.col("treatment")) & (F.col("node") != outcome))
+        free = free.join(below, ["graph", "treatment", "node"], "left_anti")
+        listed = pairs.join(free.groupBy("graph", "treatment").agg(F.array_sort(F.collect_list("node")).alias("free")), ["graph", "treatment"], "left")
+        listed = listed.withColumn("free", F.coalesce("free", F.array().cast("array<string>")))
+        number = F.expr("explode(sequence(0L, shiftleft(1L, size(free)) - 1))")
+        sets = listed.select("graph", "treatment", "free", number.alias("number")).select(
+            "graph", "treatment", F.expr("filter(free, (n, i) -> (shiftright(number, i) & 1) = 1)").alias("given")
+        )
+        sets = materialise(sets, "adjustment-sets")
+        asked = sets.select(cut_name.alias("graph"), F.col("treatment").alias("x"), F.lit(outcome).alias("y"), "given")
+        closed = d_separated(cut, asked).where("separated").withColumnsRenamed({"graph": "cut", "x": "treatment"})
+        told = sets.withColumn("cut", cut_name).join(closed.select("cut", "treatment", "given"), ["cut", "treatment", "given"])
+        best = told.groupBy("graph", "treatment").agg(F.min(F.struct(F.size("given").alias("n"), "given")).alias("b"))
+        return materialise(best.select("graph", "treatment", F.col("b.given").alias("adjustment")), "adjustments", keep=True)
+
+
 def pair_coverage(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, complete) for ordered column pairs: rows where both are present, in one pass."""
     cells = [

@@ -43,6 +43,7 @@ class Spec:
     number: int = 0
     growth: Growth = field(default_factory=Growth)
     features: tuple[int, ...] | None = None
+    target: int = 0
 
 
 @dataclass
@@ -159,10 +160,10 @@ class Rows:
         values = self.slot_values(rep, f)
         return float((values[slot] + values[min(slot + 1, len(values) - 1)]) / 2)
 
-    def train_sums(self, rep: int, held: int) -> tuple[float, float]:
-        """Rows and label total of a replicate's training rows without the fold left out."""
+    def train_sums(self, rep: int, held: int, target: int = 0) -> tuple[float, float]:
+        """Rows and total of a label over a replicate's training rows without the fold left out."""
         parts = [p for p in range(self.folds) if p != held]
-        return float(self.sums[rep, parts, 0].sum()), float(self.sums[rep, parts, 1].sum())
+        return float(self.sums[rep, parts, 0].sum()), float(self.sums[rep, parts, 1 + target].sum())
 
 
 def feature_bins(df: DataFrame, features: Sequence[str], bins: int) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
@@ -194,20 +195,20 @@ def bin_code(value: Column, cuts: np.ndarray) -> Column:
 
 
 def prepare(
-    df: DataFrame, features: Sequence[str], label: str, parts: Column, folds: int, bins: int = 128, draws: Column | None = None
+    df: DataFrame, features: Sequence[str], label: str | Sequence[str], parts: Column, folds: int, bins: int = 128, draws: Column | None = None
 ) -> Rows:
     """Bin the rows once and write them; one scan then gives every replicate's means and label sums.
 
-    `parts` is an array with the part of the row in each replicate (-1 test, else its fold); `draws`
+    Trees name the label they are grown on by its place in `label`. `parts` is an array with the part of the row in each replicate (-1 test, else its fold); `draws`
     an array with a 32-bit draw for each tree number, for growth with bootstrap. Rows without a label
     must be gone; an empty table is an error.
     """
-    features = tuple(features)
+    features, labels = tuple(features), [label] if isinstance(label, str) else list(label)
     x = [f"x{i}" for i in range(len(features))]
     given = materialise(
         df.select(
             parts.cast("array<int>").alias("parts"),
-            F.col(label).cast("double").alias("y"),
+            F.array(*[F.col(c).cast("double") for c in labels]).alias("y"),
             (draws if draws is not None else F.array().cast("array<long>")).alias("draws"),
             *[F.col(f).cast("double").alias(n) for f, n in zip(features, x, strict=True)],
         ),
@@ -223,10 +224,10 @@ def prepare(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part, y = list_matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False)
+            part, y = list_matrix(batch.column(0)), list_matrix(batch.column(1))
             x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]], axis=1)
             known = ~np.isnan(x)
-            base = np.hstack([np.ones((len(y), 1)), y[:, None], np.where(known, x, 0.0), known])
+            base = np.hstack([np.ones((len(y), 1)), y, np.where(known, x, 0.0), known])
             if total is None:
                 total = np.zeros((part.shape[1], width, base.shape[1]))
             for p in range(-1, folds):
@@ -237,11 +238,12 @@ def prepare(
     found = given.select("parts", "y", *x).mapInArrow(run, "reps long, sums binary").collect()
     if not found:
         raise ValueError("no rows to grow trees on")
-    shape = (found[0]["reps"], width, 2 + 2 * n_features)
+    first = 1 + len(labels)
+    shape = (found[0]["reps"], width, first + 2 * n_features)
     sums = sum(np.frombuffer(r["sums"]).reshape(shape) for r in found)
     train = sums[:, :folds].sum(axis=1)
-    counts = train[:, 2 + n_features :]
-    means = train[:, 2 : 2 + n_features] / np.where(counts > 0, counts, 1)
+    counts = train[:, first + n_features :]
+    means = train[:, first : first + n_features] / np.where(counts > 0, counts, 1)
     return Rows(table, features, cuts, values, means, folds, sums, table.rdd.getNumPartitions())
 
 
@@ -297,7 +299,7 @@ def _scan(rows: Rows, trees: list[Tree], frontier: list[list[int]], margins: Mar
             if not batch.num_rows:
                 continue
             part, codes = list_matrix(batch.column(0)), list_matrix(batch.column(1)).T
-            y, draws = batch.column(2).to_numpy(zero_copy_only=False), list_matrix(batch.column(3))
+            y, draws = list_matrix(batch.column(2)), list_matrix(batch.column(3))
             written = list_matrix(batch.column(4)) if margins and margins.written else None
             placed = {r: layout.placed(r, codes) for r in {spec.rep for _, spec, _, _, _ in work}}
             for i, spec, arrays, place, nodes in work:
@@ -307,7 +309,9 @@ def _scan(rows: Rows, trees: list[Tree], frontier: list[list[int]], margins: Mar
                 node = place[walk(arrays, own)]
                 here = node >= 0
                 live, own, node = live[here], own[:, here], node[here]
-                label = y if margins is None else y - margins.of(i, placed, written, len(y))
+                label = y[:, spec.target]
+                if margins is not None:
+                    label = label - margins.of(i, placed, written, len(y))
                 w, wy = weight[live], weight[live] * label[live]
                 for f in range(n_features):
                     at = node * slots + own[f]
@@ -433,23 +437,33 @@ class Model:
     depth: int | None = None
     start: float | None = None
     rate: float = 1.0
+    target: int = 0
 
     def predict(self, codes: np.ndarray) -> np.ndarray:
         values = sum(t.value()[walk(t.arrays(), codes, self.depth)] for t in self.trees)
         return values / len(self.trees) if self.start is None else self.start + self.rate * values
 
 
-def boost(rows: Rows, models: Sequence[tuple[int, int, tuple[int, ...] | None]], growth: Growth, rounds: int, rate: float, features_per_tree: int | None = None) -> list[Model]:
-    """Boosted squared error for all (replicate, fold left out, features) at once: a round is one growth of a tree each.
+def boost(
+    rows: Rows,
+    models: Sequence[tuple[int, int, tuple[int, ...] | None, int]],
+    growth: Growth,
+    rounds: int,
+    rate: float,
+    features_per_tree: int | None = None,
+) -> list[Model]:
+    """Boosted squared error for all (replicate, fold left out, features, label) at once: a round is one growth of a tree each.
 
     The residuals of a round are made in the scan from the trees so far; every `REFRESH` rounds the
-    margins are written beside the rows.
+    margins are written beside the rows. No features mean all, and the label may be left out.
     """
-    starts = np.array([total / max(n, 1) for n, total in (rows.train_sums(rep, held) for rep, held, _ in models)])
+    models = [(m[0], m[1], m[2], m[3] if len(m) > 3 else 0) for m in models]
+    starts = np.array([total / max(n, 1) for n, total in (rows.train_sums(rep, held, target) for rep, held, _, target in models)])
     margins, table = Margins(starts, rate), rows.table
+    grown = replace(growth, features_per_tree=features_per_tree)
     every: list[list[Tree]] = [[] for _ in models]
     for k in range(rounds):
-        specs = [Spec(rep, held, k, replace(growth, features_per_tree=features_per_tree), own) for rep, held, own in models]
+        specs = [Spec(rep, held, k, grown, own, target) for rep, held, own, target in models]
         trees = _grow_wave(replace(rows, table=table), specs, margins)
         margins.trees.append(trees)
         for own, tree in zip(every, trees, strict=True):
@@ -457,7 +471,7 @@ def boost(rows: Rows, models: Sequence[tuple[int, int, tuple[int, ...] | None]],
         if (k + 1) % REFRESH == 0 and k + 1 < rounds:
             table = materialise(_with_margins(replace(rows, table=table), margins), "growth-margins")
             margins = Margins(starts, rate, written=True)
-    return [Model(rep, held, 0, own, start=float(s), rate=rate) for (rep, held, _), own, s in zip(models, every, starts, strict=True)]
+    return [Model(rep, held, 0, own, start=float(s), rate=rate, target=target) for (rep, held, _, target), own, s in zip(models, every, starts, strict=True)]
 
 
 def _with_margins(rows: Rows, margins: Margins) -> DataFrame:
@@ -478,7 +492,7 @@ def _with_margins(rows: Rows, margins: Margins) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], ["parts", "codes", "y", "draws", "margins"])
 
-    return table.select("parts", "codes", "y", "draws", "margins").mapInArrow(run, "parts array<int>, codes array<int>, y double, draws array<long>, margins array<double>")
+    return table.select("parts", "codes", "y", "draws", "margins").mapInArrow(run, "parts array<int>, codes array<int>, y array<double>, draws array<long>, margins array<double>")
 
 
 def evaluate(rows: Rows, models: Sequence[Model]) -> DataFrame:
@@ -495,13 +509,14 @@ def evaluate(rows: Rows, models: Sequence[Model]) -> DataFrame:
             if not batch.num_rows:
                 continue
             part, codes = list_matrix(batch.column(0)), list_matrix(batch.column(1)).T
-            y = batch.column(2).to_numpy(zero_copy_only=False)
+            labels = list_matrix(batch.column(2))
             placed = {r: layout.placed(r, codes) for r in {m.rep for m in models}}
             for i, m in enumerate(models):
                 own = np.flatnonzero(part[:, m.rep] == m.held)
                 if len(own):
-                    error = y[own] - m.predict(placed[m.rep][:, own])
-                    total[i] += (len(own), y[own].sum(), (y[own] ** 2).sum(), (error**2).sum(), np.abs(error).sum())
+                    y = labels[own, m.target]
+                    error = y - m.predict(placed[m.rep][:, own])
+                    total[i] += (len(own), y.sum(), (y**2).sum(), (error**2).sum(), np.abs(error).sum())
         at = np.flatnonzero(total[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(c) for c in total[at].T]], ["model", "n", "s", "q", "e2", "e1"])
 

@@ -311,13 +311,72 @@ def falsify_graph(spark, sf_dir):
     return _falsified(spark, sf_dir, {"obs": OBS_GRAPH})
 
 
+ISOLATED = {g: [STAND_IN[n] for n in own] for g, own in study.ISOLATED.items()}
+CANDIDATES = {g: GRAPHS[g] for g in study.CANDIDATE_GRAPHS}
+
+
 @query("falsify_study_graphs")
 def falsify_study_graphs(spark, sf_dir):
     """The study's final and candidate graphs on stand-in columns; conditions have up to five given variables."""
     return _falsified(spark, sf_dir, GRAPHS)
 
 
-def _falsified(spark, sf_dir, graphs):
-    nodes = sorted({n for edges in graphs.values() for e in edges for n in e})
-    report = falsify.falsify_graphs(observations(spark, sf_dir, nodes), graphs, study.GRAPH_PERMUTATIONS)
+@query("falsify_boosted")
+def falsify_boosted(spark, sf_dir):
+    """The six candidate graphs against 500 node permutations each, residuals by boosted trees grown in shared scans."""
+    return _falsified(spark, sf_dir, CANDIDATES, learner="gbt", rounds=5, rate=0.3, max_depth=2)
+
+
+def _falsified(spark, sf_dir, graphs, **options):
+    nodes = sorted({n for edges in graphs.values() for e in edges for n in e} | {n for g, own in ISOLATED.items() if g in graphs for n in own})
+    report = falsify.falsify_graphs(observations(spark, sf_dir, nodes), graphs, study.GRAPH_PERMUTATIONS, isolated=ISOLATED, **options)
     return report.withColumns({c: rounded(c) for c in ("p_violations", "p_equivalent", "mean_permuted_violations")})
+
+
+# Every pair of a graph's nodes under the empty set and every set of one other node.
+SEPARATION_SQL = """nodes AS (SELECT graph, unnest([src, dst]) AS node FROM edges UNION SELECT graph, node FROM alone),
+    asked AS (SELECT a.graph, a.node AS x, b.node AS y, '' AS given FROM nodes a JOIN nodes b ON a.graph = b.graph AND a.node < b.node
+        UNION ALL SELECT a.graph, a.node, b.node, c.node FROM nodes a JOIN nodes b ON a.graph = b.graph AND a.node < b.node
+        JOIN nodes c ON c.graph = a.graph AND c.node NOT IN (a.node, b.node)),
+    opened AS (SELECT DISTINCT graph, given, given AS node FROM asked WHERE given <> ''
+        UNION SELECT asked.graph, given, ancestor FROM asked JOIN reach ON reach.graph = asked.graph AND reach.node = given),
+    walk AS (SELECT graph, x, y, given, x AS node, true AS up FROM asked
+        UNION SELECT w.graph, w.x, w.y, w.given, s.node, s.up FROM walk w JOIN steps s ON s.graph = w.graph AND s.given = w.given AND s.src = w.node AND s.was_up = w.up)"""
+STEPS_SQL = """steps AS (SELECT e.graph, g.given, e.src, u.was_up, e.dst AS node, false AS up FROM edges e JOIN (SELECT DISTINCT graph, given FROM asked) g USING (graph)
+        CROSS JOIN (VALUES (true), (false)) u(was_up) WHERE e.src <> g.given
+        UNION ALL SELECT e.graph, g.given, e.dst, true, e.src, true FROM edges e JOIN (SELECT DISTINCT graph, given FROM asked) g USING (graph) WHERE e.dst <> g.given
+        UNION ALL SELECT e.graph, o.given, e.dst, false, e.src, true FROM edges e JOIN opened o ON o.graph = e.graph AND o.node = e.dst)"""
+ALONE = "alone AS (SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{n}')" for g, own in ISOLATED.items() for n in own) + ") t(graph, node))"
+_NODES_CTE, _ASKED_ON = SEPARATION_SQL.split("\n    walk AS", 1)
+
+
+@query(
+    "d_separation",
+    with_(
+        OBS, EDGES, REACH, COVERAGE, ALONE, _NODES_CTE.rstrip().rstrip(","), STEPS_SQL, "walk AS" + _ASKED_ON,
+        select="""SELECT asked.graph, x, y, given, complete, NOT EXISTS (SELECT 1 FROM walk w WHERE w.graph = asked.graph AND w.x = asked.x AND w.y = asked.y
+            AND w.given = asked.given AND w.node = asked.y) AS separated FROM asked JOIN coverage ON a = x AND b = y""",
+        recursive=True,
+    ),
+)
+def d_separation(spark, sf_dir):
+    """Which pairs of nodes a graph separates, without and with one given node, beside the rows that have both."""
+    edges, coverage = _edges_and_coverage(spark, sf_dir)
+    nodes = graph.node_table(edges, graph.isolated_nodes(spark, ISOLATED))
+    x, y, z = (nodes.select("graph", F.col("node").alias(c)) for c in "xyz")
+    pairs = x.join(y, "graph").where("x < y")
+    single = pairs.join(z, "graph").where("z <> x and z <> y").select("graph", "x", "y", F.array("z").alias("given"))
+    told = graph.d_separated(edges, pairs.select("graph", "x", "y", F.array().cast("array<string>").alias("given")).unionByName(single))
+    both = (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))
+    return told.join(coverage, both).select("graph", "x", "y", F.concat_ws(",", "given").alias("given"), "complete", "separated")
+
+
+@query("minimal_adjustment_set")
+def minimal_adjustment_set(spark, sf_dir):
+    """A smallest backdoor set of every node that is not the target, with the rows that have both."""
+    edges, coverage = _edges_and_coverage(spark, sf_dir)
+    alone = graph.isolated_nodes(spark, ISOLATED)
+    treatments = graph.node_table(edges, alone).where(F.col("node") != LABEL).withColumnRenamed("node", "treatment")
+    sets = graph.minimal_adjustment_sets(edges, treatments, LABEL, alone)
+    both = coverage.where(F.col("b") == LABEL).select(F.col("a").alias("treatment"), "complete")
+    return sets.join(both, "treatment").select("graph", "treatment", F.concat_ws(",", "adjustment").alias("adjustment"), "complete")

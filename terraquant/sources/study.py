@@ -107,6 +107,9 @@ GRAPHS = {
         ("TN_in", "TN_re"), ("TN_re", "N2O"), ("Depth", "TN_re"),
     ],
 }
+# Nodes of a graph that no edge touches.
+ISOLATED = {"CH4_top3": ["Water_Temperature"]}
+CANDIDATE_GRAPHS = ["CH4_top3", "CH4_top4", "CH4_top5", "N2O_top3", "N2O_top4", "N2O_top5"]
 TREATMENTS = {"CH4_final": ["TN_in", "COD_in", "HRT", "Depth"], "N2O_final": ["Depth", "CN_in", "TN_in", "NH4_in"]}
 
 # Features highlighted in the driver charts.

@@ -71,7 +71,7 @@ def test_closure_and_conditions(spark):
     assert conditions == {("a", "d", ()), ("b", "d", ("a",)), ("c", "a", ("b", "d")), ("d", "a", ()), ("d", "b", ())}
 
 
-@pytest.mark.parametrize("learner,params", [("linear", {}), ("gbt", {"maxIter": 5, "maxDepth": 3})])
+@pytest.mark.parametrize("learner,params", [("linear", {}), ("gbt", {"rounds": 20, "rate": 0.3, "max_depth": 3})])
 def test_independence(data, learner, params):
     tests = [("c", "w", ()), ("t", "y", ("c",)), ("t", "w", ("c",))]
     p = {t[:2]: t[4] for t in falsify.independence_tests(data[0], tests, learner, **params)}

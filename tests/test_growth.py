@@ -32,7 +32,7 @@ def rows(table):
 def _collected(rows):
     got = rows.table.collect()
     return (
-        np.array([r["parts"] for r in got]), np.array([r["codes"] for r in got]).T, np.array([r["y"] for r in got]), np.array([r["draws"] for r in got])
+        np.array([r["parts"] for r in got]), np.array([r["codes"] for r in got]).T, np.array([r["y"][0] for r in got]), np.array([r["draws"] for r in got])
     )
 
 
