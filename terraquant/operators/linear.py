@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from ..functions.hashing import below, bits_of, seed_draws, with_seed_draws
+from ..functions.hashing import below, bits_of, seed_draws
 from ..functions.linalg import Moments
 from ..session import materialise
 from .moments import collect_conditioned, column_means, replicated_moments
@@ -215,18 +215,37 @@ def best_cells(cells: DataFrame) -> DataFrame:
 def with_test_mae(
     best: DataFrame, df: DataFrame, features: Sequence[str], label: str, key: str, seeds: int, test_fraction: float = 0.3
 ) -> DataFrame:
-    """Add the held-out mean absolute error: one more scan, joined with the models by seed.
+    """Add the held-out mean absolute error: one more scan for all seeds and learners.
 
-    The chosen models are written first, because they are both the scoring side and
-    the result, and must not be fitted twice.
-    The written model side has seeds x learners rows; the optimiser broadcasts it
-    while its file is small.
+    The chosen models, one a seed and learner, are written, since they are also the result, and reach the
+    tasks as matrices; a batch of rows is multiplied with all of them at once, so rows are not copied for seeds.
     """
-    drawn = with_seed_draws(df.select(key, *features, label), seeds, key).where(below(F.col("draw"), test_fraction))
     best = materialise(best, "chosen-runs")
-    models = best.select("seed", "learner", "intercept", "slope", "impute")
-    scored = F.col("intercept")
-    for i, f in enumerate(features):
-        scored = scored + F.col("slope")[i] * F.coalesce(F.col(f), F.col("impute")[i])
-    mae = drawn.join(models, "seed").groupBy("seed", "learner").agg(F.avg(F.abs(F.col(label) - scored)).alias("test_mae"))
+    models = best.select("seed", "learner", "intercept", "slope", "impute").collect()
+    slope = np.array([m["slope"] for m in models], float).reshape(len(models), len(features))
+    fill = np.nan_to_num(np.array([m["impute"] for m in models], float).reshape(slope.shape)) * slope
+    intercept, seed_of = np.array([m["intercept"] for m in models], float), np.array([m["seed"] for m in models], int)
+    drawn = seed_draws(df.select(key, *features, label), seeds, key)
+    tests = F.transform("draws", lambda d: below(d, test_fraction)).alias("tests")
+    rows = drawn.select(tests, *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate([*features, label])])
+
+    def run(batches):
+        import pyarrow as pa
+
+        total, count = np.zeros(len(models)), np.zeros(len(models), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            inside = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), bool).reshape(batch.num_rows, -1)[:, seed_of]
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], axis=1)
+            x, y = values[:, :-1], values[:, -1:]
+            missing = np.isnan(x)
+            error = np.abs(y - (intercept + np.where(missing, 0.0, x) @ slope.T + missing @ fill.T))
+            total += np.where(inside, error, 0.0).sum(axis=0)
+            count += inside.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(models))), pa.array(total), pa.array(count)], ["model", "total", "n"])
+
+    sums = rows.mapInArrow(run, "model long, total double, n long").groupBy("model").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    names = df.sparkSession.createDataFrame([(i, m["seed"], m["learner"]) for i, m in enumerate(models)], "model long, seed int, learner string")
+    mae = sums.join(names, "model").select("seed", "learner", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("test_mae"))
     return best.join(mae, ["seed", "learner"], "left")

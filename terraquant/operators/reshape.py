@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linalg import student_quantile
-from ..functions.order_stats import exact_quantiles, value_order_rank
+from ..functions.order_stats import SKETCH_ACCURACY, exact_quantiles, value_order_rank
 from ..session import materialise
 
 # Degrees of freedom from which the t quantile is a series.
@@ -120,43 +120,49 @@ def interval_summary(
 ) -> DataFrame:
     """Median and 95% interval of several columns per group, exact for groups of any number and size.
 
-    All columns of all groups are ranked together over range partitions. The few ranks that the
-    quantiles need are then met by an equi-join on the rank, so no task holds a group.
+    A first scan sketches every column of every group and so brackets each wanted rank, with the
+    sketch's guaranteed error; a second counts what lies below a bracket and how often each value
+    inside it occurs. Only values inside brackets are shuffled and ordered, and nothing is written.
+    Groups smaller than the sketch are their own bracket.
     """
     names = ("median", "lower", "upper")
     by, columns = list(by), list(columns)
-    long = long_format(df.select(*by, *columns), by, columns, "__column", "__value").where(F.col("__value").isNotNull())
-    long = materialise(long, "interval-values")
-    ranked = value_order_rank(long, [F.asc(c) for c in (*by, "__column", "__value")], "__rank")
-    sizes = ranked.groupBy(*by, "__column").agg(F.min("__rank").alias("first"), F.count(F.lit(1)).alias("n"))
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * F.lit(float(p))).alias("at"))
-            for name, p in zip(names, probs, strict=True)
-        ]
-    )
-    sides = F.array(F.floor("w.at"), F.ceil("w.at"))
-    places = (
-        sizes.select("*", F.explode(wanted).alias("w"))
-        .select(*by, "__column", "w.name", (F.col("w.at") - F.floor("w.at")).alias("share"), "first", F.posexplode(sides).alias("side", "at"))
-        .select(*by, "__column", "name", "share", "side", (F.col("first") + F.col("at")).alias("__rank"))
-    )
-    met = places.join(ranked.select("__rank", "__value"), "__rank")
-    low, high = (F.max(F.when(F.col("side") == i, F.col("__value"))) for i in (0, 1))
-    found = met.groupBy(*by, "__column", "name").agg((low + (high - low) * F.max("share")).alias("q"))
-    wide = found.groupBy(*by).agg(
-        *[
-            F.max(F.when((F.col("__column") == c) & (F.col("name") == n), F.col("q"))).alias(f"{c}_{n}")
-            for c in columns
-            for n in names
-        ]
+    error = 2.0 / SKETCH_ACCURACY
+    shares = [min(1.0, max(0.0, p + side)) for p in probs for side in (-error, error)]
+    rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(by)], *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)])
+    keys, values = [f"__k{i}" for i in range(len(by))], [f"__v{i}" for i in range(len(columns))]
+    told = rows.groupBy(*keys).agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[F.percentile_approx(v, shares, SKETCH_ACCURACY).alias(f"q{i}") for i, v in enumerate(values)],
+        *[fn(v).alias(f"{e}{i}") for i, v in enumerate(values) for fn, e in ((F.min, "a"), (F.max, "b"))],
     )
+    other = told.toDF(*[f"{c}_" for c in told.columns])
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys], F.lit(True))
+    met = rows.join(other, same)
+    # One cell a column and probability: null stands for a value below the bracket.
+    cells = []
+    for i, v in enumerate(values):
+        for j, p in enumerate(probs):
+            # A rank moves by up to one row against its share, which a bracket's margin covers from this size on.
+            small = F.col(f"n{i}_") < SKETCH_ACCURACY
+            low = F.when(small, F.col(f"a{i}_")).otherwise(F.get(f"q{i}_", F.lit(2 * j)))
+            high = F.when(small, F.col(f"b{i}_")).otherwise(F.get(f"q{i}_", F.lit(2 * j + 1)))
+            at = (F.col(f"n{i}_") - 1) * F.lit(float(p))
+            cells.append(F.when(F.col(v) <= high, F.struct(F.lit(i).alias("c"), F.lit(j).alias("p"), F.when(F.col(v) >= low, F.col(v)).alias("value"), at.alias("at"))))
+    counted = met.select(*keys, F.explode(F.array_compact(F.array(*cells))).alias("x")).select(*keys, "x.*")
+    counted = counted.groupBy(*keys, "c", "p", "at", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys, "c", "p").orderBy(F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = counted.withColumn("upto", F.sum("n").over(order)).where("value is not null")
+    # The value at a 0-based rank is the first whose count reaches beyond it.
+    side = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("value")))
+    found = upto.groupBy(*keys, "c", "p").agg(side(F.floor("at")).alias("low"), side(F.ceil("at")).alias("high"), F.max("at").alias("at"))
+    found = found.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at")))
+    pick = lambda i, j: F.max(F.when((F.col("c") == i) & (F.col("p") == j), F.col("q")))
+    wide = found.groupBy(*keys).agg(*[pick(i, j).alias(f"{c}_{n}") for i, c in enumerate(columns) for j, n in enumerate(names)])
     # Groups without any value keep their row.
     groups = df.select(*by).distinct()
-    same = [groups[k].eqNullSafe(wide[k]) for k in by]
-    return groups.join(wide, reduce(operator.and_, same), "left").select(
-        *[groups[k] for k in by], *[wide[f"{c}_{n}"] for c in columns for n in names]
-    )
+    matched = reduce(operator.and_, [groups[k].eqNullSafe(wide[f"__k{i}"]) for i, k in enumerate(by)], F.lit(True))
+    return groups.join(wide, matched, "left").select(*[groups[k] for k in by], *[wide[f"{c}_{n}"] for c in columns for n in names])
 
 
 def probability_of(condition: Column) -> Column:

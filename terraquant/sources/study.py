@@ -19,9 +19,7 @@ N_SIMULATIONS = 10_000
 CLIP_QUANTILES = (0.01, 0.99)
 TEST_FRACTION = 0.3
 COMPARISON_SEEDS = 50
-TUNING_SEEDS = 500
 COMPARISON_FOLDS = 5
-TUNING_FOLDS = 10
 SELECTION_TOP = 20
 GRAPH_PERMUTATIONS = 500
 
@@ -35,47 +33,11 @@ POINT_PREDICTIONS = {
     "Class III": (3.316656351089478, 1.544445423663422),
 }
 
-# Hyper-parameter grids of the comparison stage. Unlimited depth is the
-# deepest tree Spark ML grows (30); cells the learner's library rejects, and parameters
-# without a counterpart, are left out.
+# Hyper-parameter grids of the comparison stage that the leaderboards run.
 GRIDS = {
     "ridge": {"alpha": [0.01, 0.1, 1, 10, 50, 100]},
     "lasso": {"alpha": [0.0001, 0.001, 0.01, 0.1, 1, 10]},
     "knn": {"k": [3, 5, 7, 9, 11], "weights": ["uniform", "distance"], "p": [1, 2]},
-    "decision_tree": {"maxDepth": [30, 5, 10, 20], "minInstancesPerNode": [1, 2, 5]},
-    "random_forest": {
-        "numTrees": [200, 400, 800], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 4],
-        "featureSubsetStrategy": ["sqrt"],
-    },
-    "extra_trees": {
-        "numTrees": [100, 200, 400], "maxDepth": [30, 10, 20], "minInstancesPerNode": [1, 2, 5],
-        "featureSubsetStrategy": ["sqrt", "0.8"],
-    },
-    "gradient_boosting": {
-        "maxIter": [100, 200, 400], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5, 7],
-        "minInstancesPerNode": [1, 2, 5],
-    },
-    "xgboost": {
-        "maxIter": [300, 600, 900], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5, 7],
-        "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"],
-    },
-    "lightgbm": {
-        "maxIter": [200, 400, 800], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [30, 5, 10],
-        "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"],
-    },
-    "catboost": {"maxIter": [500, 1000], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [4, 6, 8]},
-}
-
-# Hyper-parameter grids of the tuning stage.
-TUNING_GRIDS = {
-    "xgboost": {
-        "maxIter": [300, 600, 900], "stepSize": [0.01, 0.05, 0.1], "maxDepth": [3, 5, 7],
-        "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["0.8", "1.0"],
-    },
-    "extra_trees": {
-        "numTrees": [300, 600, 900], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2],
-        "featureSubsetStrategy": ["sqrt", "1.0"],
-    },
 }
 
 # Directed graphs and their treatments.
