@@ -32,6 +32,8 @@ SIMILAR = (85, 100)
 # Counters of the frequency table; 16 bits a task and counter, one byte each once merged.
 COUNTERS = 1 << 20
 CHUNK = 1 << 16
+# Words a worker remembers the hashes of; a memory bound, results do not depend on it.
+REMEMBERED = 200_000
 # Parts that fixed pivots (the leading bits of a token's hash) cut a set into.
 PARTS = 32
 NONE = np.zeros(0, np.uint64)
@@ -43,7 +45,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
         self[word] = found = xxhash.xxh64_intdigest(word)
         return found

@@ -26,8 +26,9 @@ from .shared import lower_arrow_batches
 
 CAPACITY = 2048
 END_ID = 1
-# Words and pieces of texts that a worker remembers in each generation; memory bounds.
-WORDS, PIECES, FIRST = 150_000, 250_000, 20_000
+# Words and pieces of texts that a worker remembers in each generation, and characters of text it holds; memory bounds.
+WORDS, PIECES, FIRST = 60_000, 160_000, 10_000
+CHARS = 2_000_000
 # Sequence numbers of one task; the task's number stands above them.
 TASK_SHIFT = 40
 
@@ -240,7 +241,7 @@ def pack(
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
 
-        for table, texts in text_batches(batches, 1):
+        for table, texts in text_batches(batches, 1, CHARS):
             id_type = table.schema.field(0).type
             windows = []
             for doc_id, text in zip(table.column(0).to_pylist(), texts, strict=True):
