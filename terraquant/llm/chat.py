@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import materialise
 
@@ -81,16 +82,34 @@ def reply_paths(links: DataFrame) -> DataFrame:
     return paths
 
 
+def with_node_ids(messages: DataFrame) -> DataFrame:
+    """Messages without a node id get one of their own, which no message can name as its parent."""
+    nameless = messages.where("node is null")
+    if nameless.isEmpty():
+        return messages
+    number = F.row_number().over(Window.partitionBy("tree").orderBy("parent", "role", "text", "score"))
+    kind = messages.schema["node"].dataType
+    if isinstance(kind, StringType):
+        own = F.concat(F.lit("\0"), number.cast("string"))
+    else:
+        least = messages.agg(F.least(F.min("node"), F.min("parent"), F.lit(0))).first()[0]
+        own = (F.lit(least) - number).cast(kind)
+    return messages.where("node is not null").unionByName(nameless.withColumn("node", own))
+
+
 def format_trees(messages: DataFrame, branches: int = 1, loss_role: str = "assistant") -> DataFrame:
     """One row per chosen path: tree, leaf, path_rank, path_score, n_turns, formatted, loss_spans.
 
     `messages` has tree, node, parent, role, text and score, node unique in its tree; other columns
-    are not read. Null text or role: empty; null score: 0. The score of a path is the mean of its
+    are not read. Null text or role: empty; null score: 0; a message with a null node is a node that
+    nothing replies to. Nodes are whole numbers or texts. The score of a path is the mean of its
     messages; ties go to the smaller leaf. `loss_spans` are (start, length) in characters of
     `formatted`, one for each message of `loss_role`. An empty table gives no rows.
     """
     of_path = Window.partitionBy("tree", "leaf")
     best = Window.partitionBy("tree").orderBy(F.desc("path_score"), F.asc("leaf"))
+    wanted = messages.select("tree", "node", "parent", "role", "text", "score")
+    messages = with_node_ids(materialise(wanted, "reply-messages"))
     # One write of the path rows: both the ranking and the formatting read them.
     paths = materialise(reply_paths(messages), "reply-paths")
     told = messages.select(

@@ -144,10 +144,11 @@ def fit(
     )
     share = min(1.0, rows / max(1, known.count()))
     unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(unit < share)
+    sample = known.where(unit < share).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # The sample has about `rows` rows, two short columns each: a bounded broadcast.
-    joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    # An id that is repeated counts once, with its smallest text, so that the bound holds for what is collected.
+    joined = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

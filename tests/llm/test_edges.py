@@ -325,3 +325,50 @@ def test_packing_knows_added_tokens(definition):
         ids = np.frombuffer(own.encode(text), "<u4").tolist()
         assert ids == known.encode(text, add_special_tokens=False).ids
         assert ("<|endoftext|>" in text) == (50256 in ids)
+
+
+def test_messages_without_a_node_keep_their_text(spark):
+    rows = [
+        (1, 1, None, "user", "q", 0.0), (1, None, 1, "assistant", "lost?", 5.0), (1, None, 1, "assistant", "no", 4.0),
+        (2, None, None, "user", "alone", 0.0), (2, None, None, "user", "alone", 0.0),
+    ]
+    expected = {1: [["q", "lost?"], ["q", "no"]], 2: [["alone"], ["alone"]]}
+    numbered = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    named = numbered.withColumns({c: F.col(c).cast("string") for c in ("node", "parent")})
+    for df in (numbered, named):
+        got = {}
+        for r in chat.read_back(chat.format_trees(df, branches=3)).orderBy("tree", "path_rank").collect():
+            got.setdefault(r["tree"], []).append([t["text"] for t in r["turns"]])
+        assert got == expected
+
+
+def test_random_reply_trees_rank_branches_by_score(spark):
+    """All root-to-leaf paths of random trees, ranked by mean score, by plain recursion."""
+    rng = random.Random(8)
+    rows = [
+        (t, n, rng.randrange(n) if n and rng.random() < 0.9 else None, rng.choice(["user", "assistant"]), f"t{t} n{n}", rng.randrange(5) / 2)
+        for t in range(12) for n in range(rng.randrange(1, 15))
+    ]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double").repartition(3)
+    expected = {}
+    for t in range(12):
+        own = {n: (p, text, s) for x, n, p, _, text, s in rows if x == t}
+        paths = []
+        for leaf in set(own) - {p for p, _, _ in own.values()}:
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = own[at][0]
+            paths.append((-sum(own[n][2] for n in path) / len(path), leaf, [own[n][1] for n in reversed(path)]))
+        for rank, (_, _, texts) in enumerate(sorted(paths)[:3], 1):
+            expected[t, rank] = texts
+    got = {(r["tree"], r["path_rank"]): [x["text"] for x in r["turns"]] for r in chat.read_back(chat.format_trees(df, branches=3)).collect()}
+    assert got == expected
+
+
+def test_quality_sample_counts_a_repeated_id_once(spark):
+    rows = [(i % 7, f"text {i} with words") for i in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 7, i % 2) for i in range(0, 70, 7)] + [(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True))
+    assert len(model.labels) <= 9
