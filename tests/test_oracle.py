@@ -13,7 +13,7 @@ from check_oracle import compare, connect
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
 # Slow rows-only queries are exercised piece by piece in the other modules.
-ROWS_ONLY = [n for n in QUERIES if n not in ORACLES and n not in ("compare_all_models", "falsify_study_graphs", "mean_importance")]
+ROWS_ONLY = [n for n in QUERIES if n not in ORACLES and n not in ("compare_all_models", "falsify_study_graphs", "falsify_boosted", "feature_importance")]
 
 
 @pytest.fixture(scope="session")
