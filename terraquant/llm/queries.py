@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_file(name: str) -> tuple[bytes, str]:
+    """A public tokenizer's file and the splitting pattern; only the queries that encode need that package."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read(), public_tokenizers.PATTERN
+
+
 def _query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -27,6 +34,8 @@ def _query(name: str, sql: str | None = None):
 
 @_query("op1_byte_bpe")
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
@@ -153,8 +162,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_digests(docs: DataFrame) -> DataFrame:
     """Documents packed by the production tokenizer, with a checksum in place of the ids."""
-    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
-        pieces = packing.pack(docs, f.read(), public_tokenizers.PATTERN)
+    definition, pattern = tokenizer_file("byte_bpe_50k.json")
+    pieces = packing.pack(docs, definition, pattern)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
