@@ -14,12 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def tokenizer_file(name: str) -> tuple[bytes, str]:
-    """A public tokenizer's file and the splitting pattern; only the queries that encode need that package."""
+def _tokenizer(name: str) -> tuple[str, str]:
+    """Path of a public tokenizer's file, and the splitting pattern; only queries that encode need that package."""
     import public_tokenizers
 
-    with open(public_tokenizers.path(name), "rb") as f:
-        return f.read(), public_tokenizers.PATTERN
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
 def _query(name: str, sql: str | None = None):
@@ -34,10 +33,8 @@ def _query(name: str, sql: str | None = None):
 
 @_query("op1_byte_bpe")
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return bpe.digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    path, pattern = _tokenizer("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest(table(spark, sf_dir, "documents"), bpe.read_ranks(path), pattern)
 
 
 # Words as in the contract; a line of the method is normalised by lower case and single blanks.
@@ -162,8 +159,9 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_digests(docs: DataFrame) -> DataFrame:
     """Documents packed by the production tokenizer, with a checksum in place of the ids."""
-    definition, pattern = tokenizer_file("byte_bpe_50k.json")
-    pieces = packing.pack(docs, definition, pattern)
+    path, pattern = _tokenizer("byte_bpe_50k.json")
+    with open(path, "rb") as f:
+        pieces = packing.pack(docs, f.read(), pattern)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
