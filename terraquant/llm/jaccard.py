@@ -211,7 +211,7 @@ def _admissible(similar: tuple[int, int]) -> Column:
     return (s * F.greatest("n", "m") <= t * F.least("n", "m")) & ((s + t) * left >= s * (F.col("n") + F.col("m")))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar: the suffix filter on narrow rows, then one look at both whole sets."""
     s, t = similar
     pairs = materialise(pairs, "jaccard-candidates")
@@ -233,7 +233,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     left, right = (sets.select(F.col("node").alias(x), F.col("tokens").alias(f"s{x}")) for x in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     kept = pairs.join(left, "a").join(right, "b").where(both * (s + t) >= s * (F.col("na") + F.col("nb")))
-    return materialise(kept.select("a", "b"), "jaccard-links")
+    return materialise(kept.select("a", "b"), "jaccard-links", keep=True)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
+    """As `_verify`; the sets and what led to them are deleted once the links are written."""
+    with scratch(docs.sparkSession):
+        return _verify(pairs, nodes, docs, text_col, ngram, similar)
 
 
 def _nodes(rows: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -258,12 +264,11 @@ def _lists(postings: DataFrame) -> DataFrame:
     stats = told.groupBy("token").agg(F.min("o").alias("least"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     stats = materialise(stats.select("token", "least"), "jaccard-shared")
     members = _among(postings, "token", stats).join(stats, "token")
-    return materialise(members.select("token", "node", "n", "at", (_center_order() == F.col("least")).alias("is_center")), "jaccard-lists")
+    return materialise(members.select("token", "node", "n", "at", (_center_order() == F.col("least")).alias("is_center")), "jaccard-lists", keep=True)
 
 
-def links(docs: DataFrame, nodes: DataFrame, postings: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
-    """Verified links (a, b) that connect every pair of similar sets."""
-    members = _lists(postings)
+def links(docs: DataFrame, nodes: DataFrame, members: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
+    """Verified links (a, b) that connect every pair of similar sets; `members` are the lists of shared tokens."""
     centers = members.where("is_center").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("by")).distinct()
     stars = members.where("not is_center").join(centers, "token").where(_admissible(similar))
     first = _verified(stars.select("a", F.col("node").alias("b")).distinct(), nodes, docs, text_col, ngram, similar)
@@ -286,8 +291,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, ngram: int, similar: tu
         written = materialise(_set_rows(docs, id_col, text_col, ngram), "jaccard-rows")
         rows = written.where("chunk is null").drop("chunk", "counts")
         nodes, collided = _nodes(rows)
-        postings = materialise(_postings(docs, text_col, ngram, similar, _frequency_classes(written), collided), "jaccard-postings")
-        roots = smallest_reachable(links(docs, nodes, postings, text_col, ngram, similar))
+        with scratch(docs.sparkSession):
+            postings = _postings(docs, text_col, ngram, similar, _frequency_classes(written), collided)
+            members = _lists(materialise(postings, "jaccard-postings"))
+        roots = smallest_reachable(links(docs, nodes, members, text_col, ngram, similar))
         component = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component"))
         return materialise(rows.drop("parts").join(component, ["k1", "k2"], "left"), "jaccard-placed", keep=True)
 
