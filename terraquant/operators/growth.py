@@ -60,6 +60,8 @@ class Tree:
     n: list[float] = field(default_factory=lambda: [0.0])
     total: list[float] = field(default_factory=lambda: [0.0])
     gain: list[float] = field(default_factory=lambda: [0.0])
+    # Splits found for leaves that are not taken yet.
+    pending: dict[int, tuple] = field(default_factory=dict)
 
     def split(self, node: int, feature: int, slot: int, threshold: float, gain: float, sides: Sequence[tuple[float, float]]) -> list[int]:
         """Give a node two children, each with its (n, total); returns their numbers."""
@@ -379,8 +381,7 @@ def _grow_wave(rows: Rows, specs: Sequence[Spec], margins: Margins | None = None
 
 def _apply(rows: Rows, tree: Tree, nodes: list[int], found: list) -> list[int]:
     """Take the splits found for a frontier; returns the nodes whose sums are wanted next."""
-    growth, rep = tree.spec.growth, tree.spec.rep
-    tree.pending = getattr(tree, "pending", {})
+    growth = tree.spec.growth
     for node, best in zip(nodes, found, strict=False):
         n, total, split = best
         if node == 0:
@@ -393,7 +394,7 @@ def _apply(rows: Rows, tree: Tree, nodes: list[int], found: list) -> list[int]:
             if node in tree.pending:
                 wanted += _take(rows, tree, node, tree.pending.pop(node))
     else:
-        # Best first: go on while every leaf that may be next is known, at most one scan a level of the result.
+        # Best first: a split is taken once the sums of every leaf are known, so a scan a split, shared by all trees.
         leaves = sum(f < 0 for f in tree.feature)
         while leaves < growth.max_leaves and tree.pending and not wanted:
             node = max(tree.pending, key=lambda m: (tree.pending[m][3], -m))
@@ -401,7 +402,7 @@ def _apply(rows: Rows, tree: Tree, nodes: list[int], found: list) -> list[int]:
             leaves += 1
         if leaves >= growth.max_leaves:
             wanted = []
-    return [n for n in wanted if tree.depth(n) < growth.max_depth] if rep >= 0 else []
+    return [n for n in wanted if tree.depth(n) < growth.max_depth]
 
 
 def _take(rows: Rows, tree: Tree, node: int, split: tuple) -> list[int]:
