@@ -287,6 +287,38 @@ def test_licences(spark, docs):
     assert licences.scan(df.limit(0), model).count() == 0
 
 
+def test_licence_paragraphs(spark, docs):
+    """Every paragraph with a term of the vocabulary is scored, with or without a licence word; hard-wrapped notices are read whole."""
+    import textwrap
+
+    from test_licences_plain import probabilities
+
+    rows = [("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not given, see below."),
+            ("bsd", "A title\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n1. the first"),
+            ("agpl", "it under the terms of the GNU Affero General Public License as\npublished by the Free Software Foundation"),
+            ("plain", "One line without it.\r\n\r\n  \nAnother one\n\nxyzzy")]
+    for w in (50, 60, 72, 80):
+        rows += [(f"{w} {i}", "Title\n\n" + textwrap.fill(n, w) + "\n\nAnd then another paragraph.") for i, (_, n) in enumerate(licences.NOTICES)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    model = licences.fit(docs)
+    told = licences.scan(df, model).collect()
+    found = {(r["doc_id"], r["number"]): r["family"] for r in told if r["confirmed"]}
+    assert found["mpl", 0] == "mpl-2.0" and found["bsd", 2] == "bsd" and found["agpl", 0] == "agpl"
+    assert [(r["number"], r["paragraph"]) for r in told if r["doc_id"] == "plain"] == [(0, "One line without it."), (3, "Another one")]
+    assert all(found[f"{w} {i}", 2] == f for w in (50, 60, 72, 80) for i, (f, _) in enumerate(licences.NOTICES))
+    plain = probabilities(model, [r["paragraph"] for r in told])
+    assert max(abs(r["probability"] - p) for r, p in zip(told, plain, strict=True)) < 1e-9
+
+
+def test_licence_sample_counts_a_paragraph_once(spark):
+    """However often a paragraph occurs, the sample holds it once and stays near its bound."""
+    lines = [f"line number {i} of many" for i in range(3000)]
+    df = spark.createDataFrame([(x,) for x in lines], "paragraph string")
+    rows = licences.training_rows(spark, df.unionByName(df).unionByName(df), 300).where("family = 'unknown' and text like 'line number%many'")
+    held = [r["text"] for r in rows.collect()]
+    assert len(held) == len(set(held)) and 150 < len(held) < 500
+
+
 def test_quality_without_labels_and_with_conflicts(spark, docs):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (4, None), (5, 1)], "doc_id long, quality int")
     got = quality.classify(docs, labels).collect()
