@@ -11,6 +11,10 @@ Only components are wanted, so a list of sets that share a token is not paired a
 list is first compared with one center, the member with the fewest rarer tokens (of near copies the
 least changed one); pairs that this connects need no further comparison.
 What remains are pairs of one list in different components, and these are joined under the filters.
+
+Where near copies are dropped, every set also has a SimHash fingerprint. Pairs within few bits, found
+by the index of operator 5, are verified with the pairs of the centers; the join then adds the links
+that fingerprints do not show.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch
+from . import simhash
 from .components import smallest_reachable
 from .shared import filter_bits, filter_table, in_filter, keep_rows, lower_arrow_batches, split_by_filter
 
@@ -86,17 +91,17 @@ def _key(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist())
 
 
-def _set_rows(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFrame:
-    """Per row: id, t1 and t2 (hashes of its text), n, k1 and k2 (name of its set), parts; then, per task, its token counters.
+def _set_rows(docs: DataFrame, id_col: str, text_col: str, ngram: int, fingerprints: bool) -> DataFrame:
+    """Per row: id, t1 and t2 (hashes of its text), n, k1 and k2 (name of its set), parts, fp; then, per task, its token counters.
 
-    Rows of counters have a chunk number and nothing else but `counts`.
+    `fp` is the SimHash of the set, or null if not asked for. Rows of counters have a chunk number and nothing else but `counts`.
     """
     lower_arrow_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     source = docs.select(F.col(id_col).cast("long").alias("id"), *text_identity(text), text.alias("text"))
     schema = pa.schema(
         [("id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-         ("parts", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())]
+         ("parts", pa.list_(pa.int32())), ("fp", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +115,8 @@ def _set_rows(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFr
             parts = np.concatenate([np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=PARTS) for s in sets])
             size, none = len(sets), pa.nulls(len(sets))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * PARTS, pa.int32()), pa.array(parts, pa.int32()))
-            columns = [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists]
+            fps = pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)) if fingerprints else none.cast(pa.int64())
+            columns = [*batch.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, fps]
             yield pa.RecordBatch.from_arrays([*columns, none.cast(pa.int32()), none.cast(pa.binary())], schema=schema)
         chunks = np.minimum(counts, 0xFFFF).astype("<u2").reshape(-1, CHUNK)
         held = [i for i, c in enumerate(chunks) if c.any()]
@@ -118,7 +124,7 @@ def _set_rows(docs: DataFrame, id_col: str, text_col: str, ngram: int) -> DataFr
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return source.mapInArrow(
-        run, "id long, t1 long, t2 long, n long, k1 long, k2 long, parts array<int>, chunk int, counts binary"
+        run, "id long, t1 long, t2 long, n long, k1 long, k2 long, parts array<int>, fp long, chunk int, counts binary"
     )
 
 
@@ -216,7 +222,7 @@ def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str,
     s, t = similar
     pairs = materialise(pairs, "jaccard-candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    told = _among(nodes, "node", ends)
+    told = _among(nodes.drop("fp"), "node", ends)
     a, b = (told.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parts").alias(f"p{x}")) for x in "ab")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
     # Similar sets differ in at most n + m - 2 s / (s + t) (n + m) tokens.
@@ -243,14 +249,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
 
 
 def _nodes(rows: DataFrame) -> tuple[DataFrame, list[int]]:
-    """One row per different set: node, k1, k2, n, parts, and a text hash of one of its rows; and the k1 that two sets share."""
+    """One row per different set: node, k1, k2, n, parts, fp, and a text hash of one of its rows; and the k1 that two sets share."""
     first = F.min("t1").alias("t1")
-    sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.max("n").alias("n"), F.max("parts").alias("parts"), first)
+    sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.max("n").alias("n"), F.max("parts").alias("parts"), F.max("fp").alias("fp"), first)
     sets = materialise(sets, "jaccard-node-sets")
     # Two unlike sets with equal k1: expected not once in 10^9 sets. Their nodes are named by k2.
     collided = [r["k1"] for r in sets.groupBy("k1").count().where("count > 1").collect()]
     node = F.when(F.col("k1").isin(collided), F.col("k2")).otherwise(F.col("k1")) if collided else F.col("k1")
-    return sets.select(node.alias("node"), "k1", "k2", "n", "parts", "t1"), collided
+    return sets.select(node.alias("node"), "k1", "k2", "n", "parts", "fp", "t1"), collided
 
 
 def _center_order() -> Column:
@@ -267,11 +273,27 @@ def _lists(postings: DataFrame) -> DataFrame:
     return materialise(members.select("token", "node", "n", "at", (_center_order() == F.col("least")).alias("is_center")), "jaccard-lists", keep=True)
 
 
-def links(docs: DataFrame, nodes: DataFrame, members: DataFrame, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
-    """Verified links (a, b) that connect every pair of similar sets; `members` are the lists of shared tokens."""
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets whose fingerprints are equal or linked in the index of operator 5, as stars."""
+    members = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "jaccard-fingerprints")
+    linked = simhash.links(simhash.postings(members))
+    equal = nodes.select("fp", F.col("node").alias("b")).join(members.select("fp", F.col("node").alias("a")), "fp").where("a <> b")
+    return linked.unionByName(equal.select("a", "b"))
+
+
+def links(
+    docs: DataFrame, nodes: DataFrame, members: DataFrame, text_col: str, ngram: int, similar: tuple[int, int], fingerprints: bool = False
+) -> DataFrame:
+    """Verified links (a, b) that connect every pair of similar sets; `members` are the lists of shared tokens.
+
+    With `fingerprints`, the pairs that the index of fingerprints proposes are verified first, with those of the centers.
+    """
     centers = members.where("is_center").select("token", F.col("node").alias("a"), F.col("n").alias("m"), F.col("at").alias("by")).distinct()
     stars = members.where("not is_center").join(centers, "token").where(_admissible(similar))
-    first = _verified(stars.select("a", F.col("node").alias("b")).distinct(), nodes, docs, text_col, ngram, similar)
+    proposed = stars.select("a", F.col("node").alias("b"))
+    if fingerprints:
+        proposed = proposed.unionByName(_fingerprint_pairs(nodes)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = _verified(proposed.distinct(), nodes, docs, text_col, ngram, similar)
     roots = materialise(smallest_reachable(first), "jaccard-roots")
     rest = members.where("not is_center").join(roots, "node", "left").select(
         "token", "node", "n", "at", F.coalesce("root", "node").alias("root")
@@ -285,18 +307,18 @@ def links(docs: DataFrame, nodes: DataFrame, members: DataFrame, text_col: str,
     return first.unionByName(_verified(pairs, nodes, docs, text_col, ngram, similar))
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str, ngram: int, similar: tuple[int, int]) -> DataFrame:
+def _placed(docs: DataFrame, id_col: str, text_col: str, ngram: int, similar: tuple[int, int], fingerprints: bool = False) -> DataFrame:
     """One row per input row: id, t1, t2, n, and its component (a node; null for texts without words)."""
     with scratch(docs.sparkSession):
-        written = materialise(_set_rows(docs, id_col, text_col, ngram), "jaccard-rows")
+        written = materialise(_set_rows(docs, id_col, text_col, ngram, fingerprints), "jaccard-rows")
         rows = written.where("chunk is null").drop("chunk", "counts")
         nodes, collided = _nodes(rows)
         with scratch(docs.sparkSession):
             postings = _postings(docs, text_col, ngram, similar, _frequency_classes(written), collided)
             members = _lists(materialise(postings, "jaccard-postings"))
-        roots = smallest_reachable(links(docs, nodes, members, text_col, ngram, similar))
+        roots = smallest_reachable(links(docs, nodes, members, text_col, ngram, similar, fingerprints))
         component = nodes.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component"))
-        return materialise(rows.drop("parts").join(component, ["k1", "k2"], "left"), "jaccard-placed", keep=True)
+        return materialise(rows.drop("parts", "fp").join(component, ["k1", "k2"], "left"), "jaccard-placed", keep=True)
 
 
 def similar_components(
@@ -323,10 +345,11 @@ def drop_near_copies(
 ) -> DataFrame:
     """One row of each component of similar texts, the one with the smallest id, with its own columns.
 
+    Links come from the SimHash index, each verified on whole sets, and from the join for what lies further apart.
     Texts without a word are one component. A null id counts as the largest, ties are broken by the
     hashes of the text, and a row that repeats id and text is returned once. An empty table gives no rows.
     """
-    placed = _placed(docs, id_col, text_col, ngram, similar)
+    placed = _placed(docs, id_col, text_col, ngram, similar, fingerprints=True)
     order = [F.col("id").isNull(), F.col("id"), F.col("t1"), F.col("t2")]
     first = placed.groupBy("component").agg(F.min(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])).alias("first"))
     first = materialise(first, "jaccard-first")

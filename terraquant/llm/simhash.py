@@ -11,7 +11,7 @@ found linked leave as a star, never as all pairs. Copies of one fingerprint are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -49,6 +49,11 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
     hashes = [digest(joined[a:b], seed) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)]
+    return majority(hashes)
+
+
+def majority(hashes: Sequence[int] | np.ndarray) -> int:
+    """The bits that over half the 64-bit hashes set."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), BLOCK):
         part = np.array(hashes[at : at + BLOCK], dtype="<u8")

@@ -125,3 +125,22 @@ def test_repeated_and_null_ids(spark):
     assert got.columns == df.columns
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, x + " end"), (5, y), (100, f"{z} tail0"), (7, None), (6, "a b")], key=str)
     assert jaccard.drop_near_copies(df.limit(0)).count() == 0
+
+
+def test_fingerprints_propose_and_sets_decide(spark, monkeypatch):
+    """Without lists of shared tokens, near copies within two bits are still dropped; wrong proposals change nothing."""
+    from terraquant.llm import simhash
+
+    base = [f"w{i * 7919 % 1009}" for i in range(600)]
+    texts = {1: base, 2: [*base, "tail"], 3: [f"v{i}" for i in range(80)], 4: [f"v{i}" for i in range(60)] + [f"x{i}" for i in range(80)]}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    sets = jaccard.token_sets([" ".join(t) for t in texts.values()], 5, jaccard._Hashes())
+    assert (simhash.majority(sets[0]) ^ simhash.majority(sets[1])).bit_count() <= simhash.DISTANCE
+    lists = jaccard._lists
+    monkeypatch.setattr(jaccard, "_lists", lambda postings: lists(postings).limit(0))
+    assert sorted(r["doc_id"] for r in jaccard.drop_near_copies(df).collect()) == [1, 3, 4]
+    monkeypatch.setattr(
+        jaccard, "_fingerprint_pairs",
+        lambda nodes: nodes.select(F.col("node").alias("a")).crossJoin(nodes.select(F.col("node").alias("b"))).where("a <> b"),
+    )
+    assert sorted(r["doc_id"] for r in jaccard.drop_near_copies(df).collect()) == [1, 3, 4]
