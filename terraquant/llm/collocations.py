@@ -2,8 +2,8 @@
 
 A stripe is a prefix and the words that follow it, with counts: prefixes of no, one and two words give
 the words, pairs and triples of a language as their extensions. A task counts its own stripes as arrays
-of word numbers and packs them into blocks, one for each bucket of prefixes; the blocks of a bucket
-meet in a shuffle and are merged elementwise, one bucket after the other. A prefix that many words
+of word numbers and packs them into blocks by bucket of prefixes, one row for each partition of the
+shuffle; there the blocks of a bucket are merged elementwise, one bucket after the other. A prefix that many words
 follow is dealt over the buckets by its followers.
 
 A phrase that occurs `min_count` times has parts that occur as often, so the stripes of longer prefixes
@@ -39,7 +39,9 @@ HOT_SHARE = 1 / 1000
 FLUSH = 4_000_000
 # What ends a piece, as one mark; the mark is no word, since it separates words.
 _MARKS = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
-BLOCKS = "lang string, bucket int, prefixes binary, sizes binary, followers binary, counts binary"
+BLOCKS = "lang string, part int, prefixes array<binary>, sizes array<binary>, followers array<binary>, counts array<binary>"
+# Rows of blocks in an Arrow batch; a memory bound.
+BATCH = 125
 
 
 def piece_words(text: str) -> list[bytes]:
@@ -63,7 +65,7 @@ class _Filter:
 def _encoded(
     prefixes: list[bytes], lang: str, prefix_of: np.ndarray, follower: np.ndarray, counts: np.ndarray, words: list[bytes], hot: frozenset | None, buckets: int
 ):
-    """Blocks of stripes, one a bucket, from sorted (prefix, follower) numbers.
+    """Blocks of stripes from sorted (prefix, follower) numbers: a row for each part, with a block for each of its buckets.
 
     A stripe lies in the bucket of its prefix; one of a hot prefix (None: all are) is dealt by its followers.
     """
@@ -81,16 +83,19 @@ def _encoded(
     bucket, prefix_of, counts = bucket[order], prefix_of[order], counts[order].astype("<u4")
     names = [words[w] for w in follower[order].tolist()]
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    rows = []
+    rows: dict[int, list[list[bytes]]] = {}
     for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(names)], strict=True):
         own = prefix_of[a:b]
         starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         sizes = np.diff(np.r_[starts, b - a]).astype("<u4")
-        rows.append((int(bucket[a]), b"\n".join([prefixes[p] for p in own[starts].tolist()]), sizes.tobytes(), b" ".join(names[a:b]), counts[a:b].tobytes()))
-    columns = list(zip(*rows, strict=True))
+        part, at = divmod(int(bucket[a]), BUCKETS)
+        row = rows.setdefault(part, [[b""] * BUCKETS for _ in range(4)])
+        block = (b"\n".join([prefixes[p] for p in own[starts].tolist()]), sizes.tobytes(), b" ".join(names[a:b]), counts[a:b].tobytes())
+        for column, value in zip(row, block, strict=True):
+            column[at] = value
+    columns = [pa.array(c, pa.list_(pa.binary())) for c in zip(*rows.values(), strict=True)]
     yield pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(rows)), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
-        ["lang", "bucket", "prefixes", "sizes", "followers", "counts"],
+        [pa.array([lang] * len(rows)), pa.array(list(rows), pa.int32()), *columns], ["lang", "part", "prefixes", "sizes", "followers", "counts"]
     )
 
 
@@ -119,7 +124,7 @@ def _own_stripes(lang: str, tokens: np.ndarray, words: list[bytes], length: int,
 
 def partial_stripes(docs: DataFrame, length: int, bits: np.ndarray | None, hot: frozenset | None, lang_col: str, text_col: str) -> DataFrame:
     """Blocks of stripes as the tasks count them, several for a prefix."""
-    lower_arrow_batches(docs.sparkSession)
+    lower_arrow_batches(docs.sparkSession, BATCH)
     buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shared = docs.sparkSession.sparkContext.broadcast((bits, hot))
 
@@ -168,8 +173,8 @@ def _merged(blocks: list[tuple], min_count: int) -> tuple[list[bytes], list[byte
 def merged_stripes(blocks: DataFrame, min_count: int) -> DataFrame:
     """(lang, prefix, follower, n): followers seen `min_count` times after a prefix; the empty prefix also has totals, without follower.
 
-    A task merges the blocks of one bucket after the other. Buckets grow in number with the shuffle's
-    partitions, and a prefix with many followers lies in many of them.
+    A task holds the rows of a part and merges the blocks of one bucket after the other. Parts grow in number with the shuffle's
+    partitions, and a prefix with many followers lies in many buckets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,19 +184,25 @@ def merged_stripes(blocks: DataFrame, min_count: int) -> DataFrame:
             kinds = (pa.string(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["lang", "prefix", "follower", "n"])
 
+        def merged(key: tuple, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for at in range(BUCKETS):
+                held = [tuple(column[at] for column in row) for row in rows if row[1][at]]
+                if held:
+                    yield told(key, held)
+
         last, held = None, []
         for batch in batches:
             keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for key, *block in zip(keys, *[batch.column(i).to_pylist() for i in range(2, 6)], strict=True):
                 if held and key != last:
-                    yield told(last, held)
+                    yield from merged(last, held)
                     held = []
                 last = key
                 held.append(tuple(block))
         if held:
-            yield told(last, held)
+            yield from merged(last, held)
 
-    keys = ["lang", "bucket"]
+    keys = ["lang", "part"]
     dealt = blocks.repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "lang string, prefix binary, follower binary, n long")
 

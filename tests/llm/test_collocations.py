@@ -73,3 +73,11 @@ def test_scores_past_64_bits(spark, monkeypatch):
     monkeypatch.setattr(collocations, "phrase_counts", lambda *_: (counts, sizes))
     row = collocations.collocations(spark.createDataFrame([("en", "")], "lang string, text string")).collect()[0]
     assert row["score"] == 1_000_000 * (big - 1) ** 2 // (big * (big + 1))
+
+
+def test_a_task_makes_one_row_a_part(spark):
+    """Rows of blocks are bounded by tasks and partitions, whatever the number of buckets in them."""
+    rows = [("en", " ".join(f"w{(i * k) % 997}" for i in range(3000))) for k in range(1, 9)]
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    blocks = collocations.partial_stripes(df, 1, None, frozenset(), "lang", "text")
+    assert blocks.count() <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
