@@ -9,26 +9,38 @@ is shuffled; a task that is run again gives the same windows.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import compiled, pieces, text_batches
+from .pretokens import compiled, text_batches
 from .shared import lower_arrow_batches
 
 CAPACITY = 2048
 END_ID = 1
-# Words and pieces of texts that a worker remembers in each generation, and characters of text it holds; memory bounds.
-WORDS, PIECES, FIRST = 60_000, 160_000, 10_000
-CHARS = 2_000_000
+# Texts that each memory of a worker holds between batches and their characters, and characters it reads at once; memory bounds.
+KEYS, KEY_CHARS = 400_000, 8_000_000
+CHARS = 4_000_000
+TEXT = pa.large_string()
+# Blanks that may not lie between two pieces, as in pretokens.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+UNSAFE = rf"{_SPACE} (?:{_SPACE}|\z)"
+# Pieces whose matches need no search by the pattern: Latin letters or digits; the same with marks behind them, and a second such line.
+_WORD, _MARKS = "(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+)", r"[!-&(-/:-@\[-`{-~]*"
+ONE = rf"\A ?{_WORD}\z"
+SEVERAL = rf"\A(?P<word> ?{_WORD})(?P<marks>{_MARKS})(?:(?P<end>\n)(?P<next>{_WORD})(?P<more>{_MARKS}))?\z"
+# What a pattern must give for that; any other pattern cuts every piece itself.
+PROBES = ((" ab.,\nAb;", (" ab", ".,", "\n", "Ab", ";")), (" 12345$", (" 12345", "$")))
 # Sequence numbers of one task; the task's number stands above them.
 TASK_SHIFT = 40
 
@@ -40,76 +52,141 @@ def byte_characters() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
-class Remembered(dict):
-    """What `make` gives for each key, in two generations: the young one becomes the old one when full.
+class Runs:
+    """Runs of ids, one behind the other: all ids, and the size of each run."""
 
-    Keys that recur move on to the young generation, the others are forgotten; results do not depend on it.
-    """
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray):
+        self.ids, self.sizes = ids, sizes
+
+    def take(self, at: np.ndarray) -> Runs:
+        starts, sizes = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
+        ends = np.cumsum(sizes)
+        return Runs(self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(sizes.sum())], sizes)
+
+    def joined(self, counts: np.ndarray) -> Runs:
+        """Each so many neighbours as one run."""
+        ends, groups = (np.concatenate([[0], np.cumsum(n)]) for n in (self.sizes, counts))
+        return Runs(self.ids, np.diff(ends[groups]))
+
+    def __add__(self, other: Runs) -> Runs:
+        return Runs(np.concatenate([self.ids, other.ids]), np.concatenate([self.sizes, other.sizes]))
+
+
+class Memory:
+    """The ids of texts that a worker keeps between batches; results do not depend on what it keeps."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.chars, self.runs = 0, Runs(np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def take(self, texts: pa.Array, make: Callable[[list[str]], Runs]) -> Runs:
+        """The ids of each of the different texts; what is not held is made and kept."""
+        names = texts.to_numpy(zero_copy_only=False)
+        at = np.fromiter(map(self.place.get, names, repeat(-1)), np.int64, len(names))
+        new = names[at < 0].tolist()
+        if new:
+            at[at < 0] = np.arange(len(self.place), len(self.place) + len(new))
+            self.runs += make(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+            self.chars += sum(map(len, new))
+        runs = self.runs.take(at)
+        if len(self.place) > KEYS or self.chars > KEY_CHARS:
+            # What was needed just now stays, the rest is forgotten.
+            self.place, self.chars, self.runs = dict(zip(names, range(len(names)), strict=True)), sum(map(len, names)), runs
+        return runs
 
 
 class FileEncoder:
     """Ids of a byte-level tokenizer file, as little-endian unsigned 32-bit integers, without special tokens around a text.
 
     Added tokens of the file that a text holds are one id each, as for the library; what lies between
-    them is cut by the pattern.
+    them is cut by the pattern. A batch of texts is taken at once: its pieces, their matches and all ids
+    are Arrow and numpy columns, and the library sees each match that is not remembered one time.
     """
 
     def __init__(self, definition: bytes, pattern: str):
         from tokenizers import Tokenizer
 
-        self.pattern = pattern
         self.by_match, _ = compiled(pattern)
+        self.by_columns = all(tuple(self.by_match.findall(p)) == cut for p, cut in PROBES)
         self.tokenize = Tokenizer.from_str(definition.decode("utf-8")).model.tokenize
-        self.characters = {b: c for b, c in byte_characters().items() if chr(b) != c}
+        self.alphabet = "".join([c for _, c in sorted(byte_characters().items())])
         self.added = {t["content"]: int(t["id"]).to_bytes(4, "little") for t in json.loads(definition).get("added_tokens", ())}
         by_length = sorted(self.added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, by_length)) + ")")
-        self.words = Remembered(self._word, WORDS)
-        self.first = Remembered(lambda p: self._piece("", p), FIRST)
-        self.after_blank = Remembered(lambda p: self._piece(" ", p), PIECES)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one match of the pattern."""
-        rest = word[1:]
-        if rest.isascii() and rest.isprintable() and " " not in rest and (word[0] == " " or "!" <= word[0] <= "~"):
-            # Printable characters stand for themselves.
-            mapped = self.characters[0x20] + rest if word[0] == " " else word
-        else:
-            mapped = word.encode("utf-8").decode("latin-1").translate(self.characters)
-        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
-
-    def _piece(self, lead: str, piece: str) -> bytes:
-        letters = piece.rstrip(".,;:!?")
-        if letters.isascii() and letters.isalpha():
-            # The letters, with the blank before them, are one match and the marks another.
-            marks = piece[len(letters) :]
-            return self.words[lead + letters] + self.words[marks] if marks else self.words[lead + letters]
-        return b"".join([self.words[w] for w in self.by_match.findall(lead + piece)])
-
-    def _plain(self, text: str) -> bytes:
-        parts, flagged = pieces(text, self.pattern)
-        if not flagged:
-            return b"".join(map(self.first.__getitem__, parts))
-        return self.first[parts[0]] + b"".join(map(self.after_blank.__getitem__, parts[1:]))
+        # Matches of the pattern, and pieces that only the pattern can cut.
+        self.matches, self.odd = Memory(), Memory()
+
+    def _tokenized(self, matches: list[str]) -> Runs:
+        """Ids of matches of the pattern; no UTF-8 text has the byte FF that keeps them apart."""
+        raw = b"\xff".join([m.encode("utf-8") for m in matches])
+        tokenize, ids, ends = self.tokenize, [], [0]
+        for mapped in codecs.charmap_decode(raw, "strict", self.alphabet)[0].split(self.alphabet[0xFF]):
+            ids += [t.id for t in tokenize(mapped)]
+            ends.append(len(ids))
+        return Runs(np.array(ids, "<u4"), np.diff(ends))
+
+    def _matched(self, matches: pa.Array) -> Runs:
+        """The ids of each match; a match may occur several times."""
+        coded = matches.dictionary_encode()
+        return self.matches.take(coded.dictionary, self._tokenized).take(coded.indices.to_numpy())
+
+    def _cut(self, pieces: list[str]) -> Runs:
+        """The ids of pieces that only the pattern can cut."""
+        found = [self.by_match.findall(p) for p in pieces]
+        runs = self._matched(pa.array([m for ms in found for m in ms], TEXT))
+        return runs.joined(np.array([len(ms) for ms in found], np.int64))
+
+    def _pieces(self, pieces: pa.Array) -> Runs:
+        """The ids of each of the different pieces."""
+        if not self.by_columns:
+            return self.odd.take(pieces, self._cut)
+        one = pc.match_substring_regex(pieces, ONE).to_numpy(zero_copy_only=False)
+        single, others = pieces.filter(pa.array(one)), pieces.filter(pa.array(~one))
+        parts = pc.extract_regex(others, SEVERAL)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        columns = parts.filter(pa.array(plain)).flatten()
+        filled = [pc.not_equal(c, pa.scalar("", TEXT)) for c in columns]
+        matched = self._matched(pa.concat_arrays([single, *[c.filter(f) for c, f in zip(columns, filled, strict=True)]]))
+        filled = np.array([f.to_numpy(zero_copy_only=False) for f in filled])
+        # Parts of one piece beside each other, in their order.
+        order = np.argsort(np.nonzero(filled)[1], kind="stable") + len(single)
+        counts = np.concatenate([np.ones(len(single), np.int64), filled.sum(axis=0)])
+        runs = matched.take(np.concatenate([np.arange(len(single)), order])).joined(counts)
+        runs += self.odd.take(others.filter(pa.array(~plain)), self._cut)
+        rest = np.flatnonzero(~one)
+        return runs.take(np.argsort(np.concatenate([np.flatnonzero(one), rest[plain], rest[~plain]])))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens: each different piece of the batch is encoded, then looked up by its number."""
+        given = pa.array(texts, TEXT)
+        unsafe = pc.match_substring_regex(given, UNSAFE).to_numpy(zero_copy_only=False)
+        order = [np.flatnonzero(~unsafe), np.flatnonzero(unsafe)]
+        lists = pc.split_pattern(given.filter(pa.array(~unsafe)), " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        first = lists.flatten().take(pa.array(ends[:-1]))
+        # Texts with such blanks are cut by the pattern; its matches serve as their pieces.
+        matches = [self.by_match.findall(texts[i]) for i in order[1]]
+        after_blank = pc.binary_join_element_wise(pa.scalar("", TEXT), coded.dictionary, pa.scalar(" ", TEXT))
+        pieces = pa.concat_arrays([after_blank, first, pa.array([m for ms in matches for m in ms], TEXT)]).dictionary_encode()
+        after, at_first, of_matches = np.split(pieces.indices.to_numpy(), np.cumsum([len(after_blank), len(first)]))
+        at = after[coded.indices.to_numpy()]
+        at[ends[:-1]] = at_first
+        counts = np.concatenate([np.diff(ends), [len(ms) for ms in matches]]).astype(np.int64)
+        runs = self._pieces(pieces.dictionary).take(np.concatenate([at, of_matches])).joined(counts)
+        out, stops, ids = [b""] * len(texts), np.cumsum(4 * runs.sizes).tolist(), runs.ids.tobytes()
+        for i, start, stop in zip(np.concatenate(order).tolist(), [0, *stops], stops, strict=False):
+            out[i] = ids[start:stop]
+        return out
+
+    def encode_texts(self, texts: Sequence[str]) -> list[bytes]:
+        cut = [self.cut.split(t) if any(token in t for token in self.added) else [t] for t in texts]
+        plain = iter(self._plain([p for parts in cut for p in parts if p not in self.added]))
+        return [b"".join([self.added[p] if p in self.added else next(plain) for p in parts]) for parts in cut]
 
     def encode(self, text: str) -> bytes:
-        if not any(token in text for token in self.added):
-            return self._plain(text)
-        return b"".join([self.added[p] if p in self.added else self._plain(p) for p in self.cut.split(text)])
+        return self.encode_texts([text])[0]
 
 
 @lru_cache(maxsize=1)
@@ -244,8 +321,8 @@ def pack(
         for table, texts in text_batches(batches, 1, CHARS):
             id_type = table.schema.field(0).type
             windows = []
-            for doc_id, text in zip(table.column(0).to_pylist(), texts, strict=True):
-                ids = encoder.encode(text) + end
+            for doc_id, ids in zip(table.column(0).to_pylist(), encoder.encode_texts(texts), strict=True):
+                ids += end
                 known[n_docs] = (doc_id, len(ids) // 4)
                 windows += packer.add(n_docs, ids)
                 n_docs += 1

@@ -359,6 +359,46 @@ def test_packing_knows_added_tokens(definition):
         assert ("<|endoftext|>" in text) == (50256 in ids)
 
 
+def test_packing_tokenizes_each_match_of_a_batch_once(definition, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEYS", 0)
+    own = packing.FileEncoder(definition, public_tokenizers.PATTERN)
+    seen, tokenize = [], own.tokenize
+    own.tokenize = lambda mapped: seen.append(mapped) or tokenize(mapped)
+    texts = [f"Wörter wort{' wort' * (i % 3)}, wort.\nWort; {' '.join(f'w{k} {k}' for k in range(50))}" for i in range(40)]
+    known = Tokenizer.from_str(definition.decode())
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode_texts(texts)]
+    assert got == [known.encode(t, add_special_tokens=False).ids for t in texts]
+    # Pieces that only the pattern can cut share no more than their matches with the others.
+    assert max(seen.count(m) for m in seen) <= 2 and len(seen) < 300
+
+
+@pytest.mark.parametrize("keys", [0, 5, 400_000])
+def test_packing_batches_agree_with_the_library(definition, monkeypatch, keys):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "KEYS", keys)
+    rng = random.Random(11)
+    alphabet = "abé  \n\t.,'’ß漢🙂\x1c\x00\x85\xa0\u2003\u3000\u200b01²Ⅷ'st'll<|>!$ªµ×٣\xad"
+    texts = ["", " ", "  ", "\n \n", "a ", "x<|endoftext|> y", "<|endoftext|>", "a.\nB\nc", "é'll 'll", "a\x85 \x85b"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(600)]
+    texts += [" ".join("".join(rng.choice("abé1.,\n'$") for _ in range(rng.randrange(1, 9))) for _ in range(20)) for _ in range(200)]
+    own, known = packing.FileEncoder(definition, public_tokenizers.PATTERN), Tokenizer.from_str(definition.decode())
+    expected = [known.encode(t, add_special_tokens=False).ids for t in texts]
+    for size in (1, 7, len(texts)):
+        got = [x for i in range(0, len(texts), size) for x in own.encode_texts(texts[i : i + size])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == expected
+
+
+def test_packing_by_another_pattern(definition):
+    pattern = r"\p{L}+| ?[^\s\p{L}]+[\r\n]*|\s+"
+    own = packing.FileEncoder(definition, pattern)
+    text = "one two.\nThree 12345, four."
+    matches = own.by_match.findall(text)
+    assert own.encode(text) == b"".join([own._tokenized([m]).ids.tobytes() for m in matches])
+
+
 def test_messages_without_a_node_keep_their_text(spark):
     rows = [
         (1, 1, None, "user", "q", 0.0), (1, None, 1, "assistant", "lost?", 5.0), (1, None, 1, "assistant", "no", 4.0),
