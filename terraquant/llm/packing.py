@@ -29,8 +29,8 @@ from .shared import lower_arrow_batches
 CAPACITY = 2048
 END_ID = 1
 # Texts that each memory of a worker holds between batches and their characters, and characters it reads at once; memory bounds.
-KEYS, KEY_CHARS = 400_000, 8_000_000
-CHARS = 4_000_000
+KEYS, KEY_CHARS = 150_000, 3_000_000
+CHARS = 2_000_000
 TEXT = pa.large_string()
 # Blanks that may not lie between two pieces, as in pretokens.
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -61,7 +61,9 @@ class Runs:
     def take(self, at: np.ndarray) -> Runs:
         starts, sizes = (np.cumsum(self.sizes) - self.sizes)[at], self.sizes[at]
         ends = np.cumsum(sizes)
-        return Runs(self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(sizes.sum())], sizes)
+        where = np.repeat(starts - ends + sizes, sizes)
+        where += np.arange(len(where))
+        return Runs(self.ids[where], sizes)
 
     def joined(self, counts: np.ndarray) -> Runs:
         """Each so many neighbours as one run."""
@@ -164,8 +166,9 @@ class FileEncoder:
         order = [np.flatnonzero(~unsafe), np.flatnonzero(unsafe)]
         lists = pc.split_pattern(given.filter(pa.array(~unsafe)), " ")
         ends = lists.offsets.to_numpy().astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        first = lists.flatten().take(pa.array(ends[:-1]))
+        parts = lists.flatten()
+        coded, first = parts.dictionary_encode(), parts.take(pa.array(ends[:-1]))
+        del given, lists, parts
         # Texts with such blanks are cut by the pattern; its matches serve as their pieces.
         matches = [self.by_match.findall(texts[i]) for i in order[1]]
         after_blank = pc.binary_join_element_wise(pa.scalar("", TEXT), coded.dictionary, pa.scalar(" ", TEXT))
@@ -326,6 +329,8 @@ def pack(
                 known[n_docs] = (doc_id, len(ids) // 4)
                 windows += packer.add(n_docs, ids)
                 n_docs += 1
+            # A worker stays between stages; what Arrow has freed goes back to the machine.
+            pa.default_memory_pool().release_unused()
             yield from rows(windows)
             still = {doc for doc, *_ in packer.levels.leftover()}
             known = {doc: known[doc] for doc in still}
