@@ -11,7 +11,7 @@ features; a row looks its sets up leaf by leaf. Values sum to prediction minus e
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from math import factorial
 
 import numpy as np
@@ -110,7 +110,7 @@ def attribute(rows: Rows, model: Model, key: str, given: DataFrame) -> DataFrame
     `given` has the key and the features; missing features take the replicate's mean. The leaf tables
     are a broadcast of the size of the model, of 2^k rows for a leaf whose path has k features.
     """
-    features, layout = rows.features, replace(rows, table=None)
+    features, layout = rows.features, rows.layout()
     tables, base = _tables(model)
     shared = given.sparkSession.sparkContext.broadcast((tables, base, model, layout))
     codes = F.array(*[bin_code(F.col(f).cast("double"), c) for f, c in zip(features, rows.cuts, strict=True)]).cast("array<int>")

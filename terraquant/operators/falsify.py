@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from .prep import impute_whole_table
 from .splits import Growth
 
 TESTS_PER_TILE = 128
-ROWS_PER_TILE = 2000
+ROWS_PER_TILE = 1 << 14
 CONSTANT = "__constant"
 TEST_SCHEMA = "x string, y string, given array<string>, statistic double, p_value double, n bigint"
 
@@ -98,25 +97,26 @@ def _boosted_sums(
     left = np.array([number[(x, given)] for x, _, given in tests])
     right = np.array([number[(y, given)] for _, y, given in tests])
     targets = [place[t] for t, _ in regressions]
-    shared, layout = rows.spark.sparkContext.broadcast(made), replace(rows, table=None)
+    shared, layout = rows.spark.sparkContext.broadcast(made), rows.layout()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = shared.value
+        made = [(m, None if isinstance(m, float) else m.paths(layout)) for m in shared.value]
         total, squares, count = np.zeros(len(left)), np.zeros(len(left)), 0
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_PER_TILE):
-                part = batch.slice(start, ROWS_PER_TILE)
-                placed, y = layout.placed(0, growth.list_matrix(part.column(0)).T), growth.list_matrix(part.column(1))
-                residual = np.stack([y[:, t] - (m if isinstance(m, float) else m.predict(placed)) for t, m in zip(targets, made, strict=True)], axis=1)
-                for at in range(0, len(left), TESTS_PER_TILE):
-                    tile = slice(at, at + TESTS_PER_TILE)
-                    product = residual[:, left[tile]] * residual[:, right[tile]]
-                    total[tile] += product.sum(axis=0)
-                    squares[tile] += (product * product).sum(axis=0)
-                count += part.num_rows
+            for n, codes, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                codes, y = np.frombuffer(codes, layout.code_type).reshape(-1, n), np.frombuffer(y).reshape(-1, n)
+                for start in range(0, n, ROWS_PER_TILE):
+                    part = slice(start, start + ROWS_PER_TILE)
+                    own = growth.both_ends(codes[:, part])
+                    residual = np.stack([y[t, part] - (m if paths is None else m.told(own, paths)) for t, (m, paths) in zip(targets, made, strict=True)])
+                    for i, (a, b) in enumerate(zip(left, right, strict=True)):
+                        product = residual[a] * residual[b]
+                        total[i] += product.sum()
+                        squares[i] += product @ product
+                count += n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(left))), pa.array(total), pa.array(squares), pa.array([count] * len(left))], ["test", "total", "squares", "n"])
 
-    per_task = rows.table.select("codes", "y").mapInArrow(sums, "test long, total double, squares double, n long")
+    per_task = rows.blocks.select("n", "codes", "y").mapInArrow(sums, "test long, total double, squares double, n long")
     merged = per_task.groupBy("test").agg(F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.sum("n").alias("n"))
     return {r["test"]: (r["total"], r["squares"], r["n"]) for r in merged.collect()}
 

@@ -192,3 +192,58 @@ def test_leaf_table_covers_every_row_once(spark, table, rows):
     paths = attribution.leaf_table(spark, [model], rows)
     whole = paths.select("leaf", "value", "share").distinct().agg(F.sum("share").alias("s"), F.sum(F.col("share") * F.col("value")).alias("e")).first()
     assert np.isclose(whole["s"], 1.0) and np.isclose(whole["e"], attribution.expectation(attribution.leaves(model.trees[0])))
+
+
+def test_paths_over_written_codes_equal_the_walk(rows):
+    """A missing value goes where the replicate's mean stands among the bins, without codes of its own for each replicate."""
+    grown = Growth(max_depth=4, bootstrap=True)
+    trees = growth.grow(rows, [growth.Spec(rep, -1, k, grown) for rep in range(3) for k in range(2)])
+    _, codes, _, _ = _collected(rows)
+    written = growth.both_ends((codes + 1).astype(np.uint8))
+    for tree in trees:
+        for depth in (None, 2):
+            at = growth.Path.of(tree, rows.layout(), depth).ends(written)
+            assert at.dtype == np.uint8 and np.array_equal(at, growth.walk(tree.arrays(), rows.placed(tree.spec.rep, codes), depth))
+
+
+def test_cells_give_the_trees_of_single_rows(rows, monkeypatch):
+    """Rows of equal codes are added up once a replicate where they are many; trees, margins and scores stay the same."""
+    kinds = [Growth(3), Growth(3, bootstrap=True, features_per_node=2), Growth(3, drawn=True), Growth(2, subsample=0.5)]
+    specs = [growth.Spec(rep, held, rep, g) for rep in range(3) for held in (-1, 1) for g in kinds]
+    boosted = [(0, -1, None), (2, 3, (1, 2))]
+
+    def grown():
+        trees = growth.grow(rows, specs)
+        models = [growth.Model(t.spec.rep, t.spec.held, 0, [t]) for t in trees] + growth.boost(rows, boosted, Growth(max_depth=2), 4, 0.5)
+        return models, {r["model"]: r for r in growth.evaluate(rows, models).collect()}
+
+    layout, batches = rows.layout(), rows.blocks.toArrow().combine_chunks().to_batches()
+    chunks = list(growth._chunks(iter(batches), layout))
+    assert [c.cell is not None for c in chunks] == [True]
+    assert chunks[0].codes.shape[1] < len(chunks[0].cell) == 400
+    joined, scores = grown()
+    monkeypatch.setattr(growth.Rows, "few_cells", property(lambda self: False))
+    single = list(growth._chunks(iter(batches), layout))
+    assert [c.cell for c in single] == [None]
+    for spec, tree in zip(specs, joined, strict=False):
+        totals = []
+        for chunk in (chunks[0], single[0]):
+            path = growth.Path.of(tree.trees[0], layout)
+            place = np.full(path.outside + 1, rows.slots)
+            place[0 if len(tree.trees[0].feature) == 1 else len(tree.trees[0].feature) - 1] = 0
+            totals.append(np.zeros((2, 3, 2 * rows.slots)))
+            growth._add_sums(totals[-1], chunk, spec, path, place, range(3), rows.slots, None)
+        assert np.allclose(totals[0][:, :, : rows.slots], totals[1][:, :, : rows.slots])
+    parts, codes, y, _ = _collected(rows)
+    for i, m in enumerate(joined):
+        own = parts[:, m.rep] == m.held
+        assert np.isclose(scores[i]["mae"], np.abs(y[own] - m.predict(rows.placed(m.rep, codes)[:, own])).mean())
+
+
+def test_trees_of_few_features_scan_only_those(rows):
+    """Sums of features that a tree may not split on are not made; the first still tells the whole node."""
+    assert growth._tree_features(growth.Spec(0, -1, 0, Growth(), (1, 2)), 3) == [1, 2]
+    (tree,) = growth.grow(rows, [growth.Spec(0, -1, 0, Growth(max_depth=2), (1, 2))])
+    parts, _, y, _ = _collected(rows)
+    own = parts[:, 0] >= 0
+    assert tree.n[0] == own.sum() and np.isclose(tree.total[0], y[own].sum()) and 0 not in tree.feature
