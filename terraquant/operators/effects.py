@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import linalg
-from ..functions.hashing import SPACE, below, bits_of, seed_draws
+from ..functions.hashing import SPACE, Drawn, drawn_text, draws_below
 from ..functions.linalg import Moments
 from .linear import sum_moments
 from .moments import collect_conditioned, conditioned, replicated_moments
@@ -115,14 +115,14 @@ def refutations(
     """
     check_treatments(edges, treatments, outcome)
     features = graph_features(edges, outcome)
-    drawn = seed_draws(df.select(key, *features, outcome), reps, key)
-    kept = F.transform("draws", lambda d: below(d, subset_fraction).cast("int"))
-    noise = F.transform("draws", lambda d: bits_of(d) / float(SPACE) - 0.5)
+    drawn, limit = Drawn(drawn_text(key, reps), reps), draws_below(subset_fraction)
+    kept = lambda draws: (draws < limit).astype(np.int8)
+    noise = lambda draws: draws / float(SPACE) - 0.5
     columns = [*features, NOISE]
 
     def collect(centres: dict[str, float]) -> dict[tuple, Moments]:
         own = {**centres, "__extra": centres.get(NOISE, 0.0)}
-        rows = replicated_moments(drawn, features, outcome, kept, (0, 1), noise, own).collect()
+        rows = replicated_moments(df, features, outcome, drawn, (1, 0), kept, noise, own).collect()
         return {(r["rep"], bool(r["code"])): Moments.unpack(r["n"], r["sums"], r["lows"], r["highs"]) for r in rows}
 
     groups, _ = conditioned(collect, [*columns, outcome])

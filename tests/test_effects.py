@@ -102,3 +102,39 @@ def test_partition_invariance(data):
     one = falsify.independence_tests(df.repartition(1), tests)[0][3]
     many = falsify.independence_tests(df.repartition(6), tests)[0][3]
     assert abs(one - many) < 1e-9
+
+
+def test_replicated_moments_equal_sums_over_rows(spark, monkeypatch):
+    """Groups, gaps, rows without a key, an extra feature, and ranges of a group that no row near an end belongs to."""
+    from terraquant.functions.hashing import Drawn, drawn_text, numbered_draws, seed_draws
+    from terraquant.functions.linalg import Moments
+    from terraquant.operators import moments
+
+    monkeypatch.setattr(moments, "EXTREME_ROWS", 3)
+    rng = np.random.default_rng(5)
+    given = [
+        (None if i % 13 == 0 else f"k{i}", None if i % 7 == 0 else float(rng.normal()), float(rng.integers(0, 4)), float(rng.normal())) for i in range(300)
+    ]
+    df = spark.createDataFrame(given, "k string, a double, b double, y double").repartition(3)
+    reps, limit = 6, 2**30
+    told = seed_draws(df, reps, "k").withColumn("own", numbered_draws("k", reps, "t")).collect()
+    kept = [r for r in told if r["k"] is not None]
+    draws = np.array([[int(d, 16) for d in r["draws"]] for r in kept])
+    text = df.select("k", drawn_text("k", reps, "t").alias("t")).where("k is not null").collect()
+    own = {r["k"]: [int(r["t"][8 * i : 8 * i + 8], 16) for i in range(reps)] for r in text}
+    assert all(own[r["k"]] == r["own"] for r in kept)
+
+    code = lambda d: np.where(d < limit, -1, (d % 2).astype(np.int8))
+    noise = lambda d: d / 2.0**32
+    values = np.array([[np.nan if r[c] is None else r[c] for c in ("a", "b")] for r in kept])
+    y = np.array([r["y"] for r in kept])
+    made = moments.replicated_moments(df, ["a", "b"], "y", Drawn(drawn_text("k", reps), reps), (-1, 0, 1), code, noise, {"a": 0.5}).collect()
+    assert len(made) == 3 * reps
+    for r in made:
+        inside = code(draws)[:, r["rep"]] == r["code"]
+        x = np.column_stack([values[inside] - [0.5, 0.0], noise(draws[inside, r["rep"]]), y[inside]])
+        m = Moments.unpack(r["n"], r["sums"], r["lows"], r["highs"])
+        gap, filled = np.isnan(x[:, :3]), np.nan_to_num(x)
+        assert m.n == inside.sum() and np.allclose(m.s, filled.sum(axis=0)) and np.allclose(m.S, filled.T @ filled)
+        assert np.allclose(m.N, gap.T.astype(float) @ gap) and np.isclose(m.M[3, 0], y[inside][gap[:, 0]].sum())
+        assert np.allclose(m.low, np.nanmin(x[:, :3], axis=0)) and np.allclose(m.high, np.nanmax(x[:, :3], axis=0))
